@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import counts
-from ..sources.adapters import shop_events
+from ..operators import active_users, counts, feed, products, revenue, trend
+from ..operators.enrich import enrich_events
+from ..operators.events import purchases
+from ..sources.adapters import sales, shop_events
+from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +22,69 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _on_events(metric: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return metric(shop_events(spark, sf_dir))
-    run.__name__ = metric.__name__
     run.__doc__ = metric.__doc__
     return run
 
 
+def _on_purchases(metric: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metric(purchases(shop_events(spark, sf_dir)))
+    run.__doc__ = metric.__doc__
+    return run
+
+
+def _on_sales(metric: Callable[[DataFrame], DataFrame], with_date: bool, with_name: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metric(sales(spark, sf_dir, with_date=with_date, with_name=with_name))
+    run.__doc__ = metric.__doc__
+    return run
+
+
+def _purchase_amount(events: DataFrame) -> DataFrame:
+    """P1 + F1: every purchase with its amount (price x quantity)."""
+    return purchases(events).select("event_id", "ts", "product_name", "price", "quantity", "amount")
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich_events(shop_events(spark, sf_dir), read_table(spark, sf_dir, "part"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        # single-scan aggregates
         "event_counts": _on_events(counts.event_counts),
+        "events_by_type": _on_events(counts.events_by_type),
+        "revenue_total": _on_events(counts.revenue_total),
+        "cart_abandonment": _on_events(counts.cart_abandonment),
+        "failed_payment_rate": _on_events(counts.failed_payment_rate),
+        "event_breakdown": _on_events(counts.event_breakdown),
+        "purchase_amount": _on_events(_purchase_amount),
+        # products
+        "product_counts": _on_purchases(products.product_counts),
+        "top_products": _on_purchases(products.top_products),
+        "top_products_percent": _on_purchases(products.top_products_percent),
+        # time
+        "revenue_per_minute": _on_purchases(lambda p: revenue.revenue_by_window(p, "1 minute")),
+        "revenue_per_hour": _on_purchases(lambda p: revenue.revenue_by_window(p, "1 hour")),
+        "revenue_by_week": _on_purchases(lambda p: revenue.revenue_by_period(p, "week")),
+        "revenue_by_month": _on_purchases(lambda p: revenue.revenue_by_period(p, "month")),
+        "revenue_by_year": _on_purchases(lambda p: revenue.revenue_by_period(p, "year")),
+        "active_users_sliding": _on_events(active_users.active_users_sliding),
+        "active_user_sessions": _on_events(active_users.global_sessions),
+        "active_users_now": _on_events(active_users.active_users_now),
+        "kpi_trend": _on_events(trend.kpi_trend),
+        # order-dependent lists
+        "revenue_running": _on_purchases(revenue.revenue_running),
+        "revenue_history": _on_purchases(revenue.revenue_history),
+        "recent_events": _on_events(feed.recent_events),
+        "feed_age": _on_events(feed.feed_age),
+        # enrichment
+        "enriched_events": _enriched,
+        # the sales view (order lines as purchases): volume and multi-year periods
+        "sales_revenue_total": _on_sales(revenue.revenue_total, False, False),
+        "sales_top_products": _on_sales(products.top_products, False, True),
+        "sales_revenue_by_week": _on_sales(lambda s: revenue.revenue_by_period(s, "week"), True, False),
+        "sales_revenue_by_month": _on_sales(lambda s: revenue.revenue_by_period(s, "month"), True, False),
+        "sales_revenue_by_year": _on_sales(lambda s: revenue.revenue_by_period(s, "year"), True, False),
+        "sales_trend": _on_sales(trend.sales_trend, True, False),
     }

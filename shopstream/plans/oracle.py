@@ -62,6 +62,28 @@ def with_sales(body: str) -> str:
     return f"WITH {SALES}\n{body}"
 
 
+def js_fixed1(x: str) -> str:
+    """SQL twin of ``functions.text.js_fixed1`` (JavaScript toFixed(1))."""
+    a = f"abs({x})"
+    n0 = f"floor({a} * 10)"
+    c = f"({a} * CAST(134217729 AS DOUBLE))"
+    hi = f"({c} - ({c} - {a}))"
+    lo = f"({a} - {hi})"
+    tie = f"(({hi} * 20 - ({n0} * 2 + 1)) + {lo} * 20)"
+    n = f"CAST({n0} + CASE WHEN {tie} >= 0 THEN 1 ELSE 0 END AS BIGINT)"
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) "
+            f"|| CAST({n} // 10 AS VARCHAR) || '.' || CAST({n} % 10 AS VARCHAR) END")
+
+
+def _trend_cols(name: str) -> str:
+    prev = f"lag({name}) OVER (ORDER BY period_start)"
+    pct = f"CASE WHEN {prev} IS NOT NULL AND {prev} <> 0 THEN ({name} - {prev}) / {prev} * 100 END"
+    return (f"{name}, {prev} AS {name}_prev, {pct} AS {name}_trend_pct, "
+            f"CASE WHEN ({pct}) IS NOT NULL THEN (CASE WHEN ({pct}) >= 0 THEN '+' ELSE '' END) "
+            f"|| {js_fixed1(pct)} || '%' END AS {name}_trend, "
+            f"CASE WHEN {prev} IS NOT NULL THEN {name} >= {prev} END AS {name}_up")
+
+
 EVENT_COUNTS = with_shop("""
 SELECT count_if(event_type = 'product_viewed') AS product_viewed,
        count_if(event_type = 'cart_added') AS cart_added,
@@ -71,12 +93,215 @@ SELECT count_if(event_type = 'product_viewed') AS product_viewed,
        count(*) AS total
 FROM shop_events""")
 
+EVENTS_BY_TYPE = with_shop("""
+SELECT COALESCE(event_type, 'unknown') AS event_type, count(*) AS event_count
+FROM shop_events GROUP BY 1""")
+
+REVENUE_TOTAL = with_shop(f"""
+SELECT {money("CASE WHEN event_type = 'purchase_completed' THEN amount END")} AS total_revenue,
+       'INR' AS currency
+FROM shop_events""")
+
+CART_ABANDONMENT = with_shop("""
+SELECT cart_added, purchases,
+       CASE WHEN cart_added > 0 THEN 1.0 - purchases / cart_added END AS abandonment_rate
+FROM (SELECT count_if(event_type = 'cart_added') AS cart_added,
+             count_if(event_type = 'purchase_completed') AS purchases FROM shop_events)""")
+
+FAILED_PAYMENT_RATE = with_shop("""
+SELECT payment_failed, purchases,
+       CASE WHEN payment_failed + purchases > 0
+            THEN payment_failed / (payment_failed + purchases) END AS failed_payment_rate
+FROM (SELECT count_if(event_type = 'payment_failed') AS payment_failed,
+             count_if(event_type = 'purchase_completed') AS purchases FROM shop_events)""")
+
+EVENT_BREAKDOWN = with_shop("""
+SELECT 'Page Views' AS name, '#8ed5ff' AS color, count_if(event_type = 'product_viewed') AS value FROM shop_events
+UNION ALL
+SELECT 'Cart Additions', '#bdc2ff', count_if(event_type = 'cart_added') FROM shop_events
+UNION ALL
+SELECT 'Purchases', '#10b981', count_if(event_type = 'purchase_completed') FROM shop_events""")
+
+PURCHASE_AMOUNT = with_shop("""
+SELECT event_id, ts, product_name, price, quantity, amount FROM purchases""")
+
+PRODUCT_COUNTS = with_shop("""
+SELECT COALESCE(product_name, 'unknown') AS product_name, count(*) AS purchase_count
+FROM purchases GROUP BY 1""")
+
+TOP_PRODUCTS = with_shop("""
+SELECT COALESCE(product_name, 'unknown') AS product_name, count(*) AS purchase_count
+FROM purchases GROUP BY 1 ORDER BY purchase_count DESC, product_name DESC LIMIT 10""")
+
+TOP_PRODUCTS_PERCENT = with_shop("""
+SELECT product_name AS name, purchase_count AS sales,
+       purchase_count / greatest(max(purchase_count) OVER (), 1) * 100 AS percent
+FROM (SELECT COALESCE(product_name, 'unknown') AS product_name, count(*) AS purchase_count
+      FROM purchases GROUP BY 1 ORDER BY purchase_count DESC, product_name DESC LIMIT 10)""")
+
+
+def _revenue_window(unit: str) -> str:
+    return with_shop(f"""
+SELECT date_trunc('{unit}', ts) AS window_start, date_trunc('{unit}', ts) + INTERVAL 1 {unit} AS window_end,
+       {money("amount")} AS revenue, count(*) AS purchases
+FROM purchases GROUP BY 1, 2""")
+
+
+def _revenue_period(view: str, unit: str) -> str:
+    body = f"""
+SELECT CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS period_start,
+       {money("amount")} AS revenue, count(*) AS purchases
+FROM {view} GROUP BY 1"""
+    return with_shop(body) if view == "purchases" else with_sales(body)
+
+
+ACTIVE_USERS_SLIDING = with_shop("""
+SELECT date_trunc('minute', ts) - to_minutes(r.i) AS window_start,
+       date_trunc('minute', ts) - to_minutes(r.i) + INTERVAL 5 MINUTE AS window_end,
+       count(DISTINCT COALESCE(user_id, 'unknown')) AS active_users
+FROM shop_events, range(0, 5) AS r(i)
+GROUP BY 1, 2""")
+
+_SESSIONS = f"""
+flagged AS (
+  SELECT ts, COALESCE(user_id, 'unknown') AS user_id,
+         CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL
+                OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL {ACTIVE_GAP_SECONDS} SECOND
+              THEN 1 ELSE 0 END AS is_start
+  FROM shop_events
+),
+sess AS (
+  SELECT ts, user_id, SUM(is_start) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM flagged
+),
+sessions AS (
+  SELECT sid, min(ts) AS session_start, max(ts) + INTERVAL {ACTIVE_GAP_SECONDS} SECOND AS session_end,
+         count(DISTINCT user_id) AS active_users, count(*) AS events
+  FROM sess GROUP BY sid
+)"""
+
+ACTIVE_USER_SESSIONS = with_shop(f""",{_SESSIONS}
+SELECT session_start, session_end, active_users, events FROM sessions""")
+
+ACTIVE_USERS_NOW = with_shop(f""",{_SESSIONS}
+SELECT CAST(COALESCE((SELECT active_users FROM sessions ORDER BY sid DESC LIMIT 1), 0) AS BIGINT)
+         AS active_users,
+       'last 5 minutes' AS "window"
+""")
+
+KPI_TREND = with_shop(f""",
+per_day AS (
+  SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period_start,
+         {money("CASE WHEN event_type = 'purchase_completed' THEN amount END")} AS revenue,
+         count_if(event_type = 'purchase_completed') AS orders,
+         count_if(event_type = 'payment_failed') AS failed_payments,
+         count(DISTINCT COALESCE(user_id, 'unknown')) AS active_users
+  FROM shop_events GROUP BY 1
+)
+SELECT period_start, {_trend_cols("revenue")}, {_trend_cols("orders")},
+       {_trend_cols("failed_payments")}, {_trend_cols("active_users")}
+FROM per_day""")
+
+REVENUE_RUNNING = with_shop("""
+SELECT event_id, ts, amount,
+       CAST(CAST(SUM(CAST(amount AS DECIMAL(38,6))) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)
+                 AS DECIMAL(38,2)) AS DOUBLE) AS cumulative_revenue
+FROM purchases""")
+
+REVENUE_HISTORY = with_shop("""
+SELECT event_id, ts, strftime(ts, '%H:%M:%S') AS name, revenue FROM (
+  SELECT event_id, ts, seq,
+         CAST(CAST(SUM(CAST(amount AS DECIMAL(38,6))) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)
+                   AS DECIMAL(38,2)) AS DOUBLE) AS revenue
+  FROM purchases)
+ORDER BY ts DESC, seq DESC LIMIT 20""")
+
+_FEED = """,
+feed AS (
+  SELECT * FROM shop_events
+  WHERE event_type IN ('purchase_completed', 'cart_added', 'payment_failed')
+    AND (event_type <> 'purchase_completed' OR amount IS NOT NULL)
+  ORDER BY ts DESC, seq DESC LIMIT 15
+)"""
+
+_FEED_COLS = """COALESCE(event_id, 'unknown') AS id,
+       CASE event_type WHEN 'purchase_completed' THEN 'purchase' WHEN 'cart_added' THEN 'cart'
+                       ELSE 'error' END AS type,
+       CASE event_type WHEN 'purchase_completed' THEN 'Purchase Completed'
+                       WHEN 'cart_added' THEN 'Cart Added' ELSE 'Payment Failed' END AS title,
+       CASE event_type WHEN 'purchase_completed'
+                       THEN COALESCE(product_name, 'Item') || ' - ₹' || CAST(amount AS VARCHAR)
+                       WHEN 'cart_added' THEN COALESCE(product_name, 'Item')
+                       ELSE 'Processing error' END AS subtitle"""
+
+RECENT_EVENTS = with_shop(f"""{_FEED}
+SELECT {_FEED_COLS}, 'Just now' AS time, ts FROM feed""")
+
+FEED_AGE = with_shop(f"""{_FEED},
+aged AS (
+  SELECT *, (epoch_us((SELECT max(ts) FROM shop_events)) - epoch_us(ts)) // 1000000 AS secs FROM feed
+)
+SELECT {_FEED_COLS},
+       CASE WHEN secs < 60 THEN 'Just now'
+            WHEN secs < 3600 THEN CAST(secs // 60 AS VARCHAR) || 'm ago'
+            WHEN secs < 86400 THEN CAST(secs // 3600 AS VARCHAR) || 'h ago'
+            ELSE CAST(secs // 86400 AS VARCHAR) || 'd ago' END AS time,
+       ts
+FROM aged""")
+
+ENRICHED_EVENTS = with_shop("""
+SELECT s.event_id, s.event_type, s.user_id, s.product_id, s.product_name, s.price, s.quantity, s.ts,
+       p.p_brand AS brand, p.p_type AS product_type, p.p_size AS size, p.p_retailprice AS retail_price
+FROM shop_events s LEFT JOIN part p ON TRY_CAST(s.product_id AS BIGINT) = p.p_partkey""")
+
+SALES_REVENUE_TOTAL = with_sales(f"""
+SELECT {money("amount")} AS total_revenue, 'INR' AS currency FROM sales""")
+
+SALES_TOP_PRODUCTS = with_sales("""
+SELECT COALESCE(product_name, 'unknown') AS product_name, count(*) AS purchase_count
+FROM sales GROUP BY 1 ORDER BY purchase_count DESC, product_name DESC LIMIT 10""")
+
+SALES_TREND = with_sales(f""",
+per_month AS (
+  SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS period_start,
+         {money("amount")} AS revenue, count(*) AS orders
+  FROM sales GROUP BY 1
+)
+SELECT period_start, {_trend_cols("revenue")}, {_trend_cols("orders")} FROM per_month""")
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
+        "events_by_type": EVENTS_BY_TYPE,
+        "revenue_total": REVENUE_TOTAL,
+        "cart_abandonment": CART_ABANDONMENT,
+        "failed_payment_rate": FAILED_PAYMENT_RATE,
+        "event_breakdown": EVENT_BREAKDOWN,
+        "purchase_amount": PURCHASE_AMOUNT,
+        "product_counts": PRODUCT_COUNTS,
+        "top_products": TOP_PRODUCTS,
+        "top_products_percent": TOP_PRODUCTS_PERCENT,
+        "revenue_per_minute": _revenue_window("minute"),
+        "revenue_per_hour": _revenue_window("hour"),
+        "revenue_by_week": _revenue_period("purchases", "week"),
+        "revenue_by_month": _revenue_period("purchases", "month"),
+        "revenue_by_year": _revenue_period("purchases", "year"),
+        "active_users_sliding": ACTIVE_USERS_SLIDING,
+        "active_user_sessions": ACTIVE_USER_SESSIONS,
+        "active_users_now": ACTIVE_USERS_NOW,
+        "kpi_trend": KPI_TREND,
+        "revenue_running": REVENUE_RUNNING,
+        "revenue_history": REVENUE_HISTORY,
+        "recent_events": RECENT_EVENTS,
+        "feed_age": FEED_AGE,
+        "enriched_events": ENRICHED_EVENTS,
+        "sales_revenue_total": SALES_REVENUE_TOTAL,
+        "sales_top_products": SALES_TOP_PRODUCTS,
+        "sales_revenue_by_week": _revenue_period("sales", "week"),
+        "sales_revenue_by_month": _revenue_period("sales", "month"),
+        "sales_revenue_by_year": _revenue_period("sales", "year"),
+        "sales_trend": SALES_TREND,
     }
 
 
-__all__ = ["oracle_sql", "SHOP_EVENTS", "SALES", "money", "with_shop", "with_sales",
-           "ACTIVE_GAP_SECONDS"]
+__all__ = ["oracle_sql", "SHOP_EVENTS", "SALES", "money", "with_shop", "with_sales", "js_fixed1"]
