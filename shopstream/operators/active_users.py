@@ -5,13 +5,11 @@ The reference adds every event's user to one set and pushes the set's expiry
 300 s into the future, so the set is a *global session* with a 300 s gap:
 it empties only after 300 s without any event, from any user.
 
-Batch sessionization without a global sort: any two events in the same
+Batch sessionization without sorting the events: any two events in the same
 300 s bucket are less than 300 s apart, so a bucket never splits.  Buckets
 (at most 288 a day, however many events) carry (first, last) timestamps;
-sessions break where ``first - previous last >= 300 s``.  The previous
-bucket is found by a window partitioned by day (<= 288 rows per partition)
-plus a per-day carry over the few day rows.  Users are then attributed to
-sessions through a join on the bucket key.
+sessions break where ``first - previous last >= 300 s``.  Users are then
+attributed to sessions through a join on the bucket key.
 """
 
 from __future__ import annotations
@@ -22,55 +20,53 @@ from ..schema import ACTIVE_GAP_SECONDS, ACTIVE_WINDOW_LABEL, UNKNOWN
 from .joins import join_dimension
 from .timecols import epoch_micros
 
-_DAY_US = 86_400 * 1_000_000
-
-
 def _user_key():
     return F.coalesce(F.col("user_id"), F.lit(UNKNOWN))
 
 
-def session_map(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+def bucket_users(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+    """One scan of the events: ``(bucket, user_id, n, lo, hi, first_ts, last_ts)``
+    per gap-sized bucket and user, partially aggregated map-side."""
+    gap_us = gap_seconds * 1_000_000
+    return (events.select(F.floor(epoch_micros(events) / gap_us).cast("bigint").alias("bucket"),
+                          _user_key().alias("user_id"), epoch_micros(events).alias("us"), "ts")
+            .groupBy("bucket", "user_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"),
+                 F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """``bucket -> session_us``: the session (keyed by its first event time,
-    in epoch micros) every non-empty gap-sized bucket belongs to."""
+    in epoch micros) every non-empty gap-sized bucket belongs to.
+
+    The bucket table has at most one row per ``gap`` of elapsed time (288 a
+    day, 105,120 a year), whatever the event volume, so one ordered window
+    over it is bounded work; the event rows themselves never meet a
+    partition-free window.
+    """
     gap_us = gap_seconds * 1_000_000
-    us = epoch_micros(events)
-    buckets = (events.select(us.alias("us"))
-               .groupBy(F.floor(F.col("us") / gap_us).cast("bigint").alias("bucket"))
-               .agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-               .withColumn("day", F.floor(F.col("lo") / _DAY_US).cast("bigint")))
-
-    in_day = Window.partitionBy("day").orderBy("bucket")
-    over_days = Window.orderBy("day")  # one row per active day: tiny
-
-    day_hi = buckets.groupBy("day").agg(F.max("hi").alias("day_hi"))
-    day_hi = day_hi.select("day", F.lag("day_hi").over(over_days).alias("prev_day_hi"))
-    flagged = (buckets.join(day_hi, "day")
-               .withColumn("prev_hi", F.coalesce(F.lag("hi").over(in_day), F.col("prev_day_hi")))
-               .withColumn("start_us", F.when(F.col("prev_hi").isNull()
-                                              | (F.col("lo") - F.col("prev_hi") >= gap_us),
-                                              F.col("lo"))))
-    carry = (flagged.groupBy("day").agg(F.max("start_us").alias("day_last_start"))
-             .select("day", F.last("day_last_start", ignorenulls=True).over(
-                 over_days.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_start")))
-    running = F.last("start_us", ignorenulls=True).over(
-        in_day.rowsBetween(Window.unboundedPreceding, 0))
-    return (flagged.join(carry, "day")
-            .select("bucket", F.coalesce(running, F.col("carry_start")).alias("session_us")))
+    buckets = (per_bucket_user.groupBy("bucket")
+               .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    in_time = Window.orderBy("bucket")
+    prev_hi = F.lag("hi").over(in_time)
+    starts = buckets.select(
+        "bucket",
+        F.when(prev_hi.isNull() | (F.col("lo") - prev_hi >= gap_us), F.col("lo")).alias("start_us"))
+    return starts.select(
+        "bucket",
+        F.last("start_us", ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+        .alias("session_us"))
 
 
 def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """A6 history: every global session with its distinct-user count.
 
     ``session_end`` follows Spark's session-window convention (last event +
-    gap).  Events are first reduced to (bucket, user) rows map-side.
+    gap).  The map and the attribution both derive from one (bucket, user)
+    aggregate, so the event table is scanned once.
     """
-    gap_us = gap_seconds * 1_000_000
-    per_bucket_user = (events.select(F.floor(epoch_micros(events) / gap_us).cast("bigint").alias("bucket"),
-                                     _user_key().alias("user_id"), "ts")
-                       .groupBy("bucket", "user_id")
-                       .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
-                            F.max("ts").alias("last_ts")))
-    smap = session_map(events, gap_seconds)
+    per_bucket_user = bucket_users(events, gap_seconds)
+    smap = session_map(per_bucket_user, gap_seconds)
     attributed = join_dimension(per_bucket_user, smap, "bucket", how="inner")
     per_user = (attributed.groupBy("session_us", "user_id")
                 .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"),

@@ -106,8 +106,8 @@ def revenue_running(purchases: DataFrame, partitions: int | None = None) -> Data
                       money_total(cum.cast(MONEY_ACC)).alias("cumulative_revenue"))
 
 
-def revenue_history(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> DataFrame:
-    """L2: the running total at each of the n newest purchases, HH:MM:SS labels.
+def revenue_history_rows(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> DataFrame:
+    """L2 rows with their order keys: ``(seq, event_id, ts, name, revenue)``.
 
     Only n rows are ordered: value at row i = grand total - sum of the newer
     rows among the n (every newer purchase is one of them).
@@ -120,7 +120,12 @@ def revenue_history(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> Dat
     newer = Window.orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.coalesce(F.sum("acc").over(newer), F.lit(0).cast(MONEY_ACC))
     return newest.select(
-        "event_id", "ts",
+        "seq", "event_id", "ts",
         clock_label(F.col("ts")).alias("name"),
         money_total((total - later).cast(MONEY_ACC)).alias("revenue"),
     )
+
+
+def revenue_history(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> DataFrame:
+    """L2: the running total at each of the n newest purchases, HH:MM:SS labels."""
+    return revenue_history_rows(purchases, n).drop("seq")

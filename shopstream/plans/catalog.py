@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
 from ..operators.events import purchases
+from . import dashboard
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
 
@@ -78,6 +79,11 @@ def queries() -> dict[str, Query]:
         "revenue_history": _on_purchases(revenue.revenue_history),
         "recent_events": _on_events(feed.recent_events),
         "feed_age": _on_events(feed.feed_age),
+        # composites
+        "kpis": _on_events(dashboard.kpis),
+        "kpi_text": _on_events(dashboard.kpi_text),
+        "dashboard": _on_events(dashboard.dashboard),
+        "dashboard_json": _on_events(dashboard.dashboard_json),
         # enrichment
         "enriched_events": _enriched,
         # the sales view (order lines as purchases): volume and multi-year periods

@@ -269,6 +269,74 @@ per_month AS (
 SELECT period_start, {_trend_cols("revenue")}, {_trend_cols("orders")} FROM per_month""")
 
 
+_KPI_PARTS = f""",{_SESSIONS},
+kpi AS (
+  SELECT {money("CASE WHEN event_type = 'purchase_completed' THEN amount END")} AS revenue,
+         CAST(COALESCE((SELECT active_users FROM sessions ORDER BY sid DESC LIMIT 1), 0) AS BIGINT)
+           AS active_users,
+         count_if(event_type = 'purchase_completed') AS total_orders,
+         count_if(event_type = 'payment_failed') AS failed_payments,
+         count(*) AS total_events,
+         count_if(event_type = 'product_viewed') AS product_viewed,
+         count_if(event_type = 'cart_added') AS cart_added,
+         count_if(event_type = 'cart_removed') AS cart_removed
+  FROM shop_events
+)"""
+
+KPIS = with_shop(f"""{_KPI_PARTS}
+SELECT revenue, active_users, total_orders, failed_payments, total_events FROM kpi""")
+
+KPI_TEXT = with_shop(f"""{_KPI_PARTS}
+SELECT '₹' || {js_fixed1("revenue / 1000")} || 'k' AS revenue_text,
+       format('{{:,}}', active_users) AS active_users_text,
+       format('{{:,}}', total_orders) AS total_orders_text,
+       format('{{:,}}', failed_payments) AS failed_payments_text,
+       CASE WHEN total_events >= 1000 THEN {js_fixed1("CAST(total_events AS DOUBLE) / 1000")} || 'k'
+            ELSE CAST(total_events AS VARCHAR) END AS total_events_text
+FROM kpi""")
+
+_DASHBOARD_PARTS = f"""{_KPI_PARTS}{_FEED},
+top AS (
+  SELECT COALESCE(product_name, 'unknown') AS product_name, count(*) AS purchase_count
+  FROM purchases GROUP BY 1 ORDER BY purchase_count DESC, product_name DESC LIMIT 10
+),
+hist AS (
+  SELECT * FROM (
+    SELECT ts, seq, strftime(ts, '%H:%M:%S') AS name,
+           CAST(CAST(SUM(CAST(amount AS DECIMAL(38,6))) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)
+                     AS DECIMAL(38,2)) AS DOUBLE) AS revenue
+    FROM purchases)
+  ORDER BY ts DESC, seq DESC LIMIT 20
+),
+board AS (
+  SELECT struct_pack(total_revenue := revenue, currency := 'INR') AS revenue,
+         struct_pack(products := (SELECT list(struct_pack(product_name := product_name,
+                                                          purchase_count := purchase_count)
+                                         ORDER BY purchase_count DESC, product_name DESC) FROM top))
+           AS top_products,
+         struct_pack(product_viewed := product_viewed, cart_added := cart_added,
+                     cart_removed := cart_removed, purchase_completed := total_orders,
+                     payment_failed := failed_payments, total := total_events) AS event_counts,
+         struct_pack(active_users := active_users, "window" := 'last 5 minutes') AS active_users,
+         (SELECT list(struct_pack(id := id, type := type, title := title, subtitle := subtitle,
+                                  time := 'Just now') ORDER BY ts DESC, seq DESC)
+          FROM (SELECT {_FEED_COLS}, ts, seq FROM feed)) AS recent_events,
+         (SELECT list(struct_pack(name := name, revenue := revenue) ORDER BY ts, seq) FROM hist)
+           AS revenue_history
+  FROM kpi
+)"""
+
+DASHBOARD = with_shop(f"""{_DASHBOARD_PARTS}
+SELECT * FROM board""")
+
+DASHBOARD_JSON = with_shop(f"""{_DASHBOARD_PARTS}
+SELECT CAST(to_json(struct_pack(revenue := revenue, top_products := top_products,
+                                event_counts := event_counts, active_users := active_users,
+                                recent_events := recent_events, revenue_history := revenue_history))
+            AS VARCHAR) AS dashboard
+FROM board""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
@@ -294,6 +362,10 @@ def oracle_sql() -> dict[str, str]:
         "revenue_history": REVENUE_HISTORY,
         "recent_events": RECENT_EVENTS,
         "feed_age": FEED_AGE,
+        "kpis": KPIS,
+        "kpi_text": KPI_TEXT,
+        "dashboard": DASHBOARD,
+        "dashboard_json": DASHBOARD_JSON,
         "enriched_events": ENRICHED_EVENTS,
         "sales_revenue_total": SALES_REVENUE_TOTAL,
         "sales_top_products": SALES_TOP_PRODUCTS,
