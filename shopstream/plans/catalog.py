@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
-from ..operators.events import purchases
+from ..operators.events import purchases, with_amount
 from . import dashboard
+from ..sources import json_events as wire
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
 
@@ -50,6 +51,38 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_events(shop_events(spark, sf_dir), read_table(spark, sf_dir, "part"))
 
 
+def _kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Kafka record (key = user id, value = JSON) of every event."""
+    return wire.to_wire(shop_events(spark, sf_dir))
+
+
+def _metadata_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("metadata", F.to_json("metadata"))
+
+
+def _valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V4: every event through the ingest contract (JSON round trip)."""
+    return _metadata_text(wire.valid_events(_kafka_rows(spark, sf_dir)))
+
+
+def _rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: the driver's events as an unconverted client sends them (its own
+    type names) - the ingest contract rejects them, with reasons."""
+    return wire.rejected_events(wire.to_wire(shop_events(spark, sf_dir, map_types=False)))
+
+
+def _lenient_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: the processor's lenient reading of every event, with its amount."""
+    return _metadata_text(with_amount(wire.parse_lenient(_kafka_rows(spark, sf_dir))))
+
+
+def _parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 (JSON half): Kafka records decoded into canonical events, key kept."""
+    rows = _kafka_rows(spark, sf_dir)
+    parsed = wire.parse_lenient(rows.withColumnRenamed("key", "kafka_key"))
+    return parsed.select("event_id", "event_type", "user_id", "product_name", "price", "quantity", "ts")
+
+
 def queries() -> dict[str, Query]:
     return {
         # single-scan aggregates
@@ -84,6 +117,12 @@ def queries() -> dict[str, Query]:
         "kpi_text": _on_events(dashboard.kpi_text),
         "dashboard": _on_events(dashboard.dashboard),
         "dashboard_json": _on_events(dashboard.dashboard_json),
+        # wire format, validation, sources
+        "kafka_rows": _kafka_rows,
+        "parse_events": _parse_events,
+        "valid_events": _valid_events,
+        "rejected_events": _rejected_events,
+        "lenient_events": _lenient_events,
         # enrichment
         "enriched_events": _enriched,
         # the sales view (order lines as purchases): volume and multi-year periods

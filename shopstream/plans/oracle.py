@@ -337,6 +337,42 @@ SELECT CAST(to_json(struct_pack(revenue := revenue, top_products := top_products
 FROM board""")
 
 
+_WIRE_JSON = """CAST(to_json(struct_pack(
+    event_id := event_id, event_type := event_type, user_id := user_id, product_id := product_id,
+    product_name := product_name, price := price, quantity := quantity,
+    "timestamp" := regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', ''),
+    metadata := CASE WHEN product_id IS NOT NULL THEN MAP {'k': product_id} ELSE MAP {} END)) AS VARCHAR)"""
+
+KAFKA_ROWS = with_shop(f"""
+SELECT user_id AS key, {_WIRE_JSON} AS value FROM shop_events""")
+
+_CANON_COLS = """event_id, event_type, user_id, product_id, product_name, price, quantity, ts,
+       CAST(to_json(CASE WHEN product_id IS NOT NULL THEN MAP {'k': product_id} ELSE MAP {} END)
+            AS VARCHAR) AS metadata"""
+
+VALID_EVENTS = with_shop(f"""
+SELECT {_CANON_COLS} FROM shop_events""")
+
+LENIENT_EVENTS = with_shop(f"""
+SELECT {_CANON_COLS}, amount FROM shop_events""")
+
+PARSE_EVENTS = with_shop("""
+SELECT event_id, event_type, user_id, product_name, price, quantity, ts FROM shop_events""")
+
+REJECTED_EVENTS = with_shop(f""",
+raw_typed AS (
+  SELECT s.* REPLACE (e.event_type AS event_type)
+  FROM shop_events s JOIN events e ON s.seq = e.event_id
+)
+SELECT {_WIRE_JSON} AS raw_value,
+       CASE WHEN event_type IN ('product_viewed', 'cart_added', 'cart_removed',
+                                'purchase_completed', 'payment_failed') THEN NULL
+            ELSE 'invalid_event_type_value' END AS reasons
+FROM raw_typed
+WHERE event_type NOT IN ('product_viewed', 'cart_added', 'cart_removed',
+                         'purchase_completed', 'payment_failed')""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
@@ -366,6 +402,11 @@ def oracle_sql() -> dict[str, str]:
         "kpi_text": KPI_TEXT,
         "dashboard": DASHBOARD,
         "dashboard_json": DASHBOARD_JSON,
+        "kafka_rows": KAFKA_ROWS,
+        "parse_events": PARSE_EVENTS,
+        "valid_events": VALID_EVENTS,
+        "rejected_events": REJECTED_EVENTS,
+        "lenient_events": LENIENT_EVENTS,
         "enriched_events": ENRICHED_EVENTS,
         "sales_revenue_total": SALES_REVENUE_TOTAL,
         "sales_top_products": SALES_TOP_PRODUCTS,

@@ -24,13 +24,17 @@ def map_source_type(col: Column) -> Column:
     return mapped.otherwise(col)
 
 
-def events_to_shop_events(events: DataFrame, part: DataFrame) -> DataFrame:
-    """Canonical events (see ``schema.CANONICAL_SCHEMA``) from the driver tables."""
+def events_to_shop_events(events: DataFrame, part: DataFrame, map_types: bool = True) -> DataFrame:
+    """Canonical events (see ``schema.CANONICAL_SCHEMA``) from the driver tables.
+
+    ``map_types=False`` keeps the driver's own type names (view, click, ...),
+    i.e. events as an unconverted client would send them.
+    """
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     typed = events.select(
         F.col("event_id").alias("seq"),
         F.col("event_id").cast("string").alias("event_id"),
-        map_source_type(F.col("event_type")).alias("event_type"),
+        (map_source_type(F.col("event_type")) if map_types else F.col("event_type")).alias("event_type"),
         F.col("user_id").cast("string").alias("user_id"),
         k.alias("k"),
         F.col("value").alias("price"),
@@ -49,9 +53,9 @@ def events_to_shop_events(events: DataFrame, part: DataFrame) -> DataFrame:
     )
 
 
-def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shop_events(spark: SparkSession, sf_dir: str, map_types: bool = True) -> DataFrame:
     return events_to_shop_events(read_table(spark, sf_dir, "events"),
-                                 read_table(spark, sf_dir, "part"))
+                                 read_table(spark, sf_dir, "part"), map_types)
 
 
 def sales(spark: SparkSession, sf_dir: str, with_date: bool = True,
