@@ -2,9 +2,10 @@
 
 Two renderings must agree digit for digit with other runtimes:
 
-* ``py_float_str`` - the text Python gives for a float (``str(x)``), used in
-  the live-feed subtitle.  Spark's own cast agrees with it for magnitudes in
-  [1e-3, 1e7); outside that range the exponent form is rewritten.
+* ``with_py_float_text`` - the text Python gives for a float (``str(x)``),
+  used in the live-feed subtitle.  The JVM's own double-to-text differs
+  (``1.349E7`` for ``13490000.0``; and Java 17 sometimes prints more digits
+  than the shortest form), so it is rebuilt from the shortest round-trip.
 * ``js_fixed1`` - JavaScript's ``x.toFixed(1)``, which rounds the *exact
   binary value* of the double half-up.  Rounding the shortest decimal text
   instead gets ties such as 1.15 wrong (1.15 is stored below 1.15), so the
@@ -13,46 +14,60 @@ Two renderings must agree digit for digit with other runtimes:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import CURRENCY_SIGN, FEED_TIME_LABEL
 
-_JAVA_SCI = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-
-
-def py_float_str(x: Column) -> Column:
-    s = x.cast("string")
-    sign = F.regexp_extract(s, _JAVA_SCI, 1)
-    lead = F.regexp_extract(s, _JAVA_SCI, 2)
-    frac = F.regexp_replace(F.regexp_extract(s, _JAVA_SCI, 3), "0+$", "")
-    exp = F.regexp_extract(s, _JAVA_SCI, 4).cast("int")
-    digits = F.concat(lead, frac)
+_SCI = r"^(-?)(\d)\.?(\d*)e([-+]\d+)$"
+
+
+def with_py_float_text(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Adds ``out`` = Python's ``str(float)`` of column ``src``.
+
+    Python prints the shortest digit string that reads back as the same
+    double.  Step 1 picks, per row, the shortest ``%.Ne`` rendering that
+    round-trips (1 to 17 significant digits); step 2 splits it into sign,
+    digits and exponent; step 3 lays it out as Python does (plain notation
+    for 1e-4 <= |x| < 1e16, else ``1.5e-05``).  The steps are separate
+    projections so each stays small enough for whole-stage codegen.
+    """
+    x = F.col(src)
+    shortest = None
+    for p in range(1, 18):
+        cand = F.format_string(f"%.{p - 1}e", x)
+        ok = cand.try_cast("double") == x
+        shortest = F.when(ok, cand) if shortest is None else shortest.when(ok, cand)
+    step1 = df.withColumn("_pf_sci", shortest.otherwise(F.format_string("%.16e", x)))
+    sci = F.col("_pf_sci")
+    step2 = (step1
+             .withColumn("_pf_sign", F.regexp_extract(sci, _SCI, 1))
+             .withColumn("_pf_digits", F.regexp_replace(
+                 F.concat(F.regexp_extract(sci, _SCI, 2), F.regexp_extract(sci, _SCI, 3)), "(?<=.)0+$", ""))
+             .withColumn("_pf_exp", F.regexp_extract(sci, _SCI, 4).try_cast("int")))
+    sign, digits, exp = F.col("_pf_sign"), F.col("_pf_digits"), F.col("_pf_exp")
     n = F.length(digits)
-    # plain notation, exponent >= 0: pad with zeros or place the point inside
     plain_pos = F.when(
-        n <= exp + 1,
-        F.concat(digits, F.repeat(F.lit("0"), exp + 1 - n), F.lit(".0")),
-    ).otherwise(F.concat(digits.substr(F.lit(1), exp + 1), F.lit("."),
-                         digits.substr(exp + 2, F.lit(400))))
+        n <= exp + 1, F.concat(digits, F.repeat(F.lit("0"), exp + 1 - n), F.lit(".0")),
+    ).otherwise(F.concat(digits.substr(F.lit(1), exp + 1), F.lit("."), digits.substr(exp + 2, F.lit(400))))
     plain_neg = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    sci = F.concat(
-        lead,
-        F.when(F.length(frac) > 0, F.concat(F.lit("."), frac)).otherwise(F.lit("")),
-        F.lit("e"),
-        F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exp).cast("string"), 2, "0"),
+    tail = digits.substr(F.lit(2), F.lit(400))
+    exp_text = F.abs(exp).cast("string")
+    sci_out = F.concat(
+        digits.substr(F.lit(1), F.lit(1)),
+        F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(F.lit("")),
+        F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.when(F.length(exp_text) < 2, F.concat(F.lit("0"), exp_text)).otherwise(exp_text),
     )
     body = (F.when((exp >= 0) & (exp < 16), plain_pos)
             .when((exp < 0) & (exp >= -4), plain_neg)
-            .otherwise(sci))
-    rewritten = F.concat(sign, body)
-    out = (F.when(x.isNull(), F.lit(None).cast("string"))
-           .when(F.isnan(x), F.lit("nan"))
-           .when(x == float("inf"), F.lit("inf"))
-           .when(x == float("-inf"), F.lit("-inf"))
-           .when(F.length(F.regexp_extract(s, _JAVA_SCI, 0)) == 0, s)
-           .otherwise(rewritten))
-    return out
+            .otherwise(sci_out))
+    text = (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(x == float("inf"), F.lit("inf"))
+            .when(x == float("-inf"), F.lit("-inf"))
+            .when(x == 0, x.cast("string"))
+            .otherwise(F.concat(sign, body)))
+    return step2.withColumn(out, text).drop("_pf_sci", "_pf_sign", "_pf_digits", "_pf_exp")
 
 
 def js_fixed1(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import age_label, py_float_str
+from ..functions.text import age_label, with_py_float_text
 from ..schema import (
     CART_ADDED, CURRENCY_SIGN, FEED_DEFAULT_NAME, FEED_ERROR_SUBTITLE, FEED_KINDS,
     FEED_TIME_LABEL, PURCHASE_COMPLETED, RECENT_EVENTS_LIMIT, UNKNOWN,
@@ -26,8 +26,9 @@ def feed_projection(events_with_amount: DataFrame) -> DataFrame:
     A purchase subtitle prints the amount the way Python prints a float.
     """
     name = F.coalesce(F.col("product_name"), F.lit(FEED_DEFAULT_NAME))
+    events_with_amount = with_py_float_text(events_with_amount, "amount", "_amount_text")
     subtitle = (F.when(F.col("event_type") == PURCHASE_COMPLETED,
-                       F.concat(name, F.lit(f" - {CURRENCY_SIGN}"), py_float_str(F.col("amount"))))
+                       F.concat(name, F.lit(f" - {CURRENCY_SIGN}"), F.col("_amount_text")))
                 .when(F.col("event_type") == CART_ADDED, name)
                 .otherwise(F.lit(FEED_ERROR_SUBTITLE)))
     return events_with_amount.select(
