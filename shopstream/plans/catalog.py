@@ -17,20 +17,24 @@ from . import dashboard
 from ..sources import json_events as wire
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
+from ..schema import PURCHASE_COMPLETED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_events(metric: Callable[[DataFrame], DataFrame]) -> Query:
+def _on_events(metric: Callable[[DataFrame], DataFrame], names: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return metric(shop_events(spark, sf_dir))
+        return metric(shop_events(spark, sf_dir, with_names=names))
     run.__doc__ = metric.__doc__
     return run
 
 
-def _on_purchases(metric: Callable[[DataFrame], DataFrame]) -> Query:
+def _on_purchases(metric: Callable[[DataFrame], DataFrame], names: bool = False) -> Query:
+    """Purchases only: the type filter reaches the parquet scan, and the
+    product-name join runs only for metrics that read names."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return metric(purchases(shop_events(spark, sf_dir)))
+        ev = shop_events(spark, sf_dir, only_types=[PURCHASE_COMPLETED], with_names=names)
+        return metric(purchases(ev))
     run.__doc__ = metric.__doc__
     return run
 
@@ -86,35 +90,35 @@ def _parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         # single-scan aggregates
-        "event_counts": _on_events(counts.event_counts),
-        "events_by_type": _on_events(counts.events_by_type),
-        "revenue_total": _on_events(counts.revenue_total),
-        "cart_abandonment": _on_events(counts.cart_abandonment),
-        "failed_payment_rate": _on_events(counts.failed_payment_rate),
-        "event_breakdown": _on_events(counts.event_breakdown),
-        "purchase_amount": _on_events(_purchase_amount),
+        "event_counts": _on_events(counts.event_counts, names=False),
+        "events_by_type": _on_events(counts.events_by_type, names=False),
+        "revenue_total": _on_events(counts.revenue_total, names=False),
+        "cart_abandonment": _on_events(counts.cart_abandonment, names=False),
+        "failed_payment_rate": _on_events(counts.failed_payment_rate, names=False),
+        "event_breakdown": _on_events(counts.event_breakdown, names=False),
+        "purchase_amount": _on_purchases(_purchase_amount, names=True),
         # products
-        "product_counts": _on_purchases(products.product_counts),
-        "top_products": _on_purchases(products.top_products),
-        "top_products_percent": _on_purchases(products.top_products_percent),
+        "product_counts": _on_purchases(products.product_counts, names=True),
+        "top_products": _on_purchases(products.top_products, names=True),
+        "top_products_percent": _on_purchases(products.top_products_percent, names=True),
         # time
         "revenue_per_minute": _on_purchases(lambda p: revenue.revenue_by_window(p, "1 minute")),
         "revenue_per_hour": _on_purchases(lambda p: revenue.revenue_by_window(p, "1 hour")),
         "revenue_by_week": _on_purchases(lambda p: revenue.revenue_by_period(p, "week")),
         "revenue_by_month": _on_purchases(lambda p: revenue.revenue_by_period(p, "month")),
         "revenue_by_year": _on_purchases(lambda p: revenue.revenue_by_period(p, "year")),
-        "active_users_sliding": _on_events(active_users.active_users_sliding),
-        "active_user_sessions": _on_events(active_users.global_sessions),
-        "active_users_now": _on_events(active_users.active_users_now),
-        "kpi_trend": _on_events(trend.kpi_trend),
+        "active_users_sliding": _on_events(active_users.active_users_sliding, names=False),
+        "active_user_sessions": _on_events(active_users.global_sessions, names=False),
+        "active_users_now": _on_events(active_users.active_users_now, names=False),
+        "kpi_trend": _on_events(trend.kpi_trend, names=False),
         # order-dependent lists
         "revenue_running": _on_purchases(revenue.revenue_running),
         "revenue_history": _on_purchases(revenue.revenue_history),
         "recent_events": _on_events(feed.recent_events),
         "feed_age": _on_events(feed.feed_age),
         # composites
-        "kpis": _on_events(dashboard.kpis),
-        "kpi_text": _on_events(dashboard.kpi_text),
+        "kpis": _on_events(dashboard.kpis, names=False),
+        "kpi_text": _on_events(dashboard.kpi_text, names=False),
         "dashboard": _on_events(dashboard.dashboard),
         "dashboard_json": _on_events(dashboard.dashboard_json),
         # wire format, validation, sources

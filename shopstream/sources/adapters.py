@@ -24,12 +24,28 @@ def map_source_type(col: Column) -> Column:
     return mapped.otherwise(col)
 
 
-def events_to_shop_events(events: DataFrame, part: DataFrame, map_types: bool = True) -> DataFrame:
+def source_types_for(wanted) -> list[str]:
+    """Driver type names that become one of ``wanted`` (unmapped names pass
+    through unchanged, so a wanted name is also its own source name)."""
+    wanted = set(wanted)
+    return sorted({src for src, dst in SOURCE_TYPE_MAP.items() if dst in wanted}
+                  | {t for t in wanted if t not in SOURCE_TYPE_MAP})
+
+
+def events_to_shop_events(events: DataFrame, part: DataFrame | None, map_types: bool = True,
+                          only_types=None) -> DataFrame:
     """Canonical events (see ``schema.CANONICAL_SCHEMA``) from the driver tables.
 
-    ``map_types=False`` keeps the driver's own type names (view, click, ...),
-    i.e. events as an unconverted client would send them.
+    * ``map_types=False`` keeps the driver's own type names (view, click, ...),
+      i.e. events as an unconverted client would send them.
+    * ``only_types``: keep only these canonical types; the filter is written
+      on the source column so it reaches the parquet scan.
+    * ``part=None`` skips the product-name join (``product_name`` is null) for
+      metrics that never read names.
     """
+    if only_types is not None:
+        keep = source_types_for(only_types) if map_types else sorted(set(only_types))
+        events = events.where(F.col("event_type").isin(*keep))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     typed = events.select(
         F.col("event_id").alias("seq"),
@@ -41,21 +57,26 @@ def events_to_shop_events(events: DataFrame, part: DataFrame, map_types: bool =
         F.coalesce((F.lit(1) + k % 3).cast("int"), F.lit(1)).alias("quantity"),
         F.col("ts"),
     )
-    names = part.select(F.col("p_partkey"), F.col("p_name"))
-    joined = join_dimension(typed, names, typed["k"] == names["p_partkey"], how="left")
+    if part is not None:
+        names = part.select(F.col("p_partkey"), F.col("p_name"))
+        joined = join_dimension(typed, names, typed["k"] == names["p_partkey"], how="left")
+        name_col = F.col("p_name")
+    else:
+        joined, name_col = typed, F.lit(None).cast("string")
     return joined.select(
         "seq", "event_id", "event_type", "user_id",
         F.col("k").cast("string").alias("product_id"),
-        F.col("p_name").alias("product_name"),
+        name_col.alias("product_name"),
         "price", "quantity", "ts",
         F.when(F.col("k").isNotNull(),
                F.create_map(F.lit("k"), F.col("k").cast("string"))).alias("metadata"),
     )
 
 
-def shop_events(spark: SparkSession, sf_dir: str, map_types: bool = True) -> DataFrame:
-    return events_to_shop_events(read_table(spark, sf_dir, "events"),
-                                 read_table(spark, sf_dir, "part"), map_types)
+def shop_events(spark: SparkSession, sf_dir: str, map_types: bool = True, only_types=None,
+                with_names: bool = True) -> DataFrame:
+    part = read_table(spark, sf_dir, "part") if with_names else None
+    return events_to_shop_events(read_table(spark, sf_dir, "events"), part, map_types, only_types)
 
 
 def sales(spark: SparkSession, sf_dir: str, with_date: bool = True,

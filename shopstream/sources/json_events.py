@@ -56,14 +56,13 @@ def to_wire(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Decoding helpers
 # ---------------------------------------------------------------------------
-def _field(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+# Decoding runs as staged projections: parse once, then read every field's
+# token kind once, then derive typed values and reasons from those columns.
+# (Expressions referenced several times are not inlined across projections,
+# so each variant lookup is evaluated once per row.)
 
-
-def _kind(v: Column, name: str) -> Column:
-    """JSON token kind of a field: NULL (missing), 'VOID' (JSON null),
-    'STRING', 'BIGINT', 'DECIMAL(p,s)', 'DOUBLE', 'BOOLEAN', 'OBJECT<..>', ..."""
-    return F.schema_of_variant(_field(v, name))
+def _kind_col(name: str) -> str:
+    return f"_k_{name}"
 
 
 def _is_number(kind: Column) -> Column:
@@ -71,124 +70,143 @@ def _is_number(kind: Column) -> Column:
 
 
 def _decoded(raw: DataFrame, value_col: str) -> DataFrame:
-    v = F.try_parse_json(F.col(value_col))
-    return raw.withColumn("_v", v).withColumn("_top", F.schema_of_variant(F.col("_v")))
+    """Stage 1 + 2: ``_v`` (VARIANT or null), ``_top`` (its kind) and, per wire
+    field, ``_k_<field>``: NULL when absent, 'VOID' for JSON null, else the
+    token kind ('STRING', 'BIGINT', 'DECIMAL(p,s)', 'DOUBLE', 'BOOLEAN', 'OBJECT<..>', ...)."""
+    parsed = raw.withColumn("_v", F.try_parse_json(F.col(value_col)))
+    v = F.col("_v")
+    return parsed.select(
+        "*",
+        F.schema_of_variant(v).alias("_top"),
+        *[F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")).alias(_kind_col(f))
+          for f in WIRE_FIELDS],
+    )
 
 
 def _is_object() -> Column:
     return F.coalesce(F.col("_top").startswith("OBJECT"), F.lit(False))
 
 
+def _get(name: str, type_: str) -> Column:
+    return F.try_variant_get(F.col("_v"), f"$.{name}", type_)
+
+
 # ---------------------------------------------------------------------------
 # Strict rules (V1-V5)
 # ---------------------------------------------------------------------------
-def _strict_columns() -> tuple[list[Column], Column]:
-    v = F.col("_v")
-    kinds = {f: _kind(v, f) for f in WIRE_FIELDS}
-    reasons = []
-
-    def need_string(name: str, default: Column | None = None) -> Column:
-        kind = kinds[name]
-        ok = kind == "STRING"
-        if default is None:
-            reasons.append(F.when(kind.isNull(), F.lit(f"missing_{name}"))
-                           .when(~ok, F.lit(f"invalid_{name}")))
-            return F.when(ok, F.try_variant_get(v, f"$.{name}", "string"))
-        reasons.append(F.when(kind.isNotNull() & ~ok, F.lit(f"invalid_{name}")))
-        return F.when(ok, F.try_variant_get(v, f"$.{name}", "string")).when(kind.isNull(), default)
-
-    event_id = need_string("event_id", default=F.expr("uuid()"))
-    event_type = need_string("event_type")
-    reasons.append(F.when((kinds["event_type"] == "STRING") & ~event_type.isin(*EVENT_TYPES),
-                          F.lit("invalid_event_type_value")))
-    user_id = need_string("user_id")
-    product_id = need_string("product_id")
-    product_name = need_string("product_name")
-
-    # price: a JSON number, or text that reads as a number
-    pk = kinds["price"]
-    price = (F.when(_is_number(pk), F.try_variant_get(v, "$.price", "double"))
-             .when(pk == "STRING", F.try_variant_get(v, "$.price", "string").try_cast("double")))
-    reasons.append(F.when(pk.isNull(), F.lit("missing_price"))
-                   .when(price.isNull(), F.lit("invalid_price")))
-
-    # quantity: an integer, a number without fraction, or integer text; default 1
-    qk = kinds["quantity"]
-    q_num = F.try_variant_get(v, "$.quantity", "double")
-    q_text = F.try_variant_get(v, "$.quantity", "string")
-    quantity = (F.when(qk.isNull(), F.lit(1))
-                .when(_is_number(qk) & (q_num == F.floor(q_num)), q_num.try_cast("int"))
-                .when((qk == "STRING") & q_text.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(q_text).try_cast("int")))
-    reasons.append(F.when(quantity.isNull(), F.lit("invalid_quantity")))
-
-    # timestamp: ISO-8601 text (zone honoured, stored as UTC wall time); default now
-    tk = kinds["timestamp"]
-    ts_text = F.try_variant_get(v, "$.timestamp", "string")
-    ts = (F.when(tk.isNull(), F.current_timestamp())
-          .when(tk == "STRING", ts_text.try_cast("timestamp"))
-          .when(_is_number(tk), F.timestamp_micros(
-              (F.try_variant_get(v, "$.timestamp", "double") * 1_000_000).try_cast("bigint"))))
-    reasons.append(F.when(ts.isNull(), F.lit("invalid_timestamp")))
-
-    # metadata: an object (values kept as text), null or absent -> empty
-    mk = kinds["metadata"]
-    metadata = (F.when(mk.isNull() | (mk == "VOID"), F.create_map().cast("map<string,string>"))
-                .when(mk.startswith("OBJECT"), F.try_variant_get(v, "$.metadata", "map<string,string>")))
-    reasons.append(F.when(metadata.isNull(), F.lit("invalid_metadata")))
-
-    cols = [
-        event_id.alias("event_id"), event_type.alias("event_type"), user_id.alias("user_id"),
-        product_id.alias("product_id"), product_name.alias("product_name"),
-        price.alias("price"), quantity.alias("quantity"),
-        ts.cast("timestamp_ntz").alias("ts"), metadata.alias("metadata"),
-    ]
-    reason_list = F.when(~_is_object(), F.array(F.lit("malformed_json"))).otherwise(
-        F.filter(F.array(*reasons), lambda r: r.isNotNull()))
-    return cols, reason_list
+def _strict_typed(dec: DataFrame) -> DataFrame:
+    """Stage 3: typed values (null when unusable) next to the kinds."""
+    k = {f: F.col(_kind_col(f)) for f in WIRE_FIELDS}
+
+    def text(name: str) -> Column:
+        return F.when(k[name] == "STRING", _get(name, "string"))
+
+    pk, qk, tk, mk = k["price"], k["quantity"], k["timestamp"], k["metadata"]
+    q_num = _get("quantity", "double")
+    q_text = _get("quantity", "string")
+    return dec.select(
+        "*",
+        F.when(k["event_id"].isNull(), F.expr("uuid()")).otherwise(text("event_id")).alias("_event_id"),
+        text("event_type").alias("_event_type"),
+        text("user_id").alias("_user_id"),
+        text("product_id").alias("_product_id"),
+        text("product_name").alias("_product_name"),
+        # price: a JSON number, or text that reads as a number
+        F.when(_is_number(pk), _get("price", "double"))
+        .when(pk == "STRING", _get("price", "string").try_cast("double")).alias("_price"),
+        # quantity: an integer, a number without fraction, or integer text; default 1
+        F.when(qk.isNull(), F.lit(1))
+        .when(_is_number(qk) & (q_num == F.floor(q_num)), q_num.try_cast("int"))
+        .when((qk == "STRING") & q_text.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(q_text).try_cast("int"))
+        .alias("_quantity"),
+        # timestamp: ISO-8601 text (zone honoured, kept as UTC wall time), or epoch seconds; default now
+        F.when(tk.isNull(), F.current_timestamp())
+        .when(tk == "STRING", _get("timestamp", "string").try_cast("timestamp"))
+        .when(_is_number(tk), F.timestamp_micros((_get("timestamp", "double") * 1_000_000).try_cast("bigint")))
+        .alias("_ts"),
+        # metadata: an object (values kept as text); null or absent -> empty
+        F.when(mk.isNull() | (mk == "VOID"), F.create_map().cast("map<string,string>"))
+        .when(mk.startswith("OBJECT"), _get("metadata", "map<string,string>")).alias("_metadata"),
+    )
+
+
+def _reasons() -> Column:
+    """Comma-separated reasons ('' = valid), from the stage-3 columns."""
+    k = {f: F.col(_kind_col(f)) for f in WIRE_FIELDS}
+    parts = []
+    for name in ("event_id", "event_type", "user_id", "product_id", "product_name"):
+        if name == "event_id":
+            parts.append(F.when(k[name].isNotNull() & (k[name] != "STRING"), F.lit("invalid_event_id")))
+            continue
+        parts.append(F.when(k[name].isNull(), F.lit(f"missing_{name}"))
+                     .when(k[name] != "STRING", F.lit(f"invalid_{name}")))
+        if name == "event_type":
+            parts.append(F.when((k[name] == "STRING") & ~F.col("_event_type").isin(*EVENT_TYPES),
+                                F.lit("invalid_event_type_value")))
+    parts.append(F.when(k["price"].isNull(), F.lit("missing_price"))
+                 .when(F.col("_price").isNull(), F.lit("invalid_price")))
+    parts.append(F.when(F.col("_quantity").isNull(), F.lit("invalid_quantity")))
+    parts.append(F.when(F.col("_ts").isNull(), F.lit("invalid_timestamp")))
+    parts.append(F.when(F.col("_metadata").isNull(), F.lit("invalid_metadata")))
+    return F.when(~_is_object(), F.lit("malformed_json")).otherwise(F.concat_ws(",", *parts))
 
 
 def validate_strict(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Typed canonical columns plus ``reasons`` (empty array = valid)."""
-    cols, reasons = _strict_columns()
-    dec = _decoded(raw, value_col)
-    return dec.select(F.col(value_col).alias("raw_value"), *cols, reasons.alias("reasons"))
+    """Typed canonical columns plus ``reasons`` (comma separated; '' = valid).
+
+    The result carries observed metrics (``strict_validation``: records,
+    rejected).  The observation also keeps a later ``where`` on ``reasons``
+    above the decode, instead of being inlined into every field lookup.
+    """
+    typed = _strict_typed(_decoded(raw, value_col))
+    checked = typed.select(
+        F.col(value_col).alias("raw_value"),
+        F.col("_event_id").alias("event_id"), F.col("_event_type").alias("event_type"),
+        F.col("_user_id").alias("user_id"), F.col("_product_id").alias("product_id"),
+        F.col("_product_name").alias("product_name"), F.col("_price").alias("price"),
+        F.col("_quantity").alias("quantity"), F.col("_ts").cast("timestamp_ntz").alias("ts"),
+        F.col("_metadata").alias("metadata"),
+        _reasons().alias("reasons"),
+    )
+    return checked.observe("strict_validation", F.count(F.lit(1)).alias("records"),
+                           F.count_if(F.col("reasons") != "").alias("rejected"))
 
 
 def valid_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """V1-V4: the records that pass the ingest contract, in canonical form."""
     checked = validate_strict(raw, value_col)
-    return checked.where(F.size("reasons") == 0).drop("raw_value", "reasons")
+    return checked.where(F.col("reasons") == "").drop("raw_value", "reasons")
 
 
 def rejected_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """V5: the reject channel - original text and every reason, comma separated."""
     checked = validate_strict(raw, value_col)
-    return checked.where(F.size("reasons") > 0).select(
-        "raw_value", F.array_join("reasons", ",").alias("reasons"))
+    return checked.where(F.col("reasons") != "").select("raw_value", "reasons")
 
 
 # ---------------------------------------------------------------------------
 # Lenient rules
 # ---------------------------------------------------------------------------
-def _py_float(v: Column, name: str, kind: Column) -> Column:
+def _py_float(name: str) -> Column:
     """Python ``float(x)``: numbers, booleans, numeric text; else null (error)."""
-    return (F.when(_is_number(kind), F.try_variant_get(v, f"$.{name}", "double"))
-            .when(kind == "BOOLEAN", F.try_variant_get(v, f"$.{name}", "boolean").cast("double"))
-            .when(kind == "STRING", F.trim(F.try_variant_get(v, f"$.{name}", "string")).try_cast("double")))
+    kind = F.col(_kind_col(name))
+    return (F.when(_is_number(kind), _get(name, "double"))
+            .when(kind == "BOOLEAN", _get(name, "boolean").cast("double"))
+            .when(kind == "STRING", F.trim(_get(name, "string")).try_cast("double")))
 
 
-def _py_int(v: Column, name: str, kind: Column) -> Column:
+def _py_int(name: str) -> Column:
     """Python ``int(x)``: numbers truncate toward zero, integer text parses; else null."""
-    text = F.trim(F.try_variant_get(v, f"$.{name}", "string"))
-    return (F.when(_is_number(kind), F.try_variant_get(v, f"$.{name}", "double").try_cast("int"))
-            .when(kind == "BOOLEAN", F.try_variant_get(v, f"$.{name}", "boolean").cast("int"))
+    kind = F.col(_kind_col(name))
+    text = F.trim(_get(name, "string"))
+    return (F.when(_is_number(kind), _get(name, "double").try_cast("int"))
+            .when(kind == "BOOLEAN", _get(name, "boolean").cast("int"))
             .when((kind == "STRING") & text.rlike(r"^[-+]?\d+$"), text.try_cast("int")))
 
 
-def _text_or(v: Column, name: str, default: str) -> Column:
-    kind = _kind(v, name)
-    return F.when(kind.isNull() | (kind == "VOID"), F.lit(default)).otherwise(
-        F.try_variant_get(v, f"$.{name}", "string"))
+def _text_or(name: str, default: str) -> Column:
+    kind = F.col(_kind_col(name))
+    return F.when(kind.isNull() | (kind == "VOID"), F.lit(default)).otherwise(_get(name, "string"))
 
 
 def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
@@ -199,28 +217,28 @@ def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
     (the event still counts, but adds no revenue, product or feed row).
     Rows that are not a JSON object are dropped here; see ``lenient_rejects``.
     """
-    v = F.col("_v")
-    pk, qk = _kind(v, "price"), _kind(v, "quantity")
-    price = F.when(pk.isNull(), F.lit(0.0)).otherwise(_py_float(v, "price", pk))
-    quantity = F.when(qk.isNull(), F.lit(1)).otherwise(_py_int(v, "quantity", qk))
-    ts_text = F.try_variant_get(v, "$.timestamp", "string")
-    dec = _decoded(raw, value_col).where(_is_object())
+    dec = (_decoded(raw, value_col)
+           .observe("lenient_decode", F.count(F.lit(1)).alias("records"),
+                    F.count_if(~_is_object()).alias("malformed"))
+           .where(_is_object()))
+    pk, qk = F.col(_kind_col("price")), F.col(_kind_col("quantity"))
     return dec.select(
-        _text_or(v, "event_id", UNKNOWN).alias("event_id"),
-        _text_or(v, "event_type", UNKNOWN).alias("event_type"),
-        _text_or(v, "user_id", UNKNOWN).alias("user_id"),
-        F.try_variant_get(v, "$.product_id", "string").alias("product_id"),
-        F.try_variant_get(v, "$.product_name", "string").alias("product_name"),
-        price.alias("price"),
-        quantity.alias("quantity"),
-        ts_text.try_cast("timestamp").cast("timestamp_ntz").alias("ts"),
-        F.try_variant_get(v, "$.metadata", "map<string,string>").alias("metadata"),
+        _text_or("event_id", UNKNOWN).alias("event_id"),
+        _text_or("event_type", UNKNOWN).alias("event_type"),
+        _text_or("user_id", UNKNOWN).alias("user_id"),
+        _get("product_id", "string").alias("product_id"),
+        _get("product_name", "string").alias("product_name"),
+        F.when(pk.isNull(), F.lit(0.0)).otherwise(_py_float("price")).alias("price"),
+        F.when(qk.isNull(), F.lit(1)).otherwise(_py_int("quantity")).alias("quantity"),
+        _get("timestamp", "string").try_cast("timestamp").cast("timestamp_ntz").alias("ts"),
+        _get("metadata", "map<string,string>").alias("metadata"),
     )
 
 
 def lenient_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Messages that are not a JSON object, kept instead of killing the stream."""
-    return (_decoded(raw, value_col).where(~_is_object())
+    parsed = raw.withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
+    return (parsed.where(~_is_object())
             .select(F.col(value_col).alias("raw_value"), F.lit("malformed_json").alias("reasons")))
 
 
