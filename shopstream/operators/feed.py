@@ -10,6 +10,7 @@ from ..schema import (
     FEED_TIME_LABEL, PURCHASE_COMPLETED, RECENT_EVENTS_LIMIT, UNKNOWN,
 )
 from .events import feed_candidates
+from .joins import attach_by_key
 
 
 def _by_type(values: dict[str, str]) -> Column:
@@ -40,20 +41,31 @@ def feed_projection(events_with_amount: DataFrame) -> DataFrame:
     )
 
 
-def newest_feed_events(events: DataFrame, n: int = RECENT_EVENTS_LIMIT) -> DataFrame:
-    """The n newest feed candidates by (ts, seq) - a map-side top-k."""
-    return feed_candidates(events).orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+def newest_feed_events(events: DataFrame, n: int = RECENT_EVENTS_LIMIT,
+                       names: DataFrame | None = None) -> DataFrame:
+    """The n newest feed candidates by (ts, seq) - a map-side top-k.
+
+    With ``names`` (a ``part``-like table), events come without names and
+    only the n chosen rows are named afterwards (see ``attach_by_key``).
+    """
+    newest = feed_candidates(events).orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+    if names is None:
+        return newest
+    named = attach_by_key(newest.drop("product_name"), names, "product_id", "p_partkey", ["p_name"])
+    return named.withColumnRenamed("p_name", "product_name")
 
 
-def recent_events(events: DataFrame, n: int = RECENT_EVENTS_LIMIT) -> DataFrame:
+def recent_events(events: DataFrame, n: int = RECENT_EVENTS_LIMIT,
+                  names: DataFrame | None = None) -> DataFrame:
     """L3: the live feed, newest first, ``time`` = 'Just now' as the reference sends."""
-    return (feed_projection(newest_feed_events(events, n))
+    return (feed_projection(newest_feed_events(events, n, names))
             .select("id", "type", "title", "subtitle", F.lit(FEED_TIME_LABEL).alias("time"), "ts"))
 
 
-def feed_age(events: DataFrame, n: int = RECENT_EVENTS_LIMIT, as_of=None) -> DataFrame:
+def feed_age(events: DataFrame, n: int = RECENT_EVENTS_LIMIT, as_of=None,
+             names: DataFrame | None = None) -> DataFrame:
     """P5 (documented form): the feed with a relative age label from ``as_of``
     (default: the newest event time, as a scalar subquery)."""
     now = F.lit(as_of) if as_of is not None else events.agg(F.max("ts")).scalar()
-    return (feed_projection(newest_feed_events(events, n))
+    return (feed_projection(newest_feed_events(events, n, names))
             .select("id", "type", "title", "subtitle", age_label(F.col("ts"), now).alias("time"), "ts"))

@@ -17,10 +17,11 @@ BROADCAST_LIMIT_CONF = "shopstream.broadcast.maxBytes"
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` in bytes, or None when unavailable."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # Spark Connect or an API change: no estimate
         return None
+    # py4j hands a Scala BigInt over as a Python int (or as a JVM object)
+    return int(size) if isinstance(size, int) else int(str(size.toString()))
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -46,3 +47,19 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list,
     if fits_broadcast(dim, limit):
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)
+
+
+def attach_by_key(small: DataFrame, dim: DataFrame, small_key: str, dim_key: str,
+                  columns: list[str]) -> DataFrame:
+    """Left-join dimension ``columns`` onto a *bounded* row set (a top-k).
+
+    The small side is broadcast (its size is bounded by its limit) and the
+    dimension is only scanned, never shuffled: an inner broadcast join finds
+    the matches (a semi join: no duplicates), then the few matches are
+    left-joined back to keep every small-side row.
+    """
+    keyed = small.withColumn("_attach_key", F.col(small_key).try_cast(dim.schema[dim_key].dataType))
+    wanted = keyed.select("_attach_key")
+    found = (dim.select(F.col(dim_key).alias("_attach_key"), *columns)
+             .join(F.broadcast(wanted), "_attach_key", "left_semi"))
+    return keyed.join(F.broadcast(found), "_attach_key", "left").drop("_attach_key")

@@ -17,6 +17,7 @@ from ..functions.money import MONEY_ACC, money_sum, money_total, to_money_acc
 from ..functions.text import clock_label
 from ..schema import CURRENCY, REVENUE_HISTORY_LIMIT
 from ..session import ensure_checkpoint_dir
+from .joins import fits_broadcast, join_dimension
 from .timecols import truncate
 
 
@@ -40,35 +41,39 @@ def revenue_by_period(purchases: DataFrame, unit: str) -> DataFrame:
             .agg(money_sum("amount").alias("revenue"), F.count(F.lit(1)).alias("purchases")))
 
 
+def revenue_by_period_via_orders(lines: DataFrame, orders: DataFrame, unit: str) -> DataFrame:
+    """D7 over order lines whose date lives on the order (eager aggregation).
+
+    When ``orders`` is too big to broadcast, lines are first summed per order
+    key (map-side partial sums), so the shuffle join with ``orders`` sees one
+    row per order and reuses the aggregate's hash partitioning on the key;
+    periods are then summed from order rows.  A broadcastable ``orders`` is
+    looked up per line.  Equal to ``revenue_by_period`` on lines joined to
+    their order dates.
+    """
+    dates = orders.select("o_orderkey", "o_orderdate")
+    if fits_broadcast(dates):
+        # small order table: broadcast lookup per line, no pre-aggregation
+        per_order = lines.select("l_orderkey", to_money_acc(F.col("l_extendedprice")).alias("acc"),
+                                 F.lit(1).cast("bigint").alias("n"))
+        dated = per_order.join(F.broadcast(dates), per_order["l_orderkey"] == dates["o_orderkey"], "left")
+    else:
+        per_order = (lines.groupBy("l_orderkey")
+                     .agg(F.sum(to_money_acc(F.col("l_extendedprice"))).alias("acc"),
+                          F.count(F.lit(1)).alias("n")))
+        dated = join_dimension(per_order, dates, per_order["l_orderkey"] == dates["o_orderkey"], how="left")
+    period = truncate(dated, unit, "o_orderdate")
+    return (dated.groupBy(period.alias("period_start"))
+            .agg(money_total(F.coalesce(F.sum("acc"), F.lit(0).cast(MONEY_ACC))).alias("revenue"),
+                 F.sum("n").alias("purchases")))
+
+
 # ---------------------------------------------------------------------------
 # Running total
 # ---------------------------------------------------------------------------
 _MICRO = Decimal("0.000001")
 
 
-def _local_running_sums(batches):
-    """Per range partition: running sum of amounts in micro-units, in order.
-
-    Rows arrive sorted by (ts, seq) within the partition; the running sum is
-    carried across the Arrow batches of the partition.
-    """
-    carry = 0
-    part = TaskContext.get().partitionId()
-    for pdf in batches:
-        micros = pdf["micros"].to_numpy(dtype=np.int64)
-        if len(micros) and int(np.abs(micros).max()) * len(micros) + abs(carry) >= 2 ** 62:
-            raise OverflowError("running revenue of one partition exceeds 2**62 micro-units; "
-                                "use more partitions")
-        local = np.cumsum(micros) + carry
-        if len(local):
-            carry = int(local[-1])
-        yield pd.DataFrame({
-            "seq": pdf["seq"], "event_id": pdf["event_id"], "ts": pdf["ts"],
-            "amount": pdf["amount"], "part": np.full(len(pdf), part, dtype=np.int32),
-            "local_micros": local,
-        })
-
-
 def revenue_running(purchases: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cumulative revenue after each purchase, in (ts, seq) order.
 
@@ -81,6 +86,29 @@ def revenue_running(purchases: DataFrame, partitions: int | None = None) -> Data
     The partitioned result is checkpointed to the shared checkpoint folder so
     both uses read the same rows even if executors are lost.
     """
+    def local_running_sums(batches):
+        """Per range partition: running sum of amounts in micro-units, in order.
+
+        Rows arrive sorted by (ts, seq) within the partition; the running sum
+        is carried across the Arrow batches of the partition.  Defined inside
+        the function so it is shipped by value to the Python workers.
+        """
+        carry = 0
+        part = TaskContext.get().partitionId()
+        for pdf in batches:
+            micros = pdf["micros"].to_numpy(dtype=np.int64)
+            if len(micros) and int(np.abs(micros).max()) * len(micros) + abs(carry) >= 2 ** 62:
+                raise OverflowError("running revenue of one partition exceeds 2**62 micro-units; "
+                                    "use more partitions")
+            local = np.cumsum(micros) + carry
+            if len(local):
+                carry = int(local[-1])
+            yield pd.DataFrame({
+                "seq": pdf["seq"], "event_id": pdf["event_id"], "ts": pdf["ts"],
+                "amount": pdf["amount"], "micros": micros,
+                "part": np.full(len(pdf), part, dtype=np.int32), "local_micros": local,
+            })
+
     spark = purchases.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,10 +119,11 @@ def revenue_running(purchases: DataFrame, partitions: int | None = None) -> Data
     ts_type = purchases.schema["ts"].dataType.simpleString()
     ranged = base.repartitionByRange(n, "ts", "seq").sortWithinPartitions("ts", "seq")
     local = ranged.mapInPandas(
-        _local_running_sums,
-        f"seq bigint, event_id string, ts {ts_type}, amount double, part int, local_micros bigint",
+        local_running_sums,
+        f"seq bigint, event_id string, ts {ts_type}, amount double, micros bigint, part int, "
+        "local_micros bigint",
     ).checkpoint(eager=True)
-    totals = local.groupBy("part").agg(F.max_by("local_micros", F.struct("ts", "seq")).alias("tot"))
+    totals = local.groupBy("part").agg(F.sum("micros").alias("tot"))
     offsets = totals.select(
         "part",
         F.coalesce(F.sum("tot").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),

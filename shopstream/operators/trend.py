@@ -51,3 +51,8 @@ def sales_trend(sales: DataFrame, unit: str = "month") -> DataFrame:
     per_period = sales.groupBy(truncate(sales, unit).alias("period_start")).agg(
         money_sum("amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     return _with_trends(per_period, ["revenue", "orders"])
+
+
+def trend_from_periods(per_period: DataFrame) -> DataFrame:
+    """Trend over ready period totals ``(period_start, revenue, purchases)``."""
+    return _with_trends(per_period.withColumnRenamed("purchases", "orders"), ["revenue", "orders"])

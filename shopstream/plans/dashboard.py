@@ -17,7 +17,7 @@ from ..operators.active_users import active_users_now
 from ..operators.counts import kpi_aggregates
 from ..operators.events import purchases
 from ..operators.feed import feed_projection, newest_feed_events
-from ..operators.products import top_products
+from ..operators.products import product_counts_by_id, top_by_count, top_products
 from ..operators.revenue import revenue_history_rows
 from ..schema import ACTIVE_WINDOW_LABEL, CURRENCY, EVENT_TYPES, FEED_TIME_LABEL
 
@@ -53,12 +53,19 @@ def kpi_text(events: DataFrame) -> DataFrame:
     )
 
 
-def dashboard(events: DataFrame) -> DataFrame:
-    """Revenue, top products, counts, active users, feed, history - one row."""
+def dashboard(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Revenue, top products, counts, active users, feed, history - one row.
+
+    With ``names`` (``part``), ``events`` need no product names: products
+    are counted per id and named once per product, and only the 15 feed rows
+    are named.
+    """
     paid = purchases(events)
-    top = _sorted_list(top_products(paid), ["purchase_count", "product_name"],
+    ranked = (top_products(paid) if names is None
+              else top_by_count(product_counts_by_id(paid, names)))
+    top = _sorted_list(ranked, ["purchase_count", "product_name"],
                        ["product_name", "purchase_count"], asc=False)
-    feed = newest_feed_events(events)
+    feed = newest_feed_events(events, names=names)
     feed_rows = feed_projection(feed).withColumn("time", F.lit(FEED_TIME_LABEL))
     recent = _sorted_list(feed_rows, ["ts", "seq"], ["id", "type", "title", "subtitle", "time"],
                           asc=False)
@@ -75,7 +82,7 @@ def dashboard(events: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_json(events: DataFrame) -> DataFrame:
+def dashboard_json(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The dashboard row as one JSON document (the export payload)."""
-    row = dashboard(events)
+    row = dashboard(events, names)
     return row.select(F.to_json(F.struct(*row.columns)).alias("dashboard"))
