@@ -32,6 +32,16 @@ def is_feed_event(col: Column | str = "event_type") -> Column:
     return col.isin(*FEED_KINDS)
 
 
+def dedupe_events(events: DataFrame) -> DataFrame:
+    """Opt-in: keep one event per ``event_id`` (by default every delivery counts,
+    as in the reference's at-least-once consumer).
+
+    An aggregate on the id with map-side partial de-duplication, so an id
+    delivered many times collapses before the shuffle.
+    """
+    return events.dropDuplicates(["event_id"])
+
+
 def with_amount(events: DataFrame) -> DataFrame:
     """Adds ``amount = price * quantity``; null when price or quantity is unreadable."""
     return events.withColumn("amount", purchase_amount("price", "quantity"))
@@ -53,5 +63,5 @@ def feed_candidates(events: DataFrame) -> DataFrame:
     return ev.where(is_feed_event() & (~is_purchase() | F.col("amount").isNotNull()))
 
 
-__all__ = ["type_key", "product_key", "is_purchase", "is_feed_event", "with_amount",
+__all__ = ["dedupe_events", "type_key", "product_key", "is_purchase", "is_feed_event", "with_amount",
            "purchases", "feed_candidates", "CART_ADDED", "PAYMENT_FAILED"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
-from ..operators.events import purchases, with_amount
+from ..operators.events import dedupe_events, purchases, with_amount
 from . import dashboard
 from ..sources import json_events as wire
 from ..sources.adapters import sales, shop_events
@@ -146,6 +146,7 @@ def queries() -> dict[str, Query]:
         # single-scan aggregates
         "event_counts": _on_events(counts.event_counts, names=False),
         "events_by_type": _on_events(counts.events_by_type, names=False),
+        "event_counts_dedup": _on_events(lambda ev: counts.event_counts(dedupe_events(ev)), names=False),
         "revenue_total": _on_events(counts.revenue_total, names=False),
         "cart_abandonment": _on_events(counts.cart_abandonment, names=False),
         "failed_payment_rate": _on_events(counts.failed_payment_rate, names=False),

@@ -93,6 +93,15 @@ SELECT count_if(event_type = 'product_viewed') AS product_viewed,
        count(*) AS total
 FROM shop_events""")
 
+EVENT_COUNTS_DEDUP = with_shop("""
+SELECT count_if(event_type = 'product_viewed') AS product_viewed,
+       count_if(event_type = 'cart_added') AS cart_added,
+       count_if(event_type = 'cart_removed') AS cart_removed,
+       count_if(event_type = 'purchase_completed') AS purchase_completed,
+       count_if(event_type = 'payment_failed') AS payment_failed,
+       count(*) AS total
+FROM (SELECT * FROM shop_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1)""")
+
 EVENTS_BY_TYPE = with_shop("""
 SELECT COALESCE(event_type, 'unknown') AS event_type, count(*) AS event_count
 FROM shop_events GROUP BY 1""")
@@ -377,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
         "events_by_type": EVENTS_BY_TYPE,
+        "event_counts_dedup": EVENT_COUNTS_DEDUP,
         "revenue_total": REVENUE_TOTAL,
         "cart_abandonment": CART_ABANDONMENT,
         "failed_payment_rate": FAILED_PAYMENT_RATE,

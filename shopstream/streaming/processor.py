@@ -144,11 +144,33 @@ def process_json_batch(raw: DataFrame, batch_id: int, state_dir: str) -> None:
     merge_batch(parse_lenient(raw), batch_id, state_dir)
 
 
+def dedupe_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """T5 opt-in: drop repeated ``event_id`` deliveries within the watermark.
+
+    State holds the ids seen within the watermark delay, then expires them.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return (timed.dropDuplicatesWithinWatermark(["event_id"])
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 def start_processor(raw_stream: DataFrame, state_dir: str, checkpoint_dir: str,
-                    available_now: bool = False, processing_time: str | None = None):
-    """Run the processor over a stream of JSON text rows (``value``)."""
-    writer = (raw_stream.writeStream
-              .foreachBatch(lambda df, bid: process_json_batch(df, bid, state_dir))
+                    available_now: bool = False, processing_time: str | None = None,
+                    dedup: bool = False, dedup_watermark: str = "10 minutes"):
+    """Run the processor over a stream of JSON text rows (``value``).
+
+    ``dedup=True`` decodes in the stream and drops repeated event ids before
+    the merge (non-JSON rows are then only dropped; use ``start_reject_sink``
+    for the dead letter in that mode).
+    """
+    if dedup:
+        events = dedupe_stream(parse_lenient(raw_stream), dedup_watermark)
+        body = lambda df, bid: merge_batch(df, bid, state_dir)
+        source = events
+    else:
+        body = lambda df, bid: process_json_batch(df, bid, state_dir)
+        source = raw_stream
+    writer = (source.writeStream.foreachBatch(body)
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -157,6 +179,15 @@ def start_processor(raw_stream: DataFrame, state_dir: str, checkpoint_dir: str,
     return writer.start()
 
 
+def start_reject_sink(raw_stream: DataFrame, path: str, checkpoint_dir: str, available_now: bool = False):
+    """T7 dead letter as its own append stream: messages that are not JSON objects."""
+    writer = (lenient_rejects(raw_stream).writeStream.format("parquet")
+              .option("path", path).option("checkpointLocation", checkpoint_dir))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 # ---------------------------------------------------------------------------
 # Reading the state (the analytics side)
 # ---------------------------------------------------------------------------

@@ -155,3 +155,11 @@ def test_short_history_and_running_total(spark):
 def test_large_amount_text(spark):
     df = lenient(spark, ev(price=134900, quantity=100))
     assert feed.recent_events(df).first()["subtitle"] == "Lamp - ₹13490000.0"
+
+
+def test_duplicate_event_counted_twice_unless_deduplicated(spark):
+    from shopstream.operators.events import dedupe_events
+    df = lenient(spark, ev(), ev())
+    assert counts.event_counts(df).first()["total"] == 2
+    assert counts.event_counts(dedupe_events(df)).first()["total"] == 1
+    assert counts.revenue_total(dedupe_events(df)).first()["total_revenue"] == 10.0

@@ -106,3 +106,20 @@ def test_archive_partitions_by_event_date(spark, scratch):
     archived = spark.read.parquet(path)
     assert archived.count() == n
     assert "event_date" in archived.columns
+
+
+def test_stream_dedup_counts_a_redelivered_event_once(spark, scratch):
+    src, state, ckpt = (os.path.join(scratch, d) for d in ("src", "state", "ckpt"))
+    os.makedirs(src)
+    line = '{"event_id": "e1", "event_type": "purchase_completed", "user_id": "u1", ' \
+           '"product_name": "Lamp", "price": 10, "timestamp": "2024-01-01T12:00:00"}'
+    for i in range(2):                                   # the same event delivered twice
+        path = os.path.join(src, f"part-{i}.json")
+        with open(path, "w") as fh:
+            fh.write(line + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    raw = wire.stream_json_lines(spark, src, max_files_per_trigger=1)
+    processor.start_processor(raw, state, ckpt, available_now=True, dedup=True).awaitTermination()
+    row = processor.snapshot_dashboard(spark, state).first()
+    assert row["event_counts"]["total"] == 1
+    assert row["revenue"]["total_revenue"] == 10.0
