@@ -123,3 +123,36 @@ def test_stream_dedup_counts_a_redelivered_event_once(spark, scratch):
     row = processor.snapshot_dashboard(spark, state).first()
     assert row["event_counts"]["total"] == 1
     assert row["revenue"]["total_revenue"] == 10.0
+
+
+def test_native_running_aggregates_equal_batch(spark, scratch):
+    from shopstream.operators import counts, products
+    from shopstream.streaming import running
+    src = os.path.join(scratch, "src")
+    _write_json_files(spark, src)
+    events = wire.parse_lenient(wire.stream_json_lines(spark, src, max_files_per_trigger=1))
+    batch_events = wire.parse_lenient(spark.read.text(src))
+    for name, df, mode in (("types", running.type_counts_stream(events), "update"),
+                           ("kpi", running.kpi_stream(events), "complete"),
+                           ("top", running.top_products_stream(events), "complete")):
+        running.start_running(df, f"run_{name}", os.path.join(scratch, f"ck_{name}"), mode).awaitTermination()
+    got_types = {r["event_type"]: r["event_count"] for r in
+                 spark.sql("SELECT event_type, max(event_count) AS event_count FROM run_types "
+                           "GROUP BY event_type").collect()}
+    exp_types = {r["event_type"]: r["event_count"] for r in counts.events_by_type(batch_events).collect()}
+    assert got_types == exp_types
+    kpi = spark.table("run_kpi").collect()[-1]
+    exp = counts.kpi_aggregates(batch_events).first()
+    assert kpi["total"] == exp["total"] and kpi["total_revenue"] == exp["total_revenue"]
+    top = [tuple(r) for r in spark.table("run_top").collect()[-10:]]
+    exp_top = [tuple(r) for r in products.top_products(purchases(batch_events)).collect()]
+    assert sorted(top) == sorted(exp_top)
+
+
+def test_report_export_writes_one_json_row(spark, scratch):
+    from shopstream.plans.dashboard import dashboard
+    from shopstream.sources.sinks import export_report
+    path = os.path.join(scratch, "report")
+    export_report(dashboard(shop_events(spark, SF_SMALL)), path)
+    back = spark.read.json(path)
+    assert back.count() == 1 and "recent_events" in back.columns
