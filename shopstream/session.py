@@ -50,14 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and registered, so ``DataFrame.checkpoint()`` works the same way.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        sc = None
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="shopstream-ckpt-")
+    path = tempfile.mkdtemp(prefix="shopstream-ckpt-")   # local runs and tests only
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
