@@ -35,9 +35,9 @@ def bucket_users(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> Da
                  F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
 
-def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
-    """``bucket -> session_us``: the session (keyed by its first event time,
-    in epoch micros) every non-empty gap-sized bucket belongs to.
+def _session_starts(buckets: DataFrame, gap_seconds: int) -> DataFrame:
+    """``(bucket, lo, hi, start_us)``: ``start_us`` = ``lo`` where a session
+    begins (the previous bucket ended ``gap`` or more earlier), else null.
 
     The bucket table has at most one row per ``gap`` of elapsed time (288 a
     day, 105,120 a year), whatever the event volume, so one ordered window
@@ -45,17 +45,20 @@ def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECOND
     partition-free window.
     """
     gap_us = gap_seconds * 1_000_000
+    prev_hi = F.lag("hi").over(Window.orderBy("bucket"))
+    return buckets.select(
+        "bucket", "lo", "hi",
+        F.when(prev_hi.isNull() | (F.col("lo") - prev_hi >= gap_us), F.col("lo")).alias("start_us"))
+
+
+def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+    """``bucket -> session_us``: the session (keyed by its first event time,
+    in epoch micros) every non-empty gap-sized bucket belongs to."""
     buckets = (per_bucket_user.groupBy("bucket")
                .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    in_time = Window.orderBy("bucket")
-    prev_hi = F.lag("hi").over(in_time)
-    starts = buckets.select(
-        "bucket",
-        F.when(prev_hi.isNull() | (F.col("lo") - prev_hi >= gap_us), F.col("lo")).alias("start_us"))
-    return starts.select(
-        "bucket",
-        F.last("start_us", ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("session_us"))
+    starts = _session_starts(buckets, gap_seconds)
+    in_time = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.select("bucket", F.last("start_us", ignorenulls=True).over(in_time).alias("session_us"))
 
 
 def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
@@ -84,19 +87,26 @@ def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) ->
 def active_users_now(events: DataFrame, as_of=None, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """A6 as read by the dashboard: users of the session open at ``as_of``.
 
-    ``as_of`` defaults to the newest event time, never the wall clock.  The
-    aggregate returns one row even with no events (then 0 users).
+    The open session is the last one, and it holds every event from its
+    first event on; so its start comes from the bucket table and its users
+    are a distinct count over the events at or after that start - no
+    per-session attribution needed.  ``as_of`` defaults to the newest event
+    time, never the wall clock; the session is open while
+    ``as_of < last event + gap``.  One row even with no events (0 users).
     """
-    sessions = global_sessions(events, gap_seconds)
-    latest = sessions.agg(F.max_by("active_users", "session_start").alias("users"),
-                          F.max("session_end").alias("open_until"))
-    if as_of is None:
-        as_of_col = F.col("open_until") - F.expr(f"INTERVAL {gap_seconds} SECONDS")
-    else:
-        as_of_col = F.lit(as_of)
-    return latest.select(
-        F.when(as_of_col < F.col("open_until"), F.col("users")).otherwise(F.lit(0)).cast("bigint")
-        .alias("active_users"),
+    gap_us = gap_seconds * 1_000_000
+    us = epoch_micros(events)
+    buckets = (events.select(F.floor(us / gap_us).cast("bigint").alias("bucket"), us.alias("us"))
+               .groupBy("bucket").agg(F.min("us").alias("lo"), F.max("us").alias("hi")))
+    bounds = _session_starts(buckets, gap_seconds).agg(F.struct(
+        F.max("start_us").alias("start_us"), F.max("hi").alias("last_us"))).scalar()
+    users = (events.select(us.alias("us"), _user_key().alias("user_id"))
+             .where(F.col("us") >= bounds["start_us"])
+             .agg(F.count_distinct("user_id").alias("users")))
+    as_of_us = bounds["last_us"] if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))
+    open_now = bounds["last_us"].isNotNull() & (as_of_us < bounds["last_us"] + gap_us)
+    return users.select(
+        F.when(open_now, F.col("users")).otherwise(F.lit(0)).cast("bigint").alias("active_users"),
         F.lit(ACTIVE_WINDOW_LABEL).alias("window"),
     )
 
