@@ -73,9 +73,3 @@ CANONICAL_SCHEMA = StructType([
     StructField("metadata", MapType(StringType(), StringType())),
 ])
 CANONICAL_COLUMNS = [f.name for f in CANONICAL_SCHEMA.fields]
-
-# Raw JSON event as sent on the wire: every field read as text so that typing
-# rules (strict or lenient) run as Spark expressions, not in the JSON reader.
-RAW_FIELDS = ("event_id", "event_type", "user_id", "product_id", "product_name",
-              "price", "quantity", "timestamp", "metadata")
-RAW_SCHEMA = StructType([StructField(name, StringType()) for name in RAW_FIELDS])

@@ -163,3 +163,11 @@ def test_duplicate_event_counted_twice_unless_deduplicated(spark):
     assert counts.event_counts(df).first()["total"] == 2
     assert counts.event_counts(dedupe_events(df)).first()["total"] == 1
     assert counts.revenue_total(dedupe_events(df)).first()["total_revenue"] == 10.0
+
+
+def test_adapter_produces_the_canonical_schema(spark):
+    from conftest import SF_SMALL
+    from shopstream.schema import CANONICAL_SCHEMA
+    from shopstream.sources.adapters import shop_events
+    got = [(f.name, f.dataType.simpleString()) for f in shop_events(spark, SF_SMALL).schema.fields]
+    assert got == [(f.name, f.dataType.simpleString()) for f in CANONICAL_SCHEMA.fields]

@@ -106,6 +106,9 @@ def test_archive_partitions_by_event_date(spark, scratch):
     archived = spark.read.parquet(path)
     assert archived.count() == n
     assert "event_date" in archived.columns
+    from shopstream.sources.tables import read_canonical
+    back = read_canonical(spark, path)
+    assert back.count() == n and back.where(F.col("ts").isNull()).count() == 0
 
 
 def test_stream_dedup_counts_a_redelivered_event_once(spark, scratch):
