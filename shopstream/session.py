@@ -23,6 +23,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # a long-lived session runs thousands of queries: keep little history
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "200",
 }
 
 
