@@ -61,19 +61,21 @@ def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECOND
     return starts.select("bucket", F.last("start_us", ignorenulls=True).over(in_time).alias("session_us"))
 
 
-def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
-    """A6 history: every global session with its distinct-user count.
-
-    ``session_end`` follows Spark's session-window convention (last event +
-    gap).  The map and the attribution both derive from one (bucket, user)
-    aggregate, so the event table is scanned once.
-    """
+def session_users(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+    """``(session_us, user_id, n, first_ts, last_ts)``: every user of every
+    global session.  The map and the attribution both derive from one
+    (bucket, user) aggregate, so the event table is scanned once."""
     per_bucket_user = bucket_users(events, gap_seconds)
     smap = session_map(per_bucket_user, gap_seconds)
     attributed = join_dimension(per_bucket_user, smap, "bucket", how="inner")
-    per_user = (attributed.groupBy("session_us", "user_id")
-                .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"),
-                     F.max("last_ts").alias("last_ts")))
+    return (attributed.groupBy("session_us", "user_id")
+            .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"),
+                 F.max("last_ts").alias("last_ts")))
+
+
+def sessions_of(per_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+    """Session rows from ``session_users`` rows (Spark's session-window
+    convention: ``session_end`` = last event + gap)."""
     return (per_user.groupBy("session_us")
             .agg(F.min("first_ts").alias("session_start"),
                  F.max("last_ts").alias("last_ts"),
@@ -84,6 +86,11 @@ def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) ->
                     "active_users", "events"))
 
 
+def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
+    """A6 history: every global session with its distinct-user count."""
+    return sessions_of(session_users(events, gap_seconds), gap_seconds)
+
+
 def active_users_now(events: DataFrame, as_of=None, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """A6 as read by the dashboard: users of the session open at ``as_of``.
 

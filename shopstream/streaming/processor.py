@@ -8,6 +8,7 @@ per micro-batch, merges the batch's partial aggregates into the previous
     products/ (product_name, n)          A5 (top-k read at query time)
     totals/   one row: revenue, event total, open global session bounds
     users/    (user_id, last_ts)         A6 membership (user cardinality)
+    sessions/ sessions closed by the batch A6 history (append-like, per version)
     history/  <= 20 rows                 L2
     feed/     <= 15 rows                 L3
     rejects/  non-JSON messages          T7 (dead letter, per batch)
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.money import MONEY_ACC, money_total, to_money_acc
 from ..functions.text import clock_label
-from ..operators.active_users import global_sessions
+from ..operators.active_users import session_users, sessions_of
 from ..operators.events import purchases, type_key, with_amount
 from ..operators.feed import feed_projection, newest_feed_events
 from ..operators.products import product_key
@@ -36,7 +37,7 @@ from ..schema import (
 )
 from ..sources.json_events import lenient_rejects, parse_lenient
 
-TABLES = ("counts", "products", "totals", "users", "history", "feed")
+TABLES = ("counts", "products", "totals", "users", "history", "sessions", "feed")
 
 
 def _path(state_dir: str, table: str, version: int) -> str:
@@ -53,12 +54,14 @@ _SCHEMAS = {
     "counts": "event_type string, n bigint",
     "products": "product_name string, n bigint",
     "totals": f"revenue_acc {MONEY_ACC}, events bigint, session_start timestamp_ntz, "
-              "last_ts timestamp_ntz",
+              "last_ts timestamp_ntz, session_events bigint",
     "users": "user_id string, last_ts timestamp_ntz",
     "history": f"batch_id bigint, ts timestamp_ntz, event_id string, name string, "
                f"revenue_acc {MONEY_ACC}",
     "feed": "batch_id bigint, ts timestamp_ntz, event_id string, id string, type string, "
             "title string, subtitle string, time string",
+    # sessions closed by this batch only (the history is the union of versions)
+    "sessions": "session_start timestamp_ntz, session_end timestamp_ntz, active_users bigint, events bigint",
 }
 
 
@@ -87,24 +90,52 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     # A1 + open global session (A6): one row, built from scalar subqueries
     b_rev = paid.agg(F.coalesce(F.sum(to_money_acc(F.col("amount"))), F.lit(0).cast(MONEY_ACC))).scalar()
     b_events = ev.agg(F.count(F.lit(1))).scalar()
-    b = global_sessions(ev).agg(F.struct(
+    per_user = session_users(ev)                     # (session_us, user) rows of this batch
+    b_sessions = sessions_of(per_user)               # bounded by the batch's time span / gap
+    b = b_sessions.agg(F.struct(
         F.count(F.lit(1)).alias("k"), F.min("session_start").alias("first_start"),
         F.max("session_start").alias("last_start"),
-        (F.max("session_end") - gap).alias("last_ts"))).scalar()
+        (F.max("session_end") - gap).alias("last_ts"),
+        F.min_by("events", "session_start").alias("first_events"),
+        F.max_by("events", "session_start").alias("last_events"),
+        (F.min_by("session_end", "session_start")).alias("first_end"))).scalar()
     c = prev["totals"].agg(F.struct(
         F.max("revenue_acc").alias("rev"), F.max("events").alias("events"),
-        F.max("session_start").alias("start"), F.max("last_ts").alias("last_ts"))).scalar()
+        F.max("session_start").alias("start"), F.max("last_ts").alias("last_ts"),
+        F.max("session_events").alias("s_events"))).scalar()
     merges = c["last_ts"].isNotNull() & (b["first_start"] < c["last_ts"] + gap)
     new_start = (F.when(b["k"] == 0, c["start"])
                  .when((b["k"] == 1) & merges, c["start"])
                  .otherwise(b["last_start"]))
+    new_s_events = (F.when(b["k"] == 0, c["s_events"])
+                    .when((b["k"] == 1) & merges, c["s_events"] + b["first_events"])
+                    .otherwise(b["last_events"]))
     totals = spark.range(1).select(
         (F.coalesce(c["rev"], F.lit(0).cast(MONEY_ACC)) + b_rev).cast(MONEY_ACC).alias("revenue_acc"),
         (F.coalesce(c["events"], F.lit(0)) + b_events).cast("bigint").alias("events"),
         new_start.alias("session_start"),
         F.coalesce(b["last_ts"], c["last_ts"]).alias("last_ts"),
+        new_s_events.cast("bigint").alias("session_events"),
     )
-    write(totals, "totals")
+
+    # A6 history: sessions this batch closes.  (1) whole batch sessions before
+    # the last one, except a first one that continues the carried session;
+    # (2) the carried session itself once a later session starts - its users
+    # are the previous members plus, when continued, the batch's first-session
+    # users: a distributed distinct count, never one task's set.
+    inner = b_sessions.where((~merges | (F.col("session_start") > b["first_start"]))
+                             & (F.col("session_start") < b["last_start"]))
+    carried_users = (prev["users"].where(F.col("last_ts") >= c["start"]).select("user_id")
+                     .unionByName(per_user.where(merges & (F.col("first_ts") < b["first_end"]))
+                                  .select("user_id"))
+                     .agg(F.count_distinct("user_id")).scalar())
+    carried = spark.range(1).select(
+        c["start"].alias("session_start"),
+        F.when(merges, b["first_end"]).otherwise(c["last_ts"] + gap).alias("session_end"),
+        carried_users.cast("bigint").alias("active_users"),
+        (c["s_events"] + F.when(merges, b["first_events"]).otherwise(F.lit(0))).cast("bigint").alias("events"),
+    ).where(c["start"].isNotNull() & (b["k"] > 0) & (~merges | (b["k"] >= 2)))
+    write(inner.unionByName(carried), "sessions")
 
     # A6 membership: each user's latest event time
     batch_users = ev.groupBy(F.coalesce("user_id", F.lit("unknown")).alias("user_id")).agg(
@@ -134,6 +165,8 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     write(prev["feed"].unionByName(feed)
           .orderBy(F.desc("batch_id"), F.desc("ts"), F.desc("event_id")).limit(RECENT_EVENTS_LIMIT),
           "feed")
+    # the one-row totals table is written last: it marks the version complete
+    write(totals, "totals")
     ev.unpersist()
 
 
@@ -192,11 +225,10 @@ def start_reject_sink(raw_stream: DataFrame, path: str, checkpoint_dir: str, ava
 # Reading the state (the analytics side)
 # ---------------------------------------------------------------------------
 def latest_version(spark: SparkSession, state_dir: str) -> int:
-    """Newest complete snapshot version (the feed table is written last).
-
-    Read through partition discovery, so it works on any shared file system.
-    """
-    versions = spark.read.parquet(os.path.join(state_dir, "feed")).select(F.max("v"))
+    """Newest complete snapshot version (the one-row totals table is written
+    last).  Read through partition discovery, so it works on any shared
+    file system."""
+    versions = spark.read.parquet(os.path.join(state_dir, "totals")).select(F.max("v"))
     return int(versions.first()[0])
 
 

@@ -48,7 +48,9 @@ def session_stream(events: DataFrame, gap: str = "5 minutes", watermark: str = "
     Spark refuses a session window without a grouping key, and folds a
     literal key away, so the key is a per-row expression that is always 0.
     All open sessions live under that one key: the state is one session's
-    user set, bounded by the user population.
+    user set, bounded by the user population but held by one task.  The
+    snapshot processor (``processor.merge_batch``) keeps the same history with
+    membership as a distributed table; prefer it when users are many.
     """
     ev = event_time(events).withWatermark("ts", watermark)
     always_zero = F.coalesce(F.length(F.col("event_type")) * 0, F.lit(0)).alias("_global")

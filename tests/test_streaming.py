@@ -51,6 +51,12 @@ def test_processor_equals_batch_and_replay_is_idempotent(spark, scratch):
     rejects = spark.read.parquet(os.path.join(state, "rejects")).count()
     assert rejects == 1
 
+    # closed-session history from the snapshots = batch sessions minus the open one
+    closed = {tuple(r) for r in spark.read.parquet(os.path.join(state, "sessions"))
+              .select("session_start", "session_end", "active_users", "events").collect()}
+    all_sessions = active_users.global_sessions(batch_events).orderBy("session_start").collect()
+    assert closed == {tuple(r) for r in all_sessions[:-1]}
+
     # replay the last batch id: the snapshot is rewritten, not added to
     last = processor.latest_version(spark, state)
     raw = spark.read.text(os.path.join(src, "events-999.json"))
@@ -159,3 +165,26 @@ def test_report_export_writes_one_json_row(spark, scratch):
     export_report(dashboard(shop_events(spark, SF_SMALL)), path)
     back = spark.read.json(path)
     assert back.count() == 1 and "recent_events" in back.columns
+
+
+def test_processor_sessions_spanning_batches(spark, scratch):
+    import datetime as dt
+    state = os.path.join(scratch, "state")
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+
+    def batch(*rows):
+        return spark.createDataFrame(
+            [(f"e{i}", "product_viewed", u, None, None, 0.0, 1, t0 + dt.timedelta(seconds=s), None)
+             for i, (u, s) in rows],
+            "event_id string, event_type string, user_id string, product_id string, product_name string, "
+            "price double, quantity int, ts timestamp_ntz, metadata map<string,string>")
+
+    processor.merge_batch(batch((1, ("a", 0))), 0, state)                  # opens S1
+    processor.merge_batch(batch((2, ("b", 100))), 1, state)                # continues S1
+    processor.merge_batch(batch((3, ("c", 200)), (4, ("a", 1000))), 2, state)  # S1 ends, S2 opens
+    processor.merge_batch(batch((5, ("d", 1500))), 3, state)               # S2 ends, S3 opens
+    closed = sorted(tuple(r) for r in spark.read.parquet(os.path.join(state, "sessions"))
+                    .select("session_start", "active_users", "events").collect())
+    assert closed == [(t0, 3, 3), (t0 + dt.timedelta(seconds=1000), 1, 1)]
+    row = processor.snapshot_dashboard(spark, state).first()
+    assert row["active_users"]["active_users"] == 1
