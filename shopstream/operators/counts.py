@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import money_sum
-from ..schema import (
-    BREAKDOWN, CART_ADDED, CART_REMOVED, CURRENCY, EVENT_TYPES, PAYMENT_FAILED,
-    PRODUCT_VIEWED, PURCHASE_COMPLETED,
-)
+from ..schema import BREAKDOWN, CART_ADDED, CURRENCY, EVENT_TYPES, PAYMENT_FAILED, PURCHASE_COMPLETED
 from .events import is_purchase, type_key, with_amount
 
 
@@ -76,8 +73,3 @@ def event_breakdown(events: DataFrame) -> DataFrame:
     counts = event_counts(events)
     rows = ", ".join(f"'{label}', '{color}', `{etype}`" for etype, label, color in BREAKDOWN)
     return counts.selectExpr(f"stack({len(BREAKDOWN)}, {rows}) AS (name, color, value)")
-
-
-__all__ = ["kpi_aggregates", "event_counts", "events_by_type", "revenue_total",
-           "cart_abandonment", "failed_payment_rate", "event_breakdown",
-           "PRODUCT_VIEWED", "CART_REMOVED"]

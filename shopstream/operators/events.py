@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import purchase_amount
-from ..schema import (
-    CART_ADDED, FEED_KINDS, PAYMENT_FAILED, PURCHASE_COMPLETED, UNKNOWN,
-)
+from ..schema import FEED_KINDS, PURCHASE_COMPLETED, UNKNOWN
 
 
 def type_key(col: Column | str = "event_type") -> Column:
@@ -61,7 +59,3 @@ def feed_candidates(events: DataFrame) -> DataFrame:
     """Feed-worthy events (F2), minus purchases without a readable amount."""
     ev = with_amount(events)
     return ev.where(is_feed_event() & (~is_purchase() | F.col("amount").isNotNull()))
-
-
-__all__ = ["dedupe_events", "type_key", "product_key", "is_purchase", "is_feed_event", "with_amount",
-           "purchases", "feed_candidates", "CART_ADDED", "PAYMENT_FAILED"]

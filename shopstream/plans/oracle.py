@@ -425,6 +425,3 @@ def oracle_sql() -> dict[str, str]:
         "sales_revenue_by_year": _revenue_period("sales", "year"),
         "sales_trend": SALES_TREND,
     }
-
-
-__all__ = ["oracle_sql", "SHOP_EVENTS", "SALES", "money", "with_shop", "with_sales", "js_fixed1"]

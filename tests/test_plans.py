@@ -1,7 +1,6 @@
 """Plan-shape checks for the scale properties the design relies on."""
 
 from conftest import SF_SMALL
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shopstream.operators.joins import estimated_bytes, fits_broadcast
