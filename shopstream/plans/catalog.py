@@ -52,7 +52,9 @@ def _purchase_amount(events: DataFrame) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_events(shop_events(spark, sf_dir), read_table(spark, sf_dir, "part"))
+    """Product attributes (and the name) from one join with ``part``."""
+    return enrich_events(shop_events(spark, sf_dir, with_names=False), read_table(spark, sf_dir, "part"),
+                         fill_names=True)
 
 
 def _kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
