@@ -205,8 +205,8 @@ def _py_int(name: str) -> Column:
 
 
 def _text_or(name: str, default: str) -> Column:
-    kind = F.col(_kind_col(name))
-    return F.when(kind.isNull() | (kind == "VOID"), F.lit(default)).otherwise(_get(name, "string"))
+    """Text of a field; a missing key and a JSON null both take ``default``."""
+    return F.coalesce(_get(name, "string"), F.lit(default))
 
 
 def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
