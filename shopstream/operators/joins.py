@@ -53,13 +53,16 @@ def attach_by_key(small: DataFrame, dim: DataFrame, small_key: str, dim_key: str
                   columns: list[str]) -> DataFrame:
     """Left-join dimension ``columns`` onto a *bounded* row set (a top-k).
 
-    The small side is broadcast (its size is bounded by its limit) and the
-    dimension is only scanned, never shuffled: an inner broadcast join finds
-    the matches (a semi join: no duplicates), then the few matches are
-    left-joined back to keep every small-side row.
+    A dimension under the broadcast limit is simply broadcast.  A larger one
+    is only scanned, never shuffled: the small side (bounded by its limit) is
+    broadcast into a semi join that finds the matches, then the few matches
+    are left-joined back to keep every small-side row.
     """
     keyed = small.withColumn("_attach_key", F.col(small_key).try_cast(dim.schema[dim_key].dataType))
+    dims = dim.select(F.col(dim_key).alias("_attach_key"), *columns)
+    if fits_broadcast(dims):
+        # a small dimension: one broadcast lookup, no extra job
+        return keyed.join(F.broadcast(dims), "_attach_key", "left").drop("_attach_key")
     wanted = keyed.select("_attach_key")
-    found = (dim.select(F.col(dim_key).alias("_attach_key"), *columns)
-             .join(F.broadcast(wanted), "_attach_key", "left_semi"))
+    found = dims.join(F.broadcast(wanted), "_attach_key", "left_semi")
     return keyed.join(F.broadcast(found), "_attach_key", "left").drop("_attach_key")
