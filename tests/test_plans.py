@@ -49,3 +49,16 @@ def test_composites_use_no_cartesian_product(spark):
     for name in ("dashboard", "kpis", "kpi_text", "revenue_history"):
         plan = plan_of(q[name](spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_hot_keys_are_pre_aggregated_before_the_shuffle(spark):
+    """A product, type, user or window holding a third of all rows must reach
+    the shuffle as one partial row per map task, not as its raw rows."""
+    q = entry.queries()
+    for name in ("product_counts", "events_by_type", "active_users_sliding", "event_counts_dedup",
+                 "active_user_sessions", "sales_revenue_by_month"):
+        plan = plan_of(q[name](spark, SF_SMALL))
+        deepest = plan.rfind("Exchange hashpartitioning")
+        assert deepest != -1, name
+        map_side = plan[deepest:]                           # the operators feeding the first shuffle
+        assert "HashAggregate(keys=" in map_side or "SortAggregate(key=" in map_side, name
