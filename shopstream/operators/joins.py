@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+# Catalyst sizes a parquet scan by its (compressed) file bytes, scaled by
+# spark.sql.sources.fileCompressionFactor; the limit leaves room for the
+# in-memory expansion of a compressed dimension.
+DEFAULT_BROADCAST_LIMIT = 32 * 1024 * 1024
 BROADCAST_LIMIT_CONF = "shopstream.broadcast.maxBytes"
 
 

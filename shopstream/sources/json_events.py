@@ -119,10 +119,14 @@ def _strict_typed(dec: DataFrame) -> DataFrame:
         .when(_is_number(qk) & (q_num == F.floor(q_num)), q_num.try_cast("int"))
         .when((qk == "STRING") & q_text.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(q_text).try_cast("int"))
         .alias("_quantity"),
-        # timestamp: ISO-8601 text (zone honoured, kept as UTC wall time), or epoch seconds; default now
+        # timestamp: ISO-8601 text (zone honoured, kept as UTC wall time) or epoch number; default now
         F.when(tk.isNull(), F.current_timestamp())
         .when(tk == "STRING", _get("timestamp", "string").try_cast("timestamp"))
-        .when(_is_number(tk), F.timestamp_micros((_get("timestamp", "double") * 1_000_000).try_cast("bigint")))
+        .when(_is_number(tk), F.timestamp_micros(
+            (_get("timestamp", "double")
+             # epoch seconds, or milliseconds when beyond 2e10 (as the model layer reads them)
+             * F.when(F.abs(_get("timestamp", "double")) > 2e10, 1_000).otherwise(1_000_000))
+            .try_cast("bigint")))
         .alias("_ts"),
         # metadata: an object (values kept as text); null or absent -> empty
         F.when(mk.isNull() | (mk == "VOID"), F.create_map().cast("map<string,string>"))

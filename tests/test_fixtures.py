@@ -171,3 +171,8 @@ def test_adapter_produces_the_canonical_schema(spark):
     from shopstream.sources.adapters import shop_events
     got = [(f.name, f.dataType.simpleString()) for f in shop_events(spark, SF_SMALL).schema.fields]
     assert got == [(f.name, f.dataType.simpleString()) for f in CANONICAL_SCHEMA.fields]
+
+
+def test_strict_timestamp_numbers_seconds_or_milliseconds(spark):
+    rows = wire.valid_events(raw(spark, ev(timestamp=1704110400), ev(event_id="e2", timestamp=1704110400000)))
+    assert sorted(r["ts"] for r in rows.collect()) == [T0, T0]
