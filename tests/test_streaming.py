@@ -188,3 +188,25 @@ def test_processor_sessions_spanning_batches(spark, scratch):
     assert closed == [(t0, 3, 3), (t0 + dt.timedelta(seconds=1000), 1, 1)]
     row = processor.snapshot_dashboard(spark, state).first()
     assert row["active_users"]["active_users"] == 1
+
+
+def test_restart_from_copied_checkpoint_replays_without_double_count(spark, scratch):
+    import shutil
+    src, state, ckpt = (os.path.join(scratch, d) for d in ("src", "state", "ckpt"))
+    n = _write_json_files(spark, src)
+    raw = wire.stream_json_lines(spark, src, max_files_per_trigger=1)
+    processor.start_processor(raw, state, ckpt, available_now=True).awaitTermination()
+    before = processor.snapshot_dashboard(spark, state).first()
+    last = processor.latest_version(spark, state)
+
+    # a copy of the checkpoint as if the process died before committing the last batch
+    crashed = os.path.join(scratch, "ckpt_copy")
+    shutil.copytree(ckpt, crashed, ignore=lambda d, names: [x for x in names
+                                                          if os.path.basename(d) == "commits"
+                                                          and x in (str(last), f".{last}.crc")])
+    raw = wire.stream_json_lines(spark, src, max_files_per_trigger=1)
+    processor.start_processor(raw, state, crashed, available_now=True).awaitTermination()
+    after = processor.snapshot_dashboard(spark, state).first()
+    assert processor.latest_version(spark, state) == last      # the same batch id was re-run
+    assert after["event_counts"]["total"] == n
+    assert _norm(after) == _norm(before)
