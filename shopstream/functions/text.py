@@ -108,9 +108,12 @@ def clock_label(ts: Column) -> Column:
 
 
 def age_label(ts: Column, as_of: Column) -> Column:
-    """Relative feed age: 'Just now' under a minute, then 'Nm ago', 'Nh ago', 'Nd ago'."""
-    secs = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
-    secs = F.floor(secs / 1_000_000)
+    """Relative feed age: 'Just now' under a minute, then 'Nm ago', 'Nh ago', 'Nd ago'.
+
+    Elapsed whole seconds via ``timestampdiff``, which needs no time zone for
+    TIMESTAMP_NTZ (no daylight-saving jumps).
+    """
+    secs = F.timestamp_diff("SECOND", ts, as_of)
     return (F.when(secs < 60, F.lit(FEED_TIME_LABEL))
             .when(secs < 3600, F.concat(F.floor(secs / 60).cast("string"), F.lit("m ago")))
             .when(secs < 86400, F.concat(F.floor(secs / 3600).cast("string"), F.lit("h ago")))
