@@ -1,0 +1,24 @@
+"""Parallelism for heavy per-row work on an under-partitioned input.
+
+A large scan already arrives in thousands of splits; a small or single
+row-group file arrives as one partition, and every row-local step fused into
+that scan (JSON parsing, text rendering) then runs on one core.  For such
+inputs only, rows are spread round-robin over the session's default
+parallelism before the heavy step; a well-partitioned input is left as is
+(no extra shuffle at scale).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    if df.isStreaming:
+        return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: no RDD view; leave the plan alone
+        return df
+    return df.repartition(target) if current < target else df

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from ..operators.partitioning import spread_if_narrow
 from ..schema import EVENT_TYPES, UNKNOWN
 
 WIRE_FIELDS = ("event_id", "event_type", "user_id", "product_id", "product_name",
@@ -72,8 +73,11 @@ def _is_number(kind: Column) -> Column:
 def _decoded(raw: DataFrame, value_col: str) -> DataFrame:
     """Stage 1 + 2: ``_v`` (VARIANT or null), ``_top`` (its kind) and, per wire
     field, ``_k_<field>``: NULL when absent, 'VOID' for JSON null, else the
-    token kind ('STRING', 'BIGINT', 'DECIMAL(p,s)', 'DOUBLE', 'BOOLEAN', 'OBJECT<..>', ...)."""
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(value_col)))
+    token kind ('STRING', 'BIGINT', 'DECIMAL(p,s)', 'DOUBLE', 'BOOLEAN', 'OBJECT<..>', ...).
+
+    Parsing is the costly step: a narrow batch input is spread over the
+    cores first (see ``operators.partitioning``)."""
+    parsed = spread_if_narrow(raw).withColumn("_v", F.try_parse_json(F.col(value_col)))
     v = F.col("_v")
     return parsed.select(
         "*",
@@ -241,7 +245,7 @@ def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
 
 def lenient_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Messages that are not a JSON object, kept instead of killing the stream."""
-    parsed = raw.withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
+    parsed = spread_if_narrow(raw).withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
     return (parsed.where(~_is_object())
             .select(F.col(value_col).alias("raw_value"), F.lit("malformed_json").alias("reasons")))
 
