@@ -412,6 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "kpi_text": KPI_TEXT,
         "dashboard": DASHBOARD,
         "dashboard_json": DASHBOARD_JSON,
+        "stream_dashboard": DASHBOARD,
         "kafka_rows": KAFKA_ROWS,
         "parse_events": PARSE_EVENTS,
         "valid_events": VALID_EVENTS,

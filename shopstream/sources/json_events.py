@@ -217,20 +217,16 @@ def _text_or(name: str, default: str) -> Column:
     return F.coalesce(_get(name, "string"), F.lit(default))
 
 
-def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Canonical events the way the processor reads them.
+def decode(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """Parse once: the raw rows plus the VARIANT and token-kind columns that
+    ``lenient_from_decoded`` and ``rejects_from_decoded`` read."""
+    return _decoded(raw, value_col)
 
-    Missing keys take their defaults (type/user 'unknown', price 0,
-    quantity 1); a present-but-unconvertible price or quantity gives a null
-    (the event still counts, but adds no revenue, product or feed row).
-    Rows that are not a JSON object are dropped here; see ``lenient_rejects``.
-    """
-    dec = (_decoded(raw, value_col)
-           .observe("lenient_decode", F.count(F.lit(1)).alias("records"),
-                    F.count_if(~_is_object()).alias("malformed"))
-           .where(_is_object()))
+
+def lenient_from_decoded(dec: DataFrame) -> DataFrame:
+    """Canonical events from decoded rows (JSON objects only)."""
     pk, qk = F.col(_kind_col("price")), F.col(_kind_col("quantity"))
-    return dec.select(
+    return dec.where(_is_object()).select(
         _text_or("event_id", UNKNOWN).alias("event_id"),
         _text_or("event_type", UNKNOWN).alias("event_type"),
         _text_or("user_id", UNKNOWN).alias("user_id"),
@@ -243,11 +239,29 @@ def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
     )
 
 
+def rejects_from_decoded(dec: DataFrame, value_col: str = "value") -> DataFrame:
+    """The decoded rows that are not a JSON object."""
+    return (dec.where(~_is_object())
+            .select(F.col(value_col).alias("raw_value"), F.lit("malformed_json").alias("reasons")))
+
+
+def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """Canonical events the way the processor reads them.
+
+    Missing keys take their defaults (type/user 'unknown', price 0,
+    quantity 1); a present-but-unconvertible price or quantity gives a null
+    (the event still counts, but adds no revenue, product or feed row).
+    Rows that are not a JSON object are dropped here; see ``lenient_rejects``.
+    """
+    dec = _decoded(raw, value_col).observe(
+        "lenient_decode", F.count(F.lit(1)).alias("records"), F.count_if(~_is_object()).alias("malformed"))
+    return lenient_from_decoded(dec)
+
+
 def lenient_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Messages that are not a JSON object, kept instead of killing the stream."""
     parsed = spread_if_narrow(raw).withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
-    return (parsed.where(~_is_object())
-            .select(F.col(value_col).alias("raw_value"), F.lit("malformed_json").alias("reasons")))
+    return rejects_from_decoded(parsed, value_col)
 
 
 # ---------------------------------------------------------------------------

@@ -22,6 +22,7 @@ re-aggregate; nothing is collected to the driver.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,7 +36,9 @@ from ..schema import (
     ACTIVE_GAP_SECONDS, ACTIVE_WINDOW_LABEL, CURRENCY, EVENT_TYPES, FEED_TIME_LABEL,
     RECENT_EVENTS_LIMIT, REVENUE_HISTORY_LIMIT, TOP_PRODUCTS_LIMIT,
 )
-from ..sources.json_events import lenient_rejects, parse_lenient
+from ..sources.json_events import (
+    decode, lenient_from_decoded, lenient_rejects, parse_lenient, rejects_from_decoded,
+)
 
 TABLES = ("counts", "products", "totals", "users", "history", "sessions", "feed")
 
@@ -73,8 +76,10 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     ev = with_amount(events).withColumn("seq", F.lit(0).cast("bigint")).persist()
     gap = F.expr(f"INTERVAL {ACTIVE_GAP_SECONDS} SECONDS")
 
+    pending: list[tuple[DataFrame, str]] = []
+
     def write(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").parquet(_path(state_dir, table, batch_id))
+        pending.append((df, table))
 
     # A2-A4: counters per type string
     batch_counts = ev.groupBy(type_key().alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
@@ -90,8 +95,10 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     # A1 + open global session (A6): one row, built from scalar subqueries
     b_rev = paid.agg(F.coalesce(F.sum(to_money_acc(F.col("amount"))), F.lit(0).cast(MONEY_ACC))).scalar()
     b_events = ev.agg(F.count(F.lit(1))).scalar()
-    per_user = session_users(ev)                     # (session_us, user) rows of this batch
-    b_sessions = sessions_of(per_user)               # bounded by the batch's time span / gap
+    # (session_us, user) rows and session rows of this batch: bounded by the
+    # batch, read by several plans below, so kept for the batch's duration
+    per_user = session_users(ev).persist()
+    b_sessions = sessions_of(per_user).persist()
     b = b_sessions.agg(F.struct(
         F.count(F.lit(1)).alias("k"), F.min("session_start").alias("first_start"),
         F.max("session_start").alias("last_start"),
@@ -165,16 +172,26 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     write(prev["feed"].unionByName(feed)
           .orderBy(F.desc("batch_id"), F.desc("ts"), F.desc("event_id")).limit(RECENT_EVENTS_LIMIT),
           "feed")
-    # the one-row totals table is written last: it marks the version complete
-    write(totals, "totals")
-    ev.unpersist()
+    # The snapshot tables are independent of each other: write them as
+    # concurrent jobs; the one-row totals table goes last and marks the
+    # version complete.
+    def save(item: tuple[DataFrame, str]) -> None:
+        df, table = item
+        df.write.mode("overwrite").parquet(_path(state_dir, table, batch_id))
+
+    with ThreadPoolExecutor(max_workers=len(pending)) as pool:
+        list(pool.map(save, pending))
+    save((totals, "totals"))
+    for kept in (b_sessions, per_user, ev):
+        kept.unpersist()
 
 
 def process_json_batch(raw: DataFrame, batch_id: int, state_dir: str) -> None:
-    """foreachBatch body: lenient decode, dead-letter the non-JSON, merge the rest."""
-    rejects = lenient_rejects(raw)
-    rejects.write.mode("overwrite").parquet(_path(state_dir, "rejects", batch_id))
-    merge_batch(parse_lenient(raw), batch_id, state_dir)
+    """foreachBatch body: decode once, dead-letter the non-JSON, merge the rest."""
+    decoded = decode(raw).persist()
+    rejects_from_decoded(decoded).write.mode("overwrite").parquet(_path(state_dir, "rejects", batch_id))
+    merge_batch(lenient_from_decoded(decoded), batch_id, state_dir)
+    decoded.unpersist()
 
 
 def dedupe_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
