@@ -71,19 +71,30 @@ def with_py_float_text(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def js_fixed1(x: Column) -> Column:
-    """JavaScript ``x.toFixed(1)`` for |x| < 1e15."""
+    """JavaScript ``x.toFixed(1)``.
+
+    Exact for |x| < 1e15 (any money or count this library renders); beyond
+    that the digits come from the JVM's ``%.1f``.  NaN and infinities print
+    as JavaScript does.
+    """
     a = F.abs(x)
-    n0 = F.floor(a * 10)
-    c = a * F.lit(134217729.0)          # 2**27 + 1: Veltkamp split constant
-    hi = c - (c - a)
-    lo = a - hi
+    safe = F.when(a < 1e15, a).otherwise(F.lit(0.0))   # keeps the integer steps in range
+    n0 = F.floor(safe * 10)
+    c = safe * F.lit(134217729.0)          # 2**27 + 1: Veltkamp split constant
+    hi = c - (c - safe)
+    lo = safe - hi
     # sign(a*20 - (2*n0 + 1)), exactly: hi*20 and lo*20 are exact products,
     # the first difference is exact (Sterbenz), the final sum keeps its sign.
     tie_side = (hi * 20 - (n0 * 2 + 1)) + lo * 20
     n = (n0 + F.when(tie_side >= 0, 1).otherwise(0)).cast("bigint")
     body = F.concat((n / 10).cast("bigint").cast("string"), F.lit("."), (n % 10).cast("string"))
-    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body))
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("NaN"))
+            .when(x == float("inf"), F.lit("Infinity"))
+            .when(x == float("-inf"), F.lit("-Infinity"))
+            .when(a >= 1e15, F.format_string("%.1f", x))
+            .otherwise(F.concat(sign, body)))
 
 
 def compact_count(x: Column) -> Column:

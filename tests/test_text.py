@@ -49,3 +49,9 @@ def test_compact_and_currency(spark):
     df = spark.createDataFrame([(999, 1150.0), (1000, 1250.0), (10000, 193564.18)], "n long, r double")
     got = df.select(compact_count(F.col("n")), currency_k(F.col("r"))).collect()
     assert [tuple(r) for r in got] == [("999", "₹1.1k"), ("1.0k", "₹1.3k"), ("10.0k", "₹193.6k")]
+
+
+def test_js_fixed1_non_finite_and_huge(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (2.5e15,)], "x double")
+    got = [r[0] for r in df.select(js_fixed1(F.col("x"))).collect()]
+    assert got == ["NaN", "Infinity", "-Infinity", "2500000000000000.0"]
