@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing
+from . import decontaminate, host_rules, katz, main_text, mixing, ngram_join, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op4_main_text": main_text.op4_main_text,
+        "op6_quality": quality.op6_quality,
+        "op7_katz": katz.op7_katz,
         "op8_host_rules": host_rules.op8_host_rules,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_rules": host_rules.SQL, "op10_mixing": mixing.SQL}
+    return {
+        "op1_ngram_join": ngram_join.SQL,
+        "op8_host_rules": host_rules.SQL,
+        "op9_decontamination": decontaminate.SQL,
+        "op10_mixing": mixing.SQL,
+    }
