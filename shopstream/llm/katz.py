@@ -304,7 +304,7 @@ def evaluated(chunk: Chunk, answers: list[dict], model: Katz, order: int, min_co
         c = counts[n][index]
         held = c >= min_count
         size = counts[n - 1][history] + reserve[history]
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log10(model.discounted(c, n)) - np.log10(size)
         logs[at] = np.where(held, seen, alpha[history] + logs[at])
     return logs
