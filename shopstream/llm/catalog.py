@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, katz, main_text, mixing, ngram_join, quality, url_filter
+from . import (decontaminate, host_rules, katz, language_id, main_text, mixing, ngram_join, quality,
+               url_filter, warc)
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_warc": warc.op3_warc,
         "op4_main_text": main_text.op4_main_text,
+        "op5_language_id": language_id.op5_language_id,
         "op6_quality": quality.op6_quality,
         "op7_katz": katz.op7_katz,
         "op8_host_rules": host_rules.op8_host_rules,

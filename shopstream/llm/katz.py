@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, settled, table
-from .ngram_join import runs
+from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, mix, word_hashes
 
 ORDER = 2
@@ -38,32 +38,9 @@ CHUNK_TOKENS = 1 << 21       # of a chunk, about; a longer text is a chunk of it
 PART_KEYS = 1 << 21          # keys a table partition is sent, about
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
 ANSWER = "chunk long, part int, level int, body binary, stats array<long>"
 
 
-def pack(a: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-    return len(a).to_bytes(8, "little") + (_ZSTD.compress(planes).to_pybytes() if len(a) else b"")
-
-
-def unpack(body: bytes, dtype) -> np.ndarray:
-    n, size = int.from_bytes(body[:8], "little"), np.dtype(dtype).itemsize
-    if not n:
-        return np.empty(0, dtype)
-    planes = np.frombuffer(_ZSTD.decompress(body[8:], n * size), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=U(0)))
-
-
-def unpack_sorted(body: bytes) -> np.ndarray:
-    return np.cumsum(unpack(body, np.uint64), dtype=np.uint64)
-
-
 # --- chunks ---------------------------------------------------------------------------------------
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -154,13 +131,6 @@ class Chunk:
         return where[at - 1]
 
 
-def slices(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the table partitions, ranges of equal width, in ascending keys."""
-    high = keys >> U(32)
-    inner = np.searchsorted(high, (np.arange(1, parts, dtype=U) << U(32)) // U(parts))
-    return np.concatenate(([0], inner, [len(keys)]))
-
-
 # --- what tables answer ---------------------------------------------------------------------------
 
 def ask(rows: DataFrame, parts: int, message: Callable[[dict], tuple[np.ndarray, list[np.ndarray]]],

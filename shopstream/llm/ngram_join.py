@@ -1,22 +1,28 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-The n-grams of all texts have one global order, that of their 64-bit hashes.  The order is cut into
-``m`` fragments, and what two texts share is counted fragment by fragment and summed per pair.
+The n-grams of all texts have one global order: by the number of sets that hold them, rare ones first,
+then by hash.  The order is cut into fragments; what two sets share is counted fragment by fragment and
+summed per pair.
 
 * Texts of equal n-gram sets are one class; from here on classes are joined.
-* If two sets of sizes a, b reach a similarity of t, they differ in at most (1-t)/(1+t) (a+b) n-grams.
-  With one fragment more than that, they agree on a whole fragment.  The number of fragments follows
-  from a size class; sizes that can link are in the same or adjacent classes, so each set is cut twice.
-  A few fragments more allow to leave out those that hold next to nothing (see ``cuts``).
-* Classes that agree on a fragment form a group.  A group links its members to its least one only, so
-  its rows stay linear in its size.  Connected groups are a family: all links are inside families.
+* Tasks turn their texts into chunks.  A chunk sends its n-grams to table partitions by key range, with
+  the classes that hold them.  A partition counts how many hold each n-gram and answers with those that
+  more than one holds: only these can be shared.  N-grams that many classes of a chunk hold are sent as
+  a count, their holders go straight to where a chunk's answers meet, so that a frequent n-gram never
+  brings its holders together.
+* A class that holds fewer shared n-grams than any link needs is done.  Of the others, linking sets have
+  an n-gram in common among the first size - needed + 1 of the global order (prefix filter).  Classes
+  with such an n-gram in common form a group.  A group links its members to its least one only, so its
+  rows stay linear in its size.  Connected groups are a family: all links are inside families.
 * In a family, members that link with its busiest member are one component at once.  The others are
   compared in blocks: with each other and with the linked ones, by partial overlaps per fragment that
   are summed per pair.  Blocks hold a bounded number of sets and give back at most a spanning forest.
 
+The number of table partitions is the session's ``spark.sql.shuffle.partitions``.
+
 Defined results: null, empty or blank texts have no n-grams and link with nothing.  Texts of fewer words
 than ``n`` have one n-gram, the whole sequence.  Rows that repeat an id are judged each by its own text.
-A null id counts as the largest.  An empty table gives an empty result.
+A null id counts as larger than any other.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +30,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import settled, table
+from .common import at_least, settled, table
 from .components import connected_components
-from .word_arrays import U, mix, windows, word_hashes
+from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
+from .word_arrays import U, windows, word_hashes
 
 N, PERCENT = 3, 90
-SMALL = 3                    # n-grams up to which a fragment counts as next to nothing
+CHUNK_GRAMS = 1 << 21        # n-grams of a chunk, about; a longer text is a chunk of its own
+HOT = 64                     # holders in one chunk from which an n-gram is sent as a count
 BLOCK = 256                  # sets of one side of a comparison
 FRAGMENT = 2048              # n-grams of a fragment in a comparison
 
@@ -54,104 +63,167 @@ def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, U)
 
 
-def most_differences(a: int, b: int, percent: int) -> int:
-    return (100 - percent) * (a + b) // (100 + percent)
-
-
-def size_classes(size: int, percent: int) -> list[tuple[int, int]]:
-    """(size class, largest size in it) of the two overlapping classes that a size belongs to."""
-    ratio = 100 / percent
-    k = int(np.floor(np.log(size) / np.log(ratio)))
-    while ratio ** (k + 1) <= size:
-        k += 1
-    while ratio ** k > size:
-        k -= 1
-    return [(j, int(np.ceil(ratio ** (j + 1)))) for j in (k, k + 1)]
-
-
-def cuts(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the fragments of a set; two sets that link have a key in common.
-
-    Of ``most + 1 + spare`` fragments, linking sets agree on ``spare + 1`` at least.  A set with at most
-    ``spare`` fragments of next to no n-grams can therefore do without them: another one agrees.
-    """
-    high = grams >> U(32)
-    sums = np.zeros(len(grams) + 1, U)
-    np.cumsum(mix(grams), out=sums[1:])
-    keys = []
-    for k, largest in size_classes(len(grams), percent):
-        most = most_differences(largest, largest, percent)
-        if not most:
-            continue                                             # only equal sets link, and they are one class
-        spare = 1 + most // 12
-        m = most + 1 + spare
-        at = np.searchsorted(high, (np.arange(1, m, dtype=U) << U(32)) // U(m))
-        at = np.concatenate(([0], at, [len(grams)]))
-        own = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(U(k << 24) + np.arange(m, dtype=U)))
-        held = np.diff(at) > SMALL
-        keys.append(own[held] if m - np.count_nonzero(held) <= spare else own)
-    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-
-
 def node_of(grams: np.ndarray) -> int:
     """A set's 64-bit fingerprint as a signed number."""
     x = xxhash.xxh3_64_intdigest(grams.tobytes())
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_sets(docs: DataFrame, keep: list[str], n: int, percent: int, want: str) -> DataFrame:
-    """``keep`` plus n_shingles, node and ``want``: "keys" (of the fragments), "grams" (the set's bytes) or nothing."""
-    schema = docs.select(*keep).schema
-    extra = {"keys": T.ArrayType(T.LongType()), "grams": T.BinaryType()}.get(want)
-
+def least_shared(size: int, percent: int) -> int:
+    """How many n-grams a set of this size shares with any set it links with, at least."""
+    return -(-percent * size // 100)
+
+
+# --- which n-grams are shared ---------------------------------------------------------------------
+
+MESSAGE = "part int, chunk long, own boolean, body array<binary>"
+
+
+class Sender:
+    """Gathers texts into chunks and makes their messages."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts, self.first = parts, TaskContext.get().partitionId() << 32
+        self.start()
+
+    def start(self) -> None:
+        self.ids, self.sizes, self.nodes, self.classes, self.sets, self.held = [], [], [], {}, [], 0
+
+    def add(self, doc_id: int | None, grams: np.ndarray) -> None:
+        node = node_of(grams) if len(grams) else 0
+        self.ids.append(doc_id)
+        self.sizes.append(len(grams))
+        self.nodes.append(node)
+        if len(grams) and (node, len(grams)) not in self.classes:
+            self.classes[node, len(grams)] = len(self.sets)
+            self.sets.append(grams)
+            self.held += len(grams)
+
+    def messages(self) -> pa.RecordBatch:
+        rows: list[tuple[int, bool, list[bytes]]] = []
+        keys = np.concatenate([*self.sets, np.empty(0, U)])
+        owners = np.repeat(np.arange(len(self.sets), dtype=np.uint32), [len(x) for x in self.sets])
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        distinct, starts, counts = np.unique(keys, return_index=True, return_counts=True)
+        hot = np.flatnonzero(counts > HOT)
+        in_hot = np.repeat(counts > HOT, counts)
+        sized = np.array([[n, k[0]] for k, n in zip(self.classes, map(len, self.sets))], np.int64).reshape(-1, 2)
+        known = np.array([x is not None for x in self.ids], bool)
+        rows.append((self.first % self.parts, True, [
+            pack(np.array([x or 0 for x in self.ids], np.int64)), pack(known), pack(np.array(self.sizes, np.int64)),
+            pack(np.array(self.nodes, np.int64)), pack(sized[:, 0]), pack(sized[:, 1]),
+            pack(counts[hot]), pack(owners[in_hot])]))
+        cold, cold_owners = keys[~in_hot], owners[~in_hot]
+        bounds, hot_bounds = slices(cold, self.parts), slices(distinct[hot], self.parts)
+        for p in range(self.parts):
+            a, b, c, d = bounds[p], bounds[p + 1], hot_bounds[p], hot_bounds[p + 1]
+            if b > a or d > c:
+                rows.append((p, False, [pack_sorted(cold[a:b]), pack(cold_owners[a:b]),
+                                        pack_sorted(distinct[hot[c:d]]), pack(counts[hot[c:d]])]))
+        out = pa.RecordBatch.from_pydict({
+            "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([self.first] * len(rows), pa.int64()),
+            "own": pa.array([r[1] for r in rows], pa.bool_()), "body": pa.array([r[2] for r in rows], pa.list_(pa.binary()))})
+        self.first += 1
+        self.start()
+        return out
+
+
+def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per table partition: of the n-grams sent, those that more than one class holds, back to their senders."""
+    for group in runs(batches, ["part"]):
+        senders, own = group.column("chunk").to_pylist(), group.column("own").to_pylist()
+        bodies = group.column("body").to_pylist()
+        sent = [(c, [unpack_sorted(b[0]), unpack(b[1], np.uint32), unpack_sorted(b[2]), unpack(b[3], np.int64)])
+                for c, o, b in zip(senders, own, bodies) if not o]
+        rows = [(c, True, b) for c, o, b in zip(senders, own, bodies) if o]
+        if sent:
+            _, index = np.unique(np.concatenate([x for _, s in sent for x in (s[0], s[2])]), return_inverse=True)
+            weights = np.concatenate([x for _, s in sent for x in (np.ones(len(s[0])), s[3])])
+            held = np.bincount(index, weights=weights).astype(np.int64)
+            at = 0
+            for chunk, (keys, owners, hot, _) in sent:
+                n = held[index[at:at + len(keys)]]
+                of_hot = held[index[at + len(keys):at + len(keys) + len(hot)]]
+                at += len(keys) + len(hot)
+                shared = n > 1
+                if shared.any() or len(hot):
+                    rows.append((chunk, False, [pack_sorted(keys[shared]), pack(owners[shared]), pack(n[shared]),
+                                                pack_sorted(hot), pack(of_hot)]))
+        part = group.column("part")[0].as_py()
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([part] * len(rows), pa.int32()), "chunk": pa.array([r[0] for r in rows], pa.int64()),
+            "own": pa.array([r[1] for r in rows], pa.bool_()), "body": pa.array([r[2] for r in rows], pa.list_(pa.binary()))})
+
+
+KEPT = "doc_id long, size long, node long, prefix array<long>, grams binary"
+
+
+def gathered(percent: int):
+    """Per chunk: a row for each document, and one with the shared n-grams of each class that may link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["chunk"]):
+            keys, owners, held, hot, hot_held = [], [], [], [], []
+            own = None
+            for mine, body in zip(group.column("own").to_pylist(), group.column("body").to_pylist()):
+                if mine:
+                    own = body
+                    continue
+                keys.append(unpack_sorted(body[0]))
+                owners.append(unpack(body[1], np.uint32))
+                held.append(unpack(body[2], np.int64))
+                hot.append(unpack_sorted(body[3]))
+                hot_held.append(unpack(body[4], np.int64))
+            ids, known, sizes, nodes, class_sizes, class_nodes, hot_counts = (
+                unpack(b, t) for b, t in zip(own, (np.int64, bool, np.int64, np.int64, np.int64, np.int64, np.int64)))
+            if hot_counts.size:                                    # partitions are key ranges: in order they are ascending
+                keys.append(np.repeat(np.concatenate(hot), hot_counts))
+                held.append(np.repeat(np.concatenate(hot_held), hot_counts))
+                owners.append(unpack(own[7], np.uint32))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids, pa.int64(), mask=~known), "size": pa.array(sizes, pa.int64()),
+                "node": pa.array(nodes, pa.int64(), mask=sizes == 0),
+                "prefix": pa.nulls(len(ids), pa.list_(pa.int64())), "grams": pa.nulls(len(ids), pa.binary())})
+            if not keys:
+                continue
+            k, o, h = np.concatenate(keys), np.concatenate(owners), np.concatenate(held)
+            order = np.lexsort((k, h, o))                          # each class in the global order
+            k, o = k[order], o[order]
+            ends = np.searchsorted(o, np.arange(len(class_sizes) + 1))
+            rows = []
+            for c, size in enumerate(class_sizes.tolist()):
+                shared, needed = int(ends[c + 1] - ends[c]), least_shared(size, percent)
+                if shared >= needed:
+                    mine = k[ends[c]:ends[c + 1]]
+                    rows.append((size, int(class_nodes[c]), mine[:shared - needed + 1].view(np.int64), np.sort(mine).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.nulls(len(rows), pa.int64()), "size": pa.array([r[0] for r in rows], pa.int64()),
+                    "node": pa.array([r[1] for r in rows], pa.int64()), "prefix": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                    "grams": pa.array([r[3] for r in rows], pa.binary())})
+    return run
+
+
+def shared_ngrams(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows of documents (doc_id, size, node) and of classes that may link (size, node, prefix, grams)."""
+    parts = at_least(1, docs)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(parts)
         for batch in batches:
-            sizes, nodes, more = [], [], []
-            for grams in ngram_sets(batch.column("_text"), n):
-                sizes.append(len(grams))
-                nodes.append(node_of(grams) if len(grams) else None)
-                if want == "keys":
-                    more.append(cuts(grams, percent) if len(grams) else np.empty(0, np.int64))
-                elif want == "grams":
-                    more.append(grams.tobytes())
-            columns = {c: batch.column(c) for c in keep}
-            columns |= {"n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64())}
-            if want == "keys":
-                ends = np.cumsum([0, *map(len, more)])
-                columns["keys"] = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate([*more, np.empty(0, np.int64)])))
-            elif want == "grams":
-                columns["grams"] = pa.array(more, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    out = schema.add("n_shingles", "long").add("node", "long")
-    if extra:
-        out = out.add(want, extra)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, out)
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of consecutive rows with equal keys; holds one group (and one batch) at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            key = tuple(c[a] for c in columns)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
+            for doc_id, grams in zip(batch.column("doc_id").to_pylist(), ngram_sets(batch.column("text"), n)):
+                if sender.held and sender.held + len(grams) > CHUNK_GRAMS:
+                    yield sender.messages()
+                sender.add(doc_id, grams)
+        if sender.ids:
+            yield sender.messages()
+
+    sent = docs.select("doc_id", "text").mapInArrow(send, MESSAGE)
+    told = sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answers, MESSAGE)
+    return told.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(gathered(percent), KEPT)
+
 
+# --- comparing sets -------------------------------------------------------------------------------
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each left set shares with each right one: partial counts per fragment, summed."""
@@ -182,11 +254,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links(shared: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    a = np.array([len(x) for x in left])[:, None]
-    b = np.array([len(x) for x in right])[None, :]
+def links(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs link, from what they share and the sizes of their sets."""
     shared = shared.astype(np.int64)
-    return 100 * shared >= percent * (a + b - shared)
+    return 100 * shared >= percent * (left[:, None] + right[None, :] - shared)
 
 
 def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -199,10 +270,12 @@ def with_pivot(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = sets_of(batch.column("grams")), sets_of(batch.column("pivot_grams"))
-            ok = [bool(links(overlaps([a], [b]), [a], [b], percent)[0, 0]) for a, b in zip(own, other)]
+            shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(own, other)], np.int64)
+            sizes = batch.column("size").to_numpy() + batch.column("pivot_size").to_numpy()
+            ok = 100 * shared >= percent * (sizes - shared)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("node", "pivot")}).filter(pa.array(ok, pa.bool_()))
 
-    return members.select("node", "pivot", "grams", "pivot_grams").mapInArrow(run, "node long, pivot long")
+    return members.select("node", "pivot", "size", "grams", "pivot_size", "pivot_grams").mapInArrow(run, "node long, pivot long")
 
 
 def block_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -217,14 +290,14 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
             side = group.column("side").to_numpy()
             if not (side == 0).any():
                 continue
-            nodes, sets = group.column("node").to_numpy(), sets_of(group.column("grams"))
+            nodes, sizes, sets = group.column("node").to_numpy(), group.column("size").to_numpy(), sets_of(group.column("grams"))
             left = np.flatnonzero(side == 0)
             alone = group.column("i")[0] == group.column("j")[0] and not group.column("resolved")[0].as_py()
             right = left if alone else np.flatnonzero(side == 1)
             if not len(right):
                 continue
-            l, r = [sets[k] for k in left], [sets[k] for k in right]
-            found = links(overlaps(l, r), l, r, percent)
+            shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            found = links(shared, sizes[left], sizes[right], percent)
             root = list(range(len(nodes)))
 
             def top(x: int) -> int:
@@ -253,29 +326,26 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, node), (linked: node, component), the latter for linked classes only."""
-    cut = settled(with_sets(docs.select("doc_id", "text"), ["doc_id"], n, percent, "keys"))
-    documents = cut.select("doc_id", "n_shingles", "node")
+    kept = settled(shared_ngrams(docs, n, percent))
+    documents = kept.filter("grams is null").select("doc_id", F.col("size").alias("n_shingles"), "node")
+    classes = kept.filter("grams is not null").dropDuplicates(["node"])        # equal sets have equal rows
 
-    # groups: classes that agree on a fragment; each member meets the least one
+    # groups: classes with an n-gram of their prefixes in common; each member meets the least one
     order = W.partitionBy("key").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    agree = (cut.select(F.explode("keys").alias("key"), "node")
+    agree = (classes.select(F.explode("prefix").alias("key"), "node")
              .withColumn("least", F.min("node").over(order)).filter("node != least"))
     agree = settled(agree.groupBy("least", "node").agg(F.count(F.lit(1)).alias("n_agree")))
     families = settled(connected_components(agree, "least", "node"))
 
-    # the sets of family members, from one document each
-    first = documents.filter("node is not null").join(families.select("node").distinct(), "node", "left_semi")
-    first = first.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.select("doc_id", "text").join(first.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     busy = (agree.select(F.col("least").alias("node"), "n_agree").unionByName(agree.select("node", "n_agree"))
             .groupBy("node").agg(F.sum("n_agree").alias("n")))
     pivots = (families.join(busy, "node").groupBy("component")
               .agg(F.max_by("node", F.struct("n", "node")).alias("pivot")))
     members = families.join(pivots, "component").select("node", F.col("component").alias("family"), "pivot")
-    grams = with_sets(wanted, ["doc_id"], n, percent, "grams").select("node", "grams").dropDuplicates(["node"])
-    members = settled(grams.join(members, "node"))
+    members = settled(classes.select("node", "size", "grams").join(members, "node"))
 
-    of_pivot = members.filter("node = pivot").select(F.col("family").alias("_f"), F.col("grams").alias("pivot_grams"))
+    of_pivot = members.filter("node = pivot").select(
+        F.col("family").alias("_f"), F.col("size").alias("pivot_size"), F.col("grams").alias("pivot_grams"))
     direct = settled(with_pivot(members.filter("node != pivot").join(of_pivot, F.col("family") == F.col("_f")), percent))
     near = direct.select("node", F.lit(True).alias("_near"))
     state = members.select("node", "family", "pivot").join(near, "node", "left").withColumn(
@@ -288,17 +358,17 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
     state = settled(state.join(sizes, "family").select(
         "node", "resolved", "b0", "b1",
         F.pmod(F.xxhash64("node"), F.when(F.col("resolved"), F.col("b1")).otherwise(F.col("b0"))).alias("block")))
-    blocks = members.select("node", "family", "grams").join(state, "node")
+    blocks = members.select("node", "family", "size", "grams").join(state, "node")
     last = F.col("b0") - 1
     # open members meet each other: block i with every block j >= i
-    own = blocks.filter("not resolved").select("node", "family", "grams", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
-    own = own.select("node", "family", "grams", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
+    own = blocks.filter("not resolved").select("node", "family", "size", "grams", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
+    own = own.select("node", "family", "size", "grams", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"),
                      F.lit(False).alias("resolved"), (F.col("block") > F.col("o")).cast("int").alias("side"))
     # and the linked ones
-    across = blocks.filter("not resolved").select("node", "family", "grams", F.col("block").alias("i"),
+    across = blocks.filter("not resolved").select("node", "family", "size", "grams", F.col("block").alias("i"),
                                                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("b1") - 1)).alias("j"),
                                                   F.lit(True).alias("resolved"), F.lit(0).alias("side"))
-    linked = blocks.filter("resolved").select("node", "family", "grams", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"),
+    linked = blocks.filter("resolved").select("node", "family", "size", "grams", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"),
                                               F.col("block").alias("j"), F.lit(True).alias("resolved"), F.lit(1).alias("side"))
     found = block_links(own.unionByName(across).unionByName(linked), percent)
     edges = found.unionByName(direct.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
@@ -306,18 +376,41 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) and node (class of equal sets), per row."""
+    """Per row: doc_id, n_shingles, component_id (least id reachable by links), node (class of equal sets), component."""
     documents, linked = joined(docs, n, percent)
     classes = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"))
     classes = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("_id").alias("component_id"))
-    classes = classes.join(ids, "component").select(F.col("node").alias("_node"), "component_id")
+    classes = classes.join(ids, "component").select(F.col("node").alias("_node"), "component", "component_id")
     return documents.join(classes, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component")
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps one: that of the least id.
+
+    Texts without n-grams are in no component and stay.  Of rows with equal id and n-grams the least by
+    the other columns stays.
+    """
+    found = ngram_jaccard_join(docs, n, percent).filter("node is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("_first")
+    stays = found.groupBy("component").agg(first).select(
+        F.col("_first.doc_id").alias("_id"), F.col("_first.node").alias("_stays"))
+
+    @F.pandas_udf("long")
+    def nodes(texts: pd.Series) -> pd.Series:
+        grams = ngram_sets(pa.array(texts, pa.string(), from_pandas=True), n)
+        return pd.Series([node_of(g) if len(g) else None for g in grams], dtype="Int64")
+
+    named = docs.withColumn("_node", nodes(F.coalesce("text", F.lit(""))))
+    kept = named.join(stays, (F.col("_node") == F.col("_stays")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    order = W.partitionBy("_node", "doc_id").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    kept = kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    return kept.select(*docs.columns).unionByName(named.filter("_node is null").select(*docs.columns))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text")).drop("node", "component")
 
 
 SQL = r"""
