@@ -109,6 +109,7 @@ def page_lines(page: str) -> Lines:
     lines = Lines()
     at, depth, in_link = 0, 0, False
     skip, nested = "", 0                       # the element that is left out, and how deep it is in its like
+    inner = 0                                  # articles (of reader comments, say) opened in it
     search = TAG.search
     while True:
         tag = search(page, at)
@@ -132,9 +133,11 @@ def page_lines(page: str) -> Lines:
                     nested -= 1
                 elif not attributes.endswith("/"):
                     nested += 1
-            # also ends where an article starts or ends, or the body of the page
-            if skip and nested and not (name in ARTICLE and skip not in ARTICLE and (closing or not depth)
-                               or name == "body" and (closing or skip == "head")):
+            # also ends where the article around it ends, or the first one starts, or the body of the page
+            around = name in ARTICLE and skip not in ARTICLE and (not inner if closing else not depth)
+            if name in ARTICLE and not around:
+                inner += -1 if closing else 1
+            if skip and nested and not (around or name == "body" and (closing or skip == "head")):
                 continue
             if skip:
                 ended_here = not nested
@@ -164,7 +167,7 @@ def page_lines(page: str) -> Lines:
             if not attributes.endswith("/"):
                 if name in BLOCK or name in NEVER:
                     lines.end(depth > 0)
-                skip, nested = name, 1
+                skip, nested, inner = name, 1, 0
             continue
         if name in BLOCK:
             lines.end(depth > 0)
