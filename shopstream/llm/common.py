@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps.
+
+    Spark's cleaner removes them once the driver has collected the objects that own them, which a driver
+    with free memory does late; a job of several large steps would keep all their files on disk.
+    """
+    gc.collect()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
     """Left join of ``lookup`` (one row per ``key``) onto ``rows``; a hot key is dealt over ``salts`` tasks.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, settled, table
+from .common import fold, release_shuffles, settled, table
 from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, mix, word_hashes
 
@@ -178,6 +178,7 @@ def ask(rows: DataFrame, parts: int, message: Callable[[dict], tuple[np.ndarray,
                 "level": pa.array([r[2] for r in rows], pa.int32()), "body": pa.array([r[3] for r in rows], pa.binary()),
                 "stats": pa.array([r[4] for r in rows], pa.list_(pa.int64()))})
 
+    release_shuffles(rows.sparkSession)
     sent = rows.mapInArrow(send, "part int, chunk long, keys binary, values array<binary>")
     return settled(sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(reply, ANSWER))
 
@@ -347,6 +348,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT)
                     "train_tokens": pa.array(np.full(n, model.tokens), pa.int64()),
                     "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(logs), pa.float64())})
 
+    release_shuffles(docs.sparkSession)
     scores = with_answers(cut, answers).mapInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     tables = answers[0].filter("chunk is null and level > 0").select("level", "part", "body")

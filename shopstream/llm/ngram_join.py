@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import at_least, settled, table
+from .common import at_least, release_shuffles, settled, table
 from .components import connected_components
 from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, windows, word_hashes
@@ -327,6 +327,7 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, node), (linked: node, component), the latter for linked classes only."""
     kept = settled(shared_ngrams(docs, n, percent))
+    release_shuffles(docs.sparkSession)
     documents = kept.filter("grams is null").select("doc_id", F.col("size").alias("n_shingles"), "node")
     classes = kept.filter("grams is not null").dropDuplicates(["node"])        # equal sets have equal rows
 
@@ -346,6 +347,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
 
     of_pivot = members.filter("node = pivot").select(
         F.col("family").alias("_f"), F.col("size").alias("pivot_size"), F.col("grams").alias("pivot_grams"))
+    release_shuffles(docs.sparkSession)
     direct = settled(with_pivot(members.filter("node != pivot").join(of_pivot, F.col("family") == F.col("_f")), percent))
     near = direct.select("node", F.lit(True).alias("_near"))
     state = members.select("node", "family", "pivot").join(near, "node", "left").withColumn(
