@@ -20,7 +20,13 @@ def purchase_amount(price: Column | str = "price", quantity: Column | str = "qua
 
 
 def to_money_acc(amount: Column) -> Column:
-    return amount.cast(MONEY_ACC)
+    """Exact accumulator value; null for NaN, infinity and amounts beyond the accumulator."""
+    return amount.try_cast(MONEY_ACC)
+
+
+def is_readable(amount: Column) -> Column:
+    """An amount that can be added up; anything else is treated like an unreadable price."""
+    return to_money_acc(amount).isNotNull()
 
 
 def money_total(acc: Column) -> Column:
@@ -29,6 +35,13 @@ def money_total(acc: Column) -> Column:
 
 
 def money_sum(amount: Column | str = "amount") -> Column:
-    """Aggregate: exact sum of double amounts, reported as a double; 0 when empty."""
+    """Aggregate: exact sum of double amounts, reported as a double; 0 when empty.
+
+    Unreadable amounts add nothing.  A sum beyond the accumulator's range is
+    reported as the sum of doubles instead of failing the query.
+    """
     amount = F.col(amount) if isinstance(amount, str) else amount
-    return money_total(F.coalesce(F.sum(to_money_acc(amount)), F.lit(0).cast(MONEY_ACC)))
+    acc = to_money_acc(amount)
+    return (F.when(F.count(acc) == 0, F.lit(0.0))
+            .otherwise(F.coalesce(money_total(F.try_sum(acc)),
+                                  F.sum(F.when(acc.isNotNull(), amount.cast("double"))))))

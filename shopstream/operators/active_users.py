@@ -18,21 +18,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import ACTIVE_GAP_SECONDS, ACTIVE_WINDOW_LABEL, UNKNOWN
 from .joins import join_dimension
-from .timecols import epoch_micros
+from .timecols import epoch_micros, from_micros
 
 def _user_key():
     return F.coalesce(F.col("user_id"), F.lit(UNKNOWN))
 
 
 def bucket_users(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
-    """One scan of the events: ``(bucket, user_id, n, lo, hi, first_ts, last_ts)``
-    per gap-sized bucket and user, partially aggregated map-side."""
+    """One scan of the events: ``(bucket, user_id, n, lo, hi)`` per gap-sized
+    bucket and user, partially aggregated map-side."""
     gap_us = gap_seconds * 1_000_000
     return (events.select(F.floor(epoch_micros(events) / gap_us).cast("bigint").alias("bucket"),
-                          _user_key().alias("user_id"), epoch_micros(events).alias("us"), "ts")
+                          _user_key().alias("user_id"), epoch_micros(events).alias("us"))
+            .where("bucket IS NOT NULL")             # said here, both uses below plan the same shuffle
             .groupBy("bucket", "user_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"),
-                 F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")))
 
 
 def _session_starts(buckets: DataFrame, gap_seconds: int) -> DataFrame:
@@ -54,8 +54,10 @@ def _session_starts(buckets: DataFrame, gap_seconds: int) -> DataFrame:
 def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """``bucket -> session_us``: the session (keyed by its first event time,
     in epoch micros) every non-empty gap-sized bucket belongs to."""
+    # n is kept, so that map and attribution read the very same shuffle
     buckets = (per_bucket_user.groupBy("bucket")
-               .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+               .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+               .where("n > 0").drop("n"))
     starts = _session_starts(buckets, gap_seconds)
     in_time = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     return starts.select("bucket", F.last("start_us", ignorenulls=True).over(in_time).alias("session_us"))
@@ -63,14 +65,16 @@ def session_map(per_bucket_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECOND
 
 def session_users(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """``(session_us, user_id, n, first_ts, last_ts)``: every user of every
-    global session.  The map and the attribution both derive from one
-    (bucket, user) aggregate, so the event table is scanned once."""
+    global session.  The map and the attribution derive from one (bucket,
+    user) aggregate and use all its columns, so its shuffle is planned once
+    (ReusedExchange) and the event table scanned once."""
     per_bucket_user = bucket_users(events, gap_seconds)
     smap = session_map(per_bucket_user, gap_seconds)
     attributed = join_dimension(per_bucket_user, smap, "bucket", how="inner")
     return (attributed.groupBy("session_us", "user_id")
-            .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"),
-                 F.max("last_ts").alias("last_ts")))
+            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .select("session_us", "user_id", "n", from_micros(events, F.col("lo")).alias("first_ts"),
+                    from_micros(events, F.col("hi")).alias("last_ts")))
 
 
 def sessions_of(per_user: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
@@ -91,6 +95,28 @@ def global_sessions(events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) ->
     return sessions_of(session_users(events, gap_seconds), gap_seconds)
 
 
+def session_bounds(buckets: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS, *carried) -> DataFrame:
+    """One row: ``start_us`` and ``last_us`` of the newest global session, from
+    rows ``(bucket, lo, hi, ...)``, next to the ``carried`` aggregates."""
+    starts = buckets.withColumn("_prev", F.lag("hi").over(Window.orderBy("bucket")))
+    begins = F.col("_prev").isNull() | (F.col("lo") - F.col("_prev") >= gap_seconds * 1_000_000)
+    return starts.agg(F.max(F.when(begins, F.col("lo"))).alias("start_us"), F.max("hi").alias("last_us"), *carried)
+
+
+def users_since(events: DataFrame, start_us) -> DataFrame:
+    """One row: distinct users at or after ``start_us``; the filter is on the
+    plain time column, which a scan can prune row groups by."""
+    return (events.where(F.col("ts") >= from_micros(events, start_us))
+            .agg(F.count_distinct(_user_key()).alias("users")))
+
+
+def open_users(users, bounds, as_of=None, gap_seconds: int = ACTIVE_GAP_SECONDS):
+    """The count of ``users`` if the newest session is still open at ``as_of``, else 0."""
+    as_of_us = bounds["last_us"] if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))
+    open_now = bounds["last_us"].isNotNull() & (as_of_us < bounds["last_us"] + gap_seconds * 1_000_000)
+    return F.when(open_now, users).otherwise(F.lit(0)).cast("bigint")
+
+
 def active_users_now(events: DataFrame, as_of=None, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:
     """A6 as read by the dashboard: users of the session open at ``as_of``.
 
@@ -101,19 +127,12 @@ def active_users_now(events: DataFrame, as_of=None, gap_seconds: int = ACTIVE_GA
     time, never the wall clock; the session is open while
     ``as_of < last event + gap``.  One row even with no events (0 users).
     """
-    gap_us = gap_seconds * 1_000_000
     us = epoch_micros(events)
-    buckets = (events.select(F.floor(us / gap_us).cast("bigint").alias("bucket"), us.alias("us"))
+    buckets = (events.select(F.floor(us / (gap_seconds * 1_000_000)).cast("bigint").alias("bucket"), us.alias("us"))
                .groupBy("bucket").agg(F.min("us").alias("lo"), F.max("us").alias("hi")))
-    bounds = _session_starts(buckets, gap_seconds).agg(F.struct(
-        F.max("start_us").alias("start_us"), F.max("hi").alias("last_us"))).scalar()
-    users = (events.select(us.alias("us"), _user_key().alias("user_id"))
-             .where(F.col("us") >= bounds["start_us"])
-             .agg(F.count_distinct("user_id").alias("users")))
-    as_of_us = bounds["last_us"] if as_of is None else F.unix_micros(F.lit(as_of).cast("timestamp"))
-    open_now = bounds["last_us"].isNotNull() & (as_of_us < bounds["last_us"] + gap_us)
-    return users.select(
-        F.when(open_now, F.col("users")).otherwise(F.lit(0)).cast("bigint").alias("active_users"),
+    bounds = session_bounds(buckets, gap_seconds).select(F.struct("start_us", "last_us")).scalar()
+    return users_since(events, bounds["start_us"]).select(
+        open_users(F.col("users"), bounds, as_of, gap_seconds).alias("active_users"),
         F.lit(ACTIVE_WINDOW_LABEL).alias("window"),
     )
 

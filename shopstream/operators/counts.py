@@ -22,7 +22,7 @@ def _count_type(name: str):
 def kpi_aggregates(events: DataFrame) -> DataFrame:
     """One row: the five per-type counts, total, and total revenue."""
     ev = with_amount(events)
-    purchase_amount = F.when(is_purchase() & F.col("amount").isNotNull(), F.col("amount"))
+    purchase_amount = F.when(is_purchase(), F.col("amount"))
     return ev.agg(
         *[_count_type(t) for t in EVENT_TYPES],
         F.count(F.lit(1)).alias("total"),
@@ -35,6 +35,23 @@ def event_counts(events: DataFrame) -> DataFrame:
     return kpi_aggregates(events).select(*EVENT_TYPES, "total")
 
 
+def event_counts_dedup(events: DataFrame) -> DataFrame:
+    """A3 + A4 with every ``event_id`` counted once, by its first delivery (T5).
+
+    The type travels as a number next to ``seq`` in one long, so that the
+    per-id aggregate stays a hash aggregate over fixed-width values.  Events
+    without an id count one each.
+    """
+    code = F.coalesce(*[F.when(F.col("event_type") == t, i + 1) for i, t in enumerate(EVENT_TYPES)], F.lit(0))
+    first = events.select(
+        "event_id", F.when(F.col("event_id").isNull(), F.monotonically_increasing_id()).alias("row"),
+        (F.coalesce("seq", F.lit(0)) * 8 + code).alias("seq_and_type"))
+    kinds = (first.groupBy("event_id", "row").agg(F.min("seq_and_type").alias("s"))
+             .select(F.pmod("s", F.lit(8)).alias("code")))
+    return kinds.agg(*[F.count_if(F.col("code") == i + 1).alias(t) for i, t in enumerate(EVENT_TYPES)],
+                     F.count(F.lit(1)).alias("total"))
+
+
 def events_by_type(events: DataFrame) -> DataFrame:
     """A2: a counter per event type string, any string, 'unknown' if missing."""
     return (events.groupBy(type_key().alias("event_type"))

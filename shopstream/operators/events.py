@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.money import purchase_amount
+from ..functions.money import is_readable, purchase_amount
 from ..schema import FEED_KINDS, PURCHASE_COMPLETED, UNKNOWN
 
 
@@ -34,14 +34,28 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     """Opt-in: keep one event per ``event_id`` (by default every delivery counts,
     as in the reference's at-least-once consumer).
 
-    An aggregate on the id with map-side partial de-duplication, so an id
-    delivered many times collapses before the shuffle.
+    The delivery with the lowest ``seq`` stays.  Events without an id are
+    different events: none of them is dropped.  An aggregate on the id with
+    map-side partial de-duplication, so an id delivered many times collapses
+    before the shuffle; id-less rows are keyed by row, never gathered.
     """
-    return events.dropDuplicates(["event_id"])
+    others = [c for c in events.columns if c not in ("event_id", "seq")]
+    keyed = events.withColumn(
+        "_row", F.when(F.col("event_id").isNull(), F.monotonically_increasing_id()))
+    # a map can't be ordered: it rides along as the value of min_by
+    kept = keyed.groupBy("event_id", "_row").agg(
+        F.min("seq").alias("seq"),
+        F.min_by(F.struct(*others), F.struct(F.coalesce("seq", F.lit(-1)), *[
+            c for c in others if not events.schema[c].dataType.typeName() == "map"])).alias("_e"))
+    return kept.select(*[F.col(c) if c in ("event_id", "seq") else F.col(f"_e.{c}") for c in events.columns])
 
 
 def with_amount(events: DataFrame) -> DataFrame:
-    """Adds ``amount = price * quantity``; null when price or quantity is unreadable."""
+    """Adds ``amount = price * quantity``; null when price or quantity is unreadable.
+
+    NaN, infinite and boundless amounts stay visible here, but no metric adds
+    them up (``functions.money.is_readable``).
+    """
     return events.withColumn("amount", purchase_amount("price", "quantity"))
 
 
@@ -52,10 +66,10 @@ def purchases(events: DataFrame) -> DataFrame:
     but adds nothing to revenue, products, history or the feed.
     """
     return (with_amount(events)
-            .where(is_purchase() & F.col("amount").isNotNull()))
+            .where(is_purchase() & is_readable(F.col("amount"))))
 
 
 def feed_candidates(events: DataFrame) -> DataFrame:
     """Feed-worthy events (F2), minus purchases without a readable amount."""
     ev = with_amount(events)
-    return ev.where(is_feed_event() & (~is_purchase() | F.col("amount").isNotNull()))
+    return ev.where(is_feed_event() & (~is_purchase() | is_readable(F.col("amount"))))

@@ -21,8 +21,8 @@ def _by_type(values: dict[str, str]) -> Column:
     return out
 
 
-def feed_projection(events_with_amount: DataFrame) -> DataFrame:
-    """P2 + P3: ``(id, type, title, subtitle)`` plus ``ts`` / ``seq`` for ordering.
+def feed_projection(events_with_amount: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """P2 + P3: ``(id, type, title, subtitle)`` plus ``ts`` / ``seq`` for ordering and ``keep``.
 
     A purchase subtitle prints the amount the way Python prints a float.
     """
@@ -37,7 +37,7 @@ def feed_projection(events_with_amount: DataFrame) -> DataFrame:
         _by_type({t: kind for t, (kind, _) in FEED_KINDS.items()}).alias("type"),
         _by_type({t: title for t, (_, title) in FEED_KINDS.items()}).alias("title"),
         subtitle.alias("subtitle"),
-        "ts", "seq",
+        "ts", "seq", *(keep or []),
     )
 
 

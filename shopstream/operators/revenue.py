@@ -6,7 +6,8 @@ Inputs are *purchases*: rows with ``ts``, ``amount`` (and ``seq`` /
 
 from __future__ import annotations
 
-from decimal import Decimal
+from decimal import Context, Decimal
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -71,9 +72,6 @@ def revenue_by_period_via_orders(lines: DataFrame, orders: DataFrame, unit: str)
 # ---------------------------------------------------------------------------
 # Running total
 # ---------------------------------------------------------------------------
-_MICRO = Decimal("0.000001")
-
-
 def revenue_running(purchases: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cumulative revenue after each purchase, in (ts, seq) order.
 
@@ -87,50 +85,45 @@ def revenue_running(purchases: DataFrame, partitions: int | None = None) -> Data
     both uses read the same rows even if executors are lost.
     """
     def local_running_sums(batches):
-        """Per range partition: running sum of amounts in micro-units, in order.
+        """Per range partition: exact running sum of the decimal amounts, in order.
 
         Rows arrive sorted by (ts, seq) within the partition; the running sum
         is carried across the Arrow batches of the partition.  Defined inside
         the function so it is shipped by value to the Python workers.
         """
-        carry = 0
+        carry = Decimal(0)
+        add = Context(prec=60).add
         part = TaskContext.get().partitionId()
         for pdf in batches:
-            micros = pdf["micros"].to_numpy(dtype=np.int64)
-            if len(micros) and int(np.abs(micros).max()) * len(micros) + abs(carry) >= 2 ** 62:
-                raise OverflowError("running revenue of one partition exceeds 2**62 micro-units; "
-                                    "use more partitions")
-            local = np.cumsum(micros) + carry
-            if len(local):
-                carry = int(local[-1])
+            local = list(accumulate(pdf["acc"], add, initial=carry))[1:]
+            if local:
+                carry = local[-1]
             yield pd.DataFrame({
-                "seq": pdf["seq"], "event_id": pdf["event_id"], "ts": pdf["ts"],
-                "amount": pdf["amount"], "micros": micros,
-                "part": np.full(len(pdf), part, dtype=np.int32), "local_micros": local,
+                "event_id": pdf["event_id"], "ts": pdf["ts"], "amount": pdf["amount"], "acc": pdf["acc"],
+                "part": np.full(len(pdf), part, dtype=np.int32), "local_acc": local,
             })
 
     spark = purchases.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = purchases.select(
-        "seq", "event_id", "ts", "amount",
-        (to_money_acc(F.col("amount")) * F.lit(1_000_000)).cast("bigint").alias("micros"),
+        "seq", "event_id", "ts", F.col("amount").cast("double").alias("amount"),
+        to_money_acc(F.col("amount")).alias("acc"),
     )
     ts_type = purchases.schema["ts"].dataType.simpleString()
     ranged = base.repartitionByRange(n, "ts", "seq").sortWithinPartitions("ts", "seq")
     local = ranged.mapInPandas(
         local_running_sums,
-        f"seq bigint, event_id string, ts {ts_type}, amount double, micros bigint, part int, "
-        "local_micros bigint",
+        f"event_id string, ts {ts_type}, amount double, acc {MONEY_ACC}, part int, local_acc {MONEY_ACC}",
     ).checkpoint(eager=True)
-    totals = local.groupBy("part").agg(F.sum("micros").alias("tot"))
+    totals = local.groupBy("part").agg(F.sum("acc").alias("tot"))
     offsets = totals.select(
         "part",
         F.coalesce(F.sum("tot").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).cast("decimal(38,0)").alias("offset_micros"),
+                   F.lit(0)).cast(MONEY_ACC).alias("offset"),
     )
     out = local.join(F.broadcast(offsets), "part")
-    cum = (out["offset_micros"] + out["local_micros"].cast("decimal(38,0)")) * F.lit(_MICRO)
+    cum = F.col("offset") + F.col("local_acc")
     return out.select("event_id", "ts", "amount",
                       money_total(cum.cast(MONEY_ACC)).alias("cumulative_revenue"))
 
@@ -156,5 +149,5 @@ def revenue_history_rows(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -
 
 
 def revenue_history(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> DataFrame:
-    """L2: the running total at each of the n newest purchases, HH:MM:SS labels."""
-    return revenue_history_rows(purchases, n).drop("seq")
+    """L2: the running total at each of the n newest purchases, oldest first, HH:MM:SS labels."""
+    return revenue_history_rows(purchases, n).orderBy("ts", "seq").drop("seq")

@@ -19,6 +19,14 @@ def epoch_micros(df: DataFrame, name: str = "ts") -> Column:
     return F.unix_micros(F.col(name))
 
 
+def from_micros(df: DataFrame, micros: Column, name: str = "ts") -> Column:
+    """The time ``micros`` after the epoch, in the type of the column ``name``."""
+    if is_ntz(df, name):
+        return F.expr(_EPOCH_NTZ) + F.make_dt_interval(
+            secs=(micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    return F.timestamp_micros(micros)
+
+
 def truncate(df: DataFrame, unit: str, name: str = "ts") -> Column:
     """``date_trunc(unit, ts)`` keeping the column's own timestamp type."""
     out = F.date_trunc(unit, F.col(name))

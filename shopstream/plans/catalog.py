@@ -25,6 +25,8 @@ from ..streaming import processor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+STREAM_FILES = 8             # the stream queries replay the events from so many files
+
 
 def _on_events(metric: Callable[[DataFrame], DataFrame], names: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +95,54 @@ def _parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "event_type", "user_id", "product_name", "price", "quantity", "ts")
 
 
+def _awkward_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON lines, some of them without fields or with odd ones (by ``seq``):
+    every 7th without id, every 11th without time, every 13th with a text epoch, every 17th
+    a quantity beyond 32 bits, every 19th a price beyond any accumulator, every 23rd a NaN price."""
+    ev = shop_events(spark, sf_dir)
+    seq = F.col("seq")
+
+    def field(name: str, value):
+        return F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))         # ids and types need no escapes
+
+    price = (F.when(seq % 19 == 0, F.lit("1e40")).when(seq % 23 == 0, F.lit('"nan"'))
+             .otherwise(F.coalesce(F.col("price").cast("string"), F.lit("null"))))
+    quantity = F.when(seq % 17 == 0, F.lit("3000000000")).otherwise(F.col("quantity").cast("string"))
+    time = (F.when(seq % 11 == 0, F.lit(None).cast("string"))
+            .when(seq % 13 == 0, F.lit('"timestamp":"1704110400"'))
+            .otherwise(F.concat(F.lit('"timestamp":"'), wire.iso_text(F.col("ts")), F.lit('"'))))
+    parts = [F.when(seq % 7 != 0, field("event_id", F.col("event_id"))), field("event_type", F.col("event_type")),
+             F.when(F.col("user_id").isNotNull(), field("user_id", F.col("user_id"))),
+             F.concat(F.lit('"price":'), price), F.concat(F.lit('"quantity":'), quantity), time]
+    return ev.select("seq", F.col("ts").alias("sent"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+
+
+def _lenient_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 on events with absent or odd fields; a missing time becomes the arrival time (here: when it was sent)."""
+    raw = _awkward_wire(spark, sf_dir)
+    events = wire.lenient_from_decoded(wire.decode(raw), "sent", ("seq",))
+    return events.select("seq", "event_id", "event_type", "user_id", "quantity", "ts")
+
+
+def _dedup_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 where every 7th event has no id and every 5th is delivered twice: id-less events all count."""
+    ev = shop_events(spark, sf_dir, with_names=False).withColumn(
+        "event_id", F.when(F.col("seq") % 7 != 0, F.col("event_id")))
+    twice = ev.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(F.col("seq") % 5 == 0, 1).otherwise(0))))
+    return counts.event_counts_dedup(twice.drop("_copy"))
+
+
+def _bad_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A3, T6 with amounts that can't be added up: they count as events and add nothing."""
+    events = wire.lenient_from_decoded(wire.decode(_awkward_wire(spark, sf_dir)), "sent")
+    return counts.kpi_aggregates(events).select("total", "purchase_completed", "total_revenue")
+
+
+def _dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 as the documented payload: kpis, charts and live events in one row."""
+    return dashboard.dashboard_payload(shop_events(spark, sf_dir, with_names=False), _part(spark, sf_dir))
+
+
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part")
 
@@ -154,9 +204,11 @@ def _stream_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     Everything lives under a fresh folder in ``spark.checkpoint.dir``."""
     run = os.path.join(ensure_checkpoint_dir(spark), f"stream-dashboard-{uuid.uuid4().hex}")
     src = os.path.join(run, "source")
-    _kafka_rows(spark, sf_dir).select("value").write.text(src)
-    query = processor.start_processor(wire.stream_json_lines(spark, src), os.path.join(run, "state"),
-                                      os.path.join(run, "checkpoint"), available_now=True)
+    # several files in arrival order, one or two per micro-batch: the state merge is exercised
+    rows = shop_events(spark, sf_dir).repartitionByRange(STREAM_FILES, "seq").sortWithinPartitions("seq")
+    wire.to_wire(rows).select("value").write.text(src)
+    query = processor.start_processor(wire.stream_json_lines(spark, src, max_files_per_trigger=2),
+                                      os.path.join(run, "state"), os.path.join(run, "checkpoint"), available_now=True)
     query.awaitTermination()
     return processor.snapshot_dashboard(spark, os.path.join(run, "state"))
 
@@ -166,7 +218,7 @@ def queries() -> dict[str, Query]:
         # single-scan aggregates
         "event_counts": _on_events(counts.event_counts, names=False),
         "events_by_type": _on_events(counts.events_by_type, names=False),
-        "event_counts_dedup": _on_events(lambda ev: counts.event_counts(dedupe_events(ev)), names=False),
+        "event_counts_dedup": _on_events(counts.event_counts_dedup, names=False),
         "revenue_total": _on_events(counts.revenue_total, names=False),
         "cart_abandonment": _on_events(counts.cart_abandonment, names=False),
         "failed_payment_rate": _on_events(counts.failed_payment_rate, names=False),
@@ -197,12 +249,16 @@ def queries() -> dict[str, Query]:
         "dashboard": _named_feed(dashboard.dashboard),
         "dashboard_json": _named_feed(dashboard.dashboard_json),
         "stream_dashboard": _stream_dashboard,
+        "dashboard_payload": _dashboard_payload,
         # wire format, validation, sources
         "kafka_rows": _kafka_rows,
         "parse_events": _parse_events,
         "valid_events": _valid_events,
         "rejected_events": _rejected_events,
         "lenient_events": _lenient_events,
+        "lenient_missing_fields": _lenient_missing_fields,
+        "dedup_missing_ids": _dedup_missing_ids,
+        "bad_amounts": _bad_amounts,
         # enrichment
         "enriched_events": _enriched,
         # the sales view (order lines as purchases): volume and multi-year periods

@@ -63,20 +63,17 @@ def with_sales(body: str) -> str:
 
 
 def js_fixed1(x: str) -> str:
-    """SQL twin of ``functions.text.js_fixed1`` (JavaScript toFixed(1))."""
-    a = f"abs({x})"
-    n0 = f"floor({a} * 10)"
-    c = f"({a} * CAST(134217729 AS DOUBLE))"
-    hi = f"({c} - ({c} - {a}))"
-    lo = f"({a} - {hi})"
-    tie = f"(({hi} * 20 - ({n0} * 2 + 1)) + {lo} * 20)"
-    n = f"CAST({n0} + CASE WHEN {tie} >= 0 THEN 1 ELSE 0 END AS BIGINT)"
+    """JavaScript's toFixed(1): the double's exact value as a decimal (its
+    shortest text would hide ties such as 1.15), rounded half away from zero."""
+    exact = f"CAST(printf('%.24f', abs({x})) AS DECIMAL(38,20))"
     return (f"CASE WHEN {x} IS NULL THEN NULL ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) "
-            f"|| CAST({n} // 10 AS VARCHAR) || '.' || CAST({n} % 10 AS VARCHAR) END")
+            f"|| CAST(round({exact}, 1)::DECIMAL(38,1) AS VARCHAR) END")
 
 
-def _trend_cols(name: str) -> str:
-    prev = f"lag({name}) OVER (ORDER BY period_start)"
+def _trend_cols(name: str, unit: str) -> str:
+    prev = (f"CASE WHEN lag(period_start) OVER (ORDER BY period_start) = period_start - INTERVAL 1 {unit} "
+            f"THEN lag({name}) OVER (ORDER BY period_start) END")
+    prev = f"({prev})"
     pct = f"CASE WHEN {prev} IS NOT NULL AND {prev} <> 0 THEN ({name} - {prev}) / {prev} * 100 END"
     return (f"{name}, {prev} AS {name}_prev, {pct} AS {name}_trend_pct, "
             f"CASE WHEN ({pct}) IS NOT NULL THEN (CASE WHEN ({pct}) >= 0 THEN '+' ELSE '' END) "
@@ -206,8 +203,8 @@ per_day AS (
          count(DISTINCT COALESCE(user_id, 'unknown')) AS active_users
   FROM shop_events GROUP BY 1
 )
-SELECT period_start, {_trend_cols("revenue")}, {_trend_cols("orders")},
-       {_trend_cols("failed_payments")}, {_trend_cols("active_users")}
+SELECT period_start, {_trend_cols("revenue", "day")}, {_trend_cols("orders", "day")},
+       {_trend_cols("failed_payments", "day")}, {_trend_cols("active_users", "day")}
 FROM per_day""")
 
 REVENUE_RUNNING = with_shop("""
@@ -275,7 +272,7 @@ per_month AS (
          {money("amount")} AS revenue, count(*) AS orders
   FROM sales GROUP BY 1
 )
-SELECT period_start, {_trend_cols("revenue")}, {_trend_cols("orders")} FROM per_month""")
+SELECT period_start, {_trend_cols("revenue", "month")}, {_trend_cols("orders", "month")} FROM per_month""")
 
 
 _KPI_PARTS = f""",{_SESSIONS},
@@ -382,11 +379,69 @@ WHERE event_type NOT IN ('product_viewed', 'cart_added', 'cart_removed',
                          'purchase_completed', 'payment_failed')""")
 
 
+# a copied event counts once by its id; id-less ones are events of their own, copies too
+DEDUP_MISSING_IDS = with_shop("""
+SELECT count_if(event_type = 'product_viewed') AS product_viewed, count_if(event_type = 'cart_added') AS cart_added,
+       count_if(event_type = 'cart_removed') AS cart_removed,
+       count_if(event_type = 'purchase_completed') AS purchase_completed,
+       count_if(event_type = 'payment_failed') AS payment_failed, count(*) AS total
+FROM (SELECT event_type FROM shop_events WHERE seq % 7 <> 0
+      UNION ALL
+      SELECT event_type FROM shop_events, range(0, 2) AS r(i) WHERE seq % 7 = 0 AND (seq % 5 = 0 OR i = 0))""")
+
+LENIENT_MISSING_FIELDS = with_shop("""
+SELECT seq, CASE WHEN seq % 7 <> 0 THEN event_id END AS event_id, event_type, COALESCE(user_id, 'unknown') AS user_id,
+       CASE WHEN seq % 17 = 0 THEN 3000000000 ELSE quantity END AS quantity,
+       CASE WHEN seq % 11 = 0 THEN ts WHEN seq % 13 = 0 THEN TIMESTAMP '2024-01-01 12:00:00' ELSE ts END AS ts
+FROM shop_events""")
+
+BAD_AMOUNTS = with_shop("""
+SELECT count(*) AS total, count_if(event_type = 'purchase_completed') AS purchase_completed,
+       CAST(CAST(COALESCE(SUM(CAST(CASE WHEN event_type = 'purchase_completed' AND seq % 19 <> 0 AND seq % 23 <> 0
+                 THEN price * CASE WHEN seq % 17 = 0 THEN 3000000000 ELSE quantity END END AS DECIMAL(38,6))), 0)
+            AS DECIMAL(38,2)) AS DOUBLE) AS total_revenue
+FROM shop_events""")
+
+DASHBOARD_PAYLOAD = with_shop(f"""{_DASHBOARD_PARTS},
+per_day AS (
+  SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period_start,
+         {money("CASE WHEN event_type = 'purchase_completed' THEN amount END")} AS revenue,
+         count_if(event_type = 'purchase_completed') AS orders,
+         count_if(event_type = 'payment_failed') AS failed_payments,
+         count(DISTINCT COALESCE(user_id, 'unknown')) AS active_users
+  FROM shop_events GROUP BY 1
+), trends AS (
+  SELECT period_start, {_trend_cols("revenue", "day")}, {_trend_cols("orders", "day")},
+         {_trend_cols("failed_payments", "day")}, {_trend_cols("active_users", "day")} FROM per_day
+), t AS (SELECT * FROM trends ORDER BY period_start DESC LIMIT 1)
+SELECT [struct_pack(title := 'Total Revenue', "value" := '₹' || {js_fixed1("board.revenue.total_revenue / 1000")} || 'k',
+                    trend := t.revenue_trend, "trendUp" := t.revenue_up, subtitle := 'vs previous day'),
+        struct_pack(title := 'Active Users', "value" := format('{{:,}}', board.active_users.active_users),
+                    trend := t.active_users_trend, "trendUp" := t.active_users_up, subtitle := 'vs previous day'),
+        struct_pack(title := 'Total Orders', "value" := format('{{:,}}', board.event_counts.purchase_completed),
+                    trend := t.orders_trend, "trendUp" := t.orders_up, subtitle := 'vs previous day'),
+        struct_pack(title := 'Failed Payments', "value" := format('{{:,}}', board.event_counts.payment_failed),
+                    trend := t.failed_payments_trend, "trendUp" := t.failed_payments_up, subtitle := 'vs previous day')] AS kpis,
+       struct_pack(revenue := board.revenue_history,
+                   "topProducts" := (SELECT list(struct_pack(name := product_name, sales := purchase_count,
+                        percent := purchase_count / greatest((SELECT max(purchase_count) FROM top), 1) * 100)
+                        ORDER BY purchase_count DESC, product_name DESC) FROM top),
+                   "eventBreakdown" := [struct_pack(name := 'Page Views', "value" := board.event_counts.product_viewed, color := '#8ed5ff'),
+                        struct_pack(name := 'Cart Additions', "value" := board.event_counts.cart_added, color := '#bdc2ff'),
+                        struct_pack(name := 'Purchases', "value" := board.event_counts.purchase_completed, color := '#10b981')]) AS charts,
+       board.recent_events AS "liveEvents"
+FROM board, t""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
         "events_by_type": EVENTS_BY_TYPE,
         "event_counts_dedup": EVENT_COUNTS_DEDUP,
+        "dedup_missing_ids": DEDUP_MISSING_IDS,
+        "lenient_missing_fields": LENIENT_MISSING_FIELDS,
+        "bad_amounts": BAD_AMOUNTS,
+        "dashboard_payload": DASHBOARD_PAYLOAD,
         "revenue_total": REVENUE_TOTAL,
         "cart_abandonment": CART_ABANDONMENT,
         "failed_payment_rate": FAILED_PAYMENT_RATE,

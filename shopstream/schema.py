@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
+    DoubleType, LongType, MapType, StringType, StructField, StructType,
     TimestampNTZType,
 )
 
@@ -68,7 +68,7 @@ CANONICAL_SCHEMA = StructType([
     StructField("product_id", StringType()),
     StructField("product_name", StringType()),
     StructField("price", DoubleType()),
-    StructField("quantity", IntegerType()),
+    StructField("quantity", LongType()),
     StructField("ts", TimestampNTZType()),
     StructField("metadata", MapType(StringType(), StringType())),
 ])

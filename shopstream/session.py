@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # JSON objects that repeat a key: the last one holds, as in most readers
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -51,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment (a shared file system);
-    we only read it.  When it is unset (local tests) a scratch folder is made
-    and registered, so ``DataFrame.checkpoint()`` works the same way.
+    we only read it, and an unset one is an error: executors could not share a
+    folder of ours.  Only a local master (tests) gets a scratch folder,
+    registered so that ``DataFrame.checkpoint()`` works the same way.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -66,6 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    master = sc.master if sc is not None else ""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="shopstream-ckpt-")   # local runs and tests only
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:

@@ -54,7 +54,7 @@ def events_to_shop_events(events: DataFrame, part: DataFrame | None, map_types:
         F.col("user_id").cast("string").alias("user_id"),
         k.alias("k"),
         F.col("value").alias("price"),
-        F.coalesce((F.lit(1) + k % 3).cast("int"), F.lit(1)).alias("quantity"),
+        F.coalesce((F.lit(1) + k % 3).cast("bigint"), F.lit(1)).alias("quantity"),
         F.col("ts"),
     )
     if part is not None:

@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from ..operators.partitioning import spread_if_narrow
 from ..schema import EVENT_TYPES, UNKNOWN
 
 WIRE_FIELDS = ("event_id", "event_type", "user_id", "product_id", "product_name",
@@ -75,9 +74,11 @@ def _decoded(raw: DataFrame, value_col: str) -> DataFrame:
     field, ``_k_<field>``: NULL when absent, 'VOID' for JSON null, else the
     token kind ('STRING', 'BIGINT', 'DECIMAL(p,s)', 'DOUBLE', 'BOOLEAN', 'OBJECT<..>', ...).
 
-    Parsing is the costly step: a narrow batch input is spread over the
-    cores first (see ``operators.partitioning``)."""
-    parsed = spread_if_narrow(raw).withColumn("_v", F.try_parse_json(F.col(value_col)))
+    Row-local: no shuffle, and the input is never looked at to plan it.  A
+    JSON object that repeats a key is read with its last value where the
+    session sets ``spark.sql.variant.allowDuplicateKeys`` (see ``session``).
+    The bare tokens NaN and Infinity are no JSON: such rows are rejected."""
+    parsed = raw.withColumn("_v", F.try_parse_json(F.col(value_col)))
     v = F.col("_v")
     return parsed.select(
         "*",
@@ -95,6 +96,36 @@ def _get(name: str, type_: str) -> Column:
     return F.try_variant_get(F.col("_v"), f"$.{name}", type_)
 
 
+_WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _micros_after_epoch(micros: Column) -> Column:
+    """UTC wall time (TIMESTAMP_NTZ) of epoch microseconds; no session time zone involved."""
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def _utc_wall(instant: Column) -> Column:
+    """UTC wall time of an instant, whatever the session time zone."""
+    return _micros_after_epoch(F.unix_micros(instant))
+
+
+def _time(name: str, kind: Column) -> Column:
+    """UTC wall time (TIMESTAMP_NTZ) of a JSON timestamp, else null.
+
+    ISO-8601 text with a zone is converted to UTC, without one it is taken as
+    UTC; numbers, and text that is a number, are epoch seconds, or
+    milliseconds beyond 2e10 (as the model layer reads them).
+    """
+    text = F.trim(_get(name, "string"))
+    zoned = text.rlike(r"(?i)(Z|[+-]\d{2}:?(\d{2})?)$") & text.rlike(r"[T ]\d")
+    number = F.when(_is_number(kind) | (kind == "STRING"), text.try_cast("double"))
+    micros = (number * F.when(F.abs(number) > 2e10, 1_000).otherwise(1_000_000)).try_cast("bigint")
+    return (F.when(number.isNotNull(), _micros_after_epoch(micros))
+            .when(kind == "STRING", F.when(zoned, _utc_wall(text.try_cast("timestamp")))
+                  .otherwise(text.try_cast("timestamp_ntz"))))
+
+
 # ---------------------------------------------------------------------------
 # Strict rules (V1-V5)
 # ---------------------------------------------------------------------------
@@ -115,23 +146,19 @@ def _strict_typed(dec: DataFrame) -> DataFrame:
         text("user_id").alias("_user_id"),
         text("product_id").alias("_product_id"),
         text("product_name").alias("_product_name"),
-        # price: a JSON number, or text that reads as a number
+        # price: a JSON number, true / false (1 / 0), or text that reads as a number
         F.when(_is_number(pk), _get("price", "double"))
+        .when(pk == "BOOLEAN", _get("price", "boolean").cast("double"))
         .when(pk == "STRING", _get("price", "string").try_cast("double")).alias("_price"),
         # quantity: an integer, a number without fraction, or integer text; default 1
         F.when(qk.isNull(), F.lit(1))
-        .when(_is_number(qk) & (q_num == F.floor(q_num)), q_num.try_cast("int"))
-        .when((qk == "STRING") & q_text.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(q_text).try_cast("int"))
+        .when(qk.isin(*_WHOLE), _get("quantity", "bigint"))
+        .when(_is_number(qk) & (q_num == F.floor(q_num)), q_num.try_cast("bigint"))
+        .when((qk == "STRING") & q_text.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(q_text).try_cast("bigint"))
         .alias("_quantity"),
         # timestamp: ISO-8601 text (zone honoured, kept as UTC wall time) or epoch number; default now
-        F.when(tk.isNull(), F.current_timestamp())
-        .when(tk == "STRING", _get("timestamp", "string").try_cast("timestamp"))
-        .when(_is_number(tk), F.timestamp_micros(
-            (_get("timestamp", "double")
-             # epoch seconds, or milliseconds when beyond 2e10 (as the model layer reads them)
-             * F.when(F.abs(_get("timestamp", "double")) > 2e10, 1_000).otherwise(1_000_000))
-            .try_cast("bigint")))
-        .alias("_ts"),
+        F.when(tk.isNull(), _utc_wall(F.current_timestamp()))
+        .otherwise(_time("timestamp", tk)).alias("_ts"),
         # metadata: an object (values kept as text); null or absent -> empty
         F.when(mk.isNull() | (mk == "VOID"), F.create_map().cast("map<string,string>"))
         .when(mk.startswith("OBJECT"), _get("metadata", "map<string,string>")).alias("_metadata"),
@@ -172,7 +199,7 @@ def validate_strict(raw: DataFrame, value_col: str = "value") -> DataFrame:
         F.col("_event_id").alias("event_id"), F.col("_event_type").alias("event_type"),
         F.col("_user_id").alias("user_id"), F.col("_product_id").alias("product_id"),
         F.col("_product_name").alias("product_name"), F.col("_price").alias("price"),
-        F.col("_quantity").alias("quantity"), F.col("_ts").cast("timestamp_ntz").alias("ts"),
+        F.col("_quantity").alias("quantity"), F.col("_ts").alias("ts"),
         F.col("_metadata").alias("metadata"),
         _reasons().alias("reasons"),
     )
@@ -207,9 +234,10 @@ def _py_int(name: str) -> Column:
     """Python ``int(x)``: numbers truncate toward zero, integer text parses; else null."""
     kind = F.col(_kind_col(name))
     text = F.trim(_get(name, "string"))
-    return (F.when(_is_number(kind), _get(name, "double").try_cast("int"))
-            .when(kind == "BOOLEAN", _get(name, "boolean").cast("int"))
-            .when((kind == "STRING") & text.rlike(r"^[-+]?\d+$"), text.try_cast("int")))
+    return (F.when(kind.isin(*_WHOLE), _get(name, "bigint"))
+            .when(_is_number(kind), _get(name, "double").try_cast("bigint"))
+            .when(kind == "BOOLEAN", _get(name, "boolean").cast("bigint"))
+            .when((kind == "STRING") & text.rlike(r"^[-+]?\d+$"), text.try_cast("bigint")))
 
 
 def _text_or(name: str, default: str) -> Column:
@@ -223,19 +251,45 @@ def decode(raw: DataFrame, value_col: str = "value") -> DataFrame:
     return _decoded(raw, value_col)
 
 
-def lenient_from_decoded(dec: DataFrame) -> DataFrame:
-    """Canonical events from decoded rows (JSON objects only)."""
+# when a row arrived, from where, and its place there
+ARRIVAL = ("arrived", "arrived_from", "arrived_at")
+
+
+def with_arrival(raw: DataFrame) -> DataFrame:
+    """Raw rows of a batch with the ``ARRIVAL`` columns, as far as the source tells them."""
+    have = set(raw.columns)
+    if {"timestamp", "partition", "offset"} <= have:                 # Kafka
+        return raw.withColumns({"arrived": F.col("timestamp"), "arrived_from": F.col("partition").cast("string"),
+                                "arrived_at": F.col("offset")})
+    out = raw if "arrived" in have else raw.withColumns(
+        {"arrived": F.current_timestamp(), "arrived_from": F.lit("")})
+    return out.withColumn("arrived_at", F.monotonically_increasing_id())      # in a file, rows keep their order
+
+
+def lenient_from_decoded(dec: DataFrame, arrival: str | None = None, keep=()) -> DataFrame:
+    """Canonical events from decoded rows (JSON objects only).
+
+    A missing ``event_id`` stays null (only the feed prints ``unknown``):
+    events without an id are different events.  A missing or unreadable
+    timestamp becomes the arrival time: the column named by ``arrival``, or
+    the time of the query.
+    """
     pk, qk = F.col(_kind_col("price")), F.col(_kind_col("quantity"))
+    if arrival is not None and isinstance(dec.schema[arrival].dataType, TimestampNTZType):
+        arrived = F.col(arrival)
+    else:
+        arrived = _utc_wall(F.current_timestamp() if arrival is None else F.col(arrival))
     return dec.where(_is_object()).select(
-        _text_or("event_id", UNKNOWN).alias("event_id"),
+        _get("event_id", "string").alias("event_id"),
         _text_or("event_type", UNKNOWN).alias("event_type"),
         _text_or("user_id", UNKNOWN).alias("user_id"),
         _get("product_id", "string").alias("product_id"),
         _get("product_name", "string").alias("product_name"),
         F.when(pk.isNull(), F.lit(0.0)).otherwise(_py_float("price")).alias("price"),
         F.when(qk.isNull(), F.lit(1)).otherwise(_py_int("quantity")).alias("quantity"),
-        _get("timestamp", "string").try_cast("timestamp").cast("timestamp_ntz").alias("ts"),
-        _get("metadata", "map<string,string>").alias("metadata"),
+        F.coalesce(_time("timestamp", F.col(_kind_col("timestamp"))),
+                   arrived).alias("ts"),
+        _get("metadata", "map<string,string>").alias("metadata"), *keep,
     )
 
 
@@ -245,7 +299,7 @@ def rejects_from_decoded(dec: DataFrame, value_col: str = "value") -> DataFrame:
             .select(F.col(value_col).alias("raw_value"), F.lit("malformed_json").alias("reasons")))
 
 
-def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_lenient(raw: DataFrame, value_col: str = "value", arrival: str | None = None) -> DataFrame:
     """Canonical events the way the processor reads them.
 
     Missing keys take their defaults (type/user 'unknown', price 0,
@@ -255,12 +309,12 @@ def parse_lenient(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """
     dec = _decoded(raw, value_col).observe(
         "lenient_decode", F.count(F.lit(1)).alias("records"), F.count_if(~_is_object()).alias("malformed"))
-    return lenient_from_decoded(dec)
+    return lenient_from_decoded(dec, arrival or ("arrived" if "arrived" in raw.columns else None))
 
 
 def lenient_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Messages that are not a JSON object, kept instead of killing the stream."""
-    parsed = spread_if_narrow(raw).withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
+    parsed = raw.withColumn("_top", F.schema_of_variant(F.try_parse_json(F.col(value_col))))
     return rejects_from_decoded(parsed, value_col)
 
 
@@ -272,23 +326,29 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def stream_json_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """S1 stream: new JSON-lines files in a folder, as ``value`` text."""
+def stream_json_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = 100) -> DataFrame:
+    """S1 stream: new JSON-lines files in a folder, as ``value`` text with the
+    file's time and name; a trigger takes at most ``max_files_per_trigger``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    return reader.load(path).select("value", F.col("_metadata.file_modification_time").alias("arrived"),
+                                    F.col("_metadata.file_path").alias("arrived_from"))
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True,
-               starting_offsets: str = "earliest") -> DataFrame:
-    """Kafka records as ``(key, value)`` text, earliest offsets first.
+               starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = 1_000_000) -> DataFrame:
+    """Kafka records as ``(key, value)`` text, earliest offsets first; a
+    trigger takes at most ``max_offsets_per_trigger``.
 
     Needs the spark-sql-kafka connector on the classpath; it is not bundled.
     """
     reader = spark.readStream if stream else spark.read
     df = (reader.format("kafka").option("kafka.bootstrap.servers", servers)
-          .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
+          .option("subscribe", topic).option("startingOffsets", starting_offsets))
+    if stream and max_offsets_per_trigger:
+        df = df.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
+    df = df.load()
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
                      "topic", "partition", "offset", "timestamp")
 

@@ -7,16 +7,23 @@ per micro-batch, merges the batch's partial aggregates into the previous
     counts/   (event_type, n)            A2-A4
     products/ (product_name, n)          A5 (top-k read at query time)
     totals/   one row: revenue, event total, open global session bounds
-    users/    (user_id, last_ts)         A6 membership (user cardinality)
+    users/    members of the open session A6 (nobody else is kept)
     sessions/ sessions closed by the batch A6 history (append-like, per version)
     history/  <= 20 rows                 L2
     feed/     <= 15 rows                 L3
     rejects/  non-JSON messages          T7 (dead letter, per batch)
+    ids/      event ids first seen by the batch, with ``dedup`` (T5)
 
 A replayed batch id rewrites the same version, so a restart after a failure
 never counts an event twice (the reference's at-least-once consumer does).
-Every merge is a small DataFrame job: union with the previous snapshot and
-re-aggregate; nothing is collected to the driver.
+Two versions of a snapshot table are kept.  Every merge is a small DataFrame
+job: union with the previous snapshot and re-aggregate; nothing is collected
+to the driver.
+
+Arrival order: rows carry when and from where they arrived (Kafka timestamp,
+partition and offset; or a file's time, name and the row's place in it).
+Within the lists it decides between equal event times, and the arrival time
+stands in for a missing event time.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.money import MONEY_ACC, money_total, to_money_acc
 from ..functions.text import clock_label
-from ..operators.active_users import session_users, sessions_of
+from ..operators.active_users import session_users
 from ..operators.events import purchases, type_key, with_amount
 from ..operators.feed import feed_projection, newest_feed_events
 from ..operators.products import product_key
@@ -37,10 +44,13 @@ from ..schema import (
     RECENT_EVENTS_LIMIT, REVENUE_HISTORY_LIMIT, TOP_PRODUCTS_LIMIT,
 )
 from ..sources.json_events import (
-    decode, lenient_from_decoded, lenient_rejects, parse_lenient, rejects_from_decoded,
+    ARRIVAL, decode, lenient_from_decoded, lenient_rejects, rejects_from_decoded, with_arrival,
 )
 
-TABLES = ("counts", "products", "totals", "users", "history", "sessions", "feed")
+SNAPSHOTS = ("counts", "products", "totals", "users", "history", "feed")
+TABLES = (*SNAPSHOTS, "sessions")
+VERSIONS_KEPT = 2
+_ARRIVAL_SCHEMA = "struct<batch_id: bigint, arrived: timestamp, arrived_from: string, arrived_at: bigint>"
 
 
 def _path(state_dir: str, table: str, version: int) -> str:
@@ -58,22 +68,84 @@ _SCHEMAS = {
     "products": "product_name string, n bigint",
     "totals": f"revenue_acc {MONEY_ACC}, events bigint, session_start timestamp_ntz, "
               "last_ts timestamp_ntz, session_events bigint",
-    "users": "user_id string, last_ts timestamp_ntz",
-    "history": f"batch_id bigint, ts timestamp_ntz, event_id string, name string, "
-               f"revenue_acc {MONEY_ACC}",
-    "feed": "batch_id bigint, ts timestamp_ntz, event_id string, id string, type string, "
+    "users": "user_id string",
+    # own amounts; the running totals follow from the grand total when read
+    "history": f"ts timestamp_ntz, seq {_ARRIVAL_SCHEMA}, name string, acc {MONEY_ACC}",
+    "feed": f"ts timestamp_ntz, seq {_ARRIVAL_SCHEMA}, id string, type string, "
             "title string, subtitle string, time string",
     # sessions closed by this batch only (the history is the union of versions)
     "sessions": "session_start timestamp_ntz, session_end timestamp_ntz, active_users bigint, events bigint",
+    "ids": "event_id string",
 }
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def _check_state(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    """A batch must follow the state it finds: a new checkpoint on old state would start from nothing."""
+    if batch_id == 0 and _exists(spark, _path(state_dir, "totals", 1)):
+        raise ValueError(f"{state_dir} holds the state of another checkpoint; use a new state folder")
+    if batch_id > 0 and not _exists(spark, _path(state_dir, "totals", batch_id - 1)):
+        raise ValueError(f"{state_dir} has no version {batch_id - 1}; state and checkpoint don't belong together")
+
+
+def _drop_old_versions(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    for table in SNAPSHOTS:
+        old = _path(state_dir, table, batch_id - VERSIONS_KEPT)
+        # the marker of version 1 stays: it tells a new checkpoint that this state is in use
+        if batch_id - VERSIONS_KEPT >= 0 and not (table == "totals" and batch_id - VERSIONS_KEPT == 1):
+            fs, at = _files(spark, old)
+            fs.delete(at, True)
+
+
+def _sessions_after(per_user: DataFrame, prev: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(sessions, members) after a batch: the carried open session and the
+    batch's own ones, merged where they are less than the gap apart.
+
+    Sessions: ``(session, start, last, events, open)``, of which the newest is
+    open.  Members: ``(session, user_id)``.  A late event widens the session
+    it falls into and never moves an end backwards.  The ordered window runs
+    over one row per session of the batch.
+    """
+    gap = F.expr(f"INTERVAL {ACTIVE_GAP_SECONDS} SECONDS")
+    own = per_user.groupBy("session_us").agg(
+        F.min("first_ts").alias("start"), F.max("last_ts").alias("last"), F.sum("n").alias("events"))
+    carried = prev["totals"].where("session_start IS NOT NULL").select(
+        F.lit(None).cast("bigint").alias("session_us"), F.col("session_start").alias("start"),
+        F.col("last_ts").alias("last"), F.col("session_events").alias("events"))
+    in_time = Window.orderBy("start", "last", "session_us")
+    before = F.max("last").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    parts = own.unionByName(carried).withColumn(
+        "begins", F.when(before.isNull() | (F.col("start") >= before + gap), 1).otherwise(0))
+    parts = parts.withColumn("session", F.sum("begins").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    sessions = parts.groupBy("session").agg(
+        F.min("start").alias("start"), F.max("last").alias("last"), F.sum("events").alias("events"))
+    sessions = sessions.withColumn("open", F.col("session") == F.max("session").over(Window.partitionBy()))
+    which = parts.select(F.col("session_us").alias("_us"), "session")
+    members = per_user.join(which, F.col("session_us") == F.col("_us")).select("session", "user_id")
+    old = which.where("_us IS NULL").select("session")
+    members = members.unionByName(prev["users"].join(F.broadcast(old), F.lit(True)).select("session", "user_id"))
+    return sessions, members.distinct()
+
+
 def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     """Fold one micro-batch of canonical events into the next state snapshot."""
     spark = events.sparkSession
-    prev = {t: _previous(spark, state_dir, t, batch_id - 1, _SCHEMAS[t]) for t in TABLES}
+    if "arrived_at" not in events.columns:
+        events = with_arrival(events)
+    _check_state(spark, state_dir, batch_id)
+    prev = {t: _previous(spark, state_dir, t, batch_id - 1, _SCHEMAS[t]) for t in SNAPSHOTS}
     # the micro-batch is read by every merge below: keep it (bounded by the trigger)
-    ev = with_amount(events).withColumn("seq", F.lit(0).cast("bigint")).persist()
+    seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), *ARRIVAL)
+    ev = with_amount(events).withColumn("seq", seq).drop(*ARRIVAL).persist()
     gap = F.expr(f"INTERVAL {ACTIVE_GAP_SECONDS} SECONDS")
 
     pending: list[tuple[DataFrame, str]] = []
@@ -92,86 +164,40 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     write(prev["products"].unionByName(batch_products).groupBy("product_name")
           .agg(F.sum("n").alias("n")), "products")
 
-    # A1 + open global session (A6): one row, built from scalar subqueries
+    # Sessions and members; (session, user) rows of the batch are bounded
+    # by it and read by several plans below, so kept for the batch's duration
+    per_user = session_users(ev).persist()
+    sessions, members = _sessions_after(per_user, prev)
+    sessions, members = sessions.persist(), members.persist()
+    counted = members.groupBy("session").agg(F.count(F.lit(1)).alias("active_users"))
+    closed = sessions.where(~F.col("open")).join(counted, "session")
+    write(closed.select(F.col("start").alias("session_start"), (F.col("last") + gap).alias("session_end"),
+                        "active_users", "events"), "sessions")
+    newest = sessions.where("open").select("session")
+    write(members.join(F.broadcast(newest), "session").select("user_id"), "users")     # one session number
+
+    # A1, A3 and the open session's bounds: one row
     b_rev = paid.agg(F.coalesce(F.sum(to_money_acc(F.col("amount"))), F.lit(0).cast(MONEY_ACC))).scalar()
     b_events = ev.agg(F.count(F.lit(1))).scalar()
-    # (session_us, user) rows and session rows of this batch: bounded by the
-    # batch, read by several plans below, so kept for the batch's duration
-    per_user = session_users(ev).persist()
-    b_sessions = sessions_of(per_user).persist()
-    b = b_sessions.agg(F.struct(
-        F.count(F.lit(1)).alias("k"), F.min("session_start").alias("first_start"),
-        F.max("session_start").alias("last_start"),
-        (F.max("session_end") - gap).alias("last_ts"),
-        F.min_by("events", "session_start").alias("first_events"),
-        F.max_by("events", "session_start").alias("last_events"),
-        (F.min_by("session_end", "session_start")).alias("first_end"))).scalar()
-    c = prev["totals"].agg(F.struct(
-        F.max("revenue_acc").alias("rev"), F.max("events").alias("events"),
-        F.max("session_start").alias("start"), F.max("last_ts").alias("last_ts"),
-        F.max("session_events").alias("s_events"))).scalar()
-    merges = c["last_ts"].isNotNull() & (b["first_start"] < c["last_ts"] + gap)
-    new_start = (F.when(b["k"] == 0, c["start"])
-                 .when((b["k"] == 1) & merges, c["start"])
-                 .otherwise(b["last_start"]))
-    new_s_events = (F.when(b["k"] == 0, c["s_events"])
-                    .when((b["k"] == 1) & merges, c["s_events"] + b["first_events"])
-                    .otherwise(b["last_events"]))
+    c = prev["totals"].agg(F.struct(F.max("revenue_acc").alias("rev"), F.max("events").alias("events"))).scalar()
+    o = sessions.where("open").agg(F.struct(
+        F.max("start").alias("start"), F.max("last").alias("last"), F.max("events").alias("events"))).scalar()
     totals = spark.range(1).select(
         (F.coalesce(c["rev"], F.lit(0).cast(MONEY_ACC)) + b_rev).cast(MONEY_ACC).alias("revenue_acc"),
         (F.coalesce(c["events"], F.lit(0)) + b_events).cast("bigint").alias("events"),
-        new_start.alias("session_start"),
-        F.coalesce(b["last_ts"], c["last_ts"]).alias("last_ts"),
-        new_s_events.cast("bigint").alias("session_events"),
+        o["start"].alias("session_start"), o["last"].alias("last_ts"), o["events"].cast("bigint").alias("session_events"),
     )
 
-    # A6 history: sessions this batch closes.  (1) whole batch sessions before
-    # the last one, except a first one that continues the carried session;
-    # (2) the carried session itself once a later session starts - its users
-    # are the previous members plus, when continued, the batch's first-session
-    # users: a distributed distinct count, never one task's set.
-    inner = b_sessions.where((~merges | (F.col("session_start") > b["first_start"]))
-                             & (F.col("session_start") < b["last_start"]))
-    carried_users = (prev["users"].where(F.col("last_ts") >= c["start"]).select("user_id")
-                     .unionByName(per_user.where(merges & (F.col("first_ts") < b["first_end"]))
-                                  .select("user_id"))
-                     .agg(F.count_distinct("user_id")).scalar())
-    carried = spark.range(1).select(
-        c["start"].alias("session_start"),
-        F.when(merges, b["first_end"]).otherwise(c["last_ts"] + gap).alias("session_end"),
-        carried_users.cast("bigint").alias("active_users"),
-        (c["s_events"] + F.when(merges, b["first_events"]).otherwise(F.lit(0))).cast("bigint").alias("events"),
-    ).where(c["start"].isNotNull() & (b["k"] > 0) & (~merges | (b["k"] >= 2)))
-    write(inner.unionByName(carried), "sessions")
-
-    # A6 membership: each user's latest event time
-    batch_users = ev.groupBy(F.coalesce("user_id", F.lit("unknown")).alias("user_id")).agg(
-        F.max("ts").alias("last_ts"))
-    write(prev["users"].unionByName(batch_users).groupBy("user_id").agg(F.max("last_ts").alias("last_ts")),
-          "users")
-
-    # L2: newest purchases with the running total after each (<= 20 rows)
-    acc = to_money_acc(F.col("amount"))
-    newest = (paid.select("ts", "event_id", acc.alias("acc"))
-              .orderBy(F.desc("ts"), F.desc("event_id")).limit(REVENUE_HISTORY_LIMIT))
-    newer = Window.orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    total_after = F.coalesce(c["rev"], F.lit(0).cast(MONEY_ACC)) + b_rev
-    batch_hist = newest.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "ts", "event_id",
-        clock_label(F.col("ts")).alias("name"),
-        (total_after - F.coalesce(F.sum("acc").over(newer), F.lit(0).cast(MONEY_ACC)))
-        .cast(MONEY_ACC).alias("revenue_acc"))
-    write(prev["history"].unionByName(batch_hist)
-          .orderBy(F.desc("batch_id"), F.desc("ts"), F.desc("event_id")).limit(REVENUE_HISTORY_LIMIT),
+    # L2: newest purchases (<= 20 rows), by event time, then arrival
+    batch_hist = paid.select("ts", "seq", clock_label(F.col("ts")).alias("name"), to_money_acc(F.col("amount")).alias("acc"))
+    write(prev["history"].unionByName(batch_hist).orderBy(F.desc("ts"), F.desc("seq")).limit(REVENUE_HISTORY_LIMIT),
           "history")
 
-    # L3: newest feed rows (<= 15)
+    # L3: newest feed rows (<= 15), in the same order
     feed = feed_projection(newest_feed_events(ev)).select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "ts", F.col("id").alias("event_id"),
-        "id", "type", "title", "subtitle", F.lit(FEED_TIME_LABEL).alias("time"))
-    write(prev["feed"].unionByName(feed)
-          .orderBy(F.desc("batch_id"), F.desc("ts"), F.desc("event_id")).limit(RECENT_EVENTS_LIMIT),
-          "feed")
+        "ts", "seq", "id", "type", "title", "subtitle", F.lit(FEED_TIME_LABEL).alias("time"))
+    write(prev["feed"].unionByName(feed).orderBy(F.desc("ts"), F.desc("seq")).limit(RECENT_EVENTS_LIMIT), "feed")
+
     # The snapshot tables are independent of each other: write them as
     # concurrent jobs; the one-row totals table goes last and marks the
     # version complete.
@@ -182,22 +208,51 @@ def merge_batch(events: DataFrame, batch_id: int, state_dir: str) -> None:
     with ThreadPoolExecutor(max_workers=len(pending)) as pool:
         list(pool.map(save, pending))
     save((totals, "totals"))
-    for kept in (b_sessions, per_user, ev):
+    _drop_old_versions(spark, state_dir, batch_id)
+    for kept in (sessions, members, per_user, ev):
         kept.unpersist()
 
 
-def process_json_batch(raw: DataFrame, batch_id: int, state_dir: str) -> None:
+def first_deliveries(events: DataFrame, batch_id: int, state_dir: str, horizon: int | None = None) -> DataFrame:
+    """T5 opt-in: the batch's events whose ``event_id`` is new; events without an id all pass.
+
+    The ids first seen are written next to the state, per batch, so a replayed
+    batch sees the same earlier ids.  ``horizon`` bounds how many earlier
+    batches are looked at; None looks at all of them.
+    """
+    spark = events.sparkSession
+    rank = F.row_number().over(Window.partitionBy("event_id", F.when(F.col("event_id").isNull(), F.struct("arrived_from", "arrived_at")))
+                               .orderBy(*ARRIVAL))
+    once = events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    since = 0 if horizon is None else max(0, batch_id - horizon)
+    if batch_id > since:
+        seen = (spark.read.schema(_SCHEMAS["ids"] + ", v bigint").parquet(os.path.join(state_dir, "ids"))
+                .where((F.col("v") >= since) & (F.col("v") < batch_id)).select("event_id"))
+        once = once.join(seen, "event_id", "left_anti")
+    once = once.persist()
+    once.where("event_id IS NOT NULL").select("event_id").write.mode("overwrite").parquet(_path(state_dir, "ids", batch_id))
+    return once
+
+
+def process_json_batch(raw: DataFrame, batch_id: int, state_dir: str, dedup: bool = False,
+                       dedup_horizon: int | None = None) -> None:
     """foreachBatch body: decode once, dead-letter the non-JSON, merge the rest."""
-    decoded = decode(raw).persist()
+    decoded = decode(with_arrival(raw)).persist()
     rejects_from_decoded(decoded).write.mode("overwrite").parquet(_path(state_dir, "rejects", batch_id))
-    merge_batch(lenient_from_decoded(decoded), batch_id, state_dir)
+    events = lenient_from_decoded(decoded, "arrived", ARRIVAL)
+    if dedup:
+        events = first_deliveries(events, batch_id, state_dir, dedup_horizon)
+    merge_batch(events, batch_id, state_dir)
+    events.unpersist()
     decoded.unpersist()
 
 
 def dedupe_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """T5 opt-in: drop repeated ``event_id`` deliveries within the watermark.
+    """T5 for event-time pipelines: drop repeated ``event_id`` deliveries within the watermark.
 
     State holds the ids seen within the watermark delay, then expires them.
+    Spark drops rows later than the watermark; the processor's own ``dedup``
+    (``first_deliveries``) loses none.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return (timed.dropDuplicatesWithinWatermark(["event_id"])
@@ -206,22 +261,16 @@ def dedupe_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame
 
 def start_processor(raw_stream: DataFrame, state_dir: str, checkpoint_dir: str,
                     available_now: bool = False, processing_time: str | None = None,
-                    dedup: bool = False, dedup_watermark: str = "10 minutes"):
+                    dedup: bool = False, dedup_horizon: int | None = None):
     """Run the processor over a stream of JSON text rows (``value``).
 
-    ``dedup=True`` decodes in the stream and drops repeated event ids before
-    the merge (non-JSON rows are then only dropped; use ``start_reject_sink``
-    for the dead letter in that mode).
+    ``dedup=True`` counts every event id once (see ``first_deliveries``); the
+    dead letter is written in either mode.
     """
-    if dedup:
-        events = dedupe_stream(parse_lenient(raw_stream), dedup_watermark)
-        body = lambda df, bid: merge_batch(df, bid, state_dir)
-        source = events
-    else:
-        body = lambda df, bid: process_json_batch(df, bid, state_dir)
-        source = raw_stream
-    writer = (source.writeStream.foreachBatch(body)
-              .option("checkpointLocation", checkpoint_dir))
+    def body(df: DataFrame, batch_id: int) -> None:
+        process_json_batch(df, batch_id, state_dir, dedup, dedup_horizon)
+
+    writer = raw_stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -269,15 +318,17 @@ def snapshot_dashboard(spark: SparkSession, state_dir: str, version: int | None
                      asc=False),
         lambda x: F.struct(x["_k1"].alias("product_name"), x["_k0"].alias("purchase_count")))).scalar()
     feed_arr = st["feed"].agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("batch_id", "ts", "event_id", "id", "type", "title",
-                                             "subtitle", "time")), asc=False),
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "id", "type", "title", "subtitle", "time")), asc=False),
         lambda x: F.struct(*[x[f].alias(f) for f in ("id", "type", "title", "subtitle", "time")]))).scalar()
-    hist_arr = st["history"].agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("batch_id", "ts", "event_id", "name", "revenue_acc"))),
-        lambda x: F.struct(x["name"].alias("name"),
-                           money_total(x["revenue_acc"]).alias("revenue")))).scalar()
-    start = totals.select(F.max("session_start")).scalar()
-    users = st["users"].where(F.col("last_ts") >= start).agg(F.count(F.lit(1))).scalar()
+    # running total at a row = grand total less the newer rows, all of which are listed
+    total = totals.select(F.max("revenue_acc")).scalar()
+    newer = Window.orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    hist = st["history"].select("ts", "seq", "name", (
+        total - F.coalesce(F.sum("acc").over(newer), F.lit(0).cast(MONEY_ACC))).cast(MONEY_ACC).alias("running"))
+    hist_arr = hist.agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "name", "running"))),
+        lambda x: F.struct(x["name"].alias("name"), money_total(x["running"]).alias("revenue")))).scalar()
+    users = st["users"].agg(F.count(F.lit(1))).scalar()
     return totals.select(
         F.struct(money_total(F.col("revenue_acc")).alias("total_revenue"),
                  F.lit(CURRENCY).alias("currency")).alias("revenue"),
