@@ -18,7 +18,8 @@ summed per pair.
   compared in blocks: with each other and with the linked ones, by partial overlaps per fragment that
   are summed per pair.  Blocks hold a bounded number of sets and give back at most a spanning forest.
 
-The number of table partitions is the session's ``spark.sql.shuffle.partitions``.
+There are twice as many table partitions as the session's ``spark.sql.shuffle.partitions``; a task takes
+one after the other.
 
 Defined results: null, empty or blank texts have no n-grams and link with nothing.  Texts of fewer words
 than ``n`` have one n-gram, the whole sequence.  Rows that repeat an id are judged each by its own text.
@@ -44,7 +45,7 @@ from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, windows, word_hashes
 
 N, PERCENT = 3, 90
-CHUNK_GRAMS = 1 << 21        # n-grams of a chunk, about; a longer text is a chunk of its own
+CHUNK_GRAMS = 1 << 20        # n-grams of a chunk, about; a longer text is a chunk of its own
 HOT = 64                     # holders in one chunk from which an n-gram is sent as a count
 BLOCK = 256                  # sets of one side of a comparison
 FRAGMENT = 2048              # n-grams of a fragment in a comparison
@@ -103,24 +104,31 @@ class Sender:
         rows: list[tuple[int, bool, list[bytes]]] = []
         keys = np.concatenate([*self.sets, np.empty(0, U)])
         owners = np.repeat(np.arange(len(self.sets), dtype=np.uint32), [len(x) for x in self.sets])
+        sized = np.array([[n, k[0]] for k, n in zip(self.classes, map(len, self.sets))], np.int64).reshape(-1, 2)
+        self.sets = []
         order = np.argsort(keys, kind="stable")
         keys, owners = keys[order], owners[order]
-        distinct, starts, counts = np.unique(keys, return_index=True, return_counts=True)
+        del order
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(new)
+        counts = np.diff(starts, append=len(keys))
         hot = np.flatnonzero(counts > HOT)
         in_hot = np.repeat(counts > HOT, counts)
-        sized = np.array([[n, k[0]] for k, n in zip(self.classes, map(len, self.sets))], np.int64).reshape(-1, 2)
+        hot_keys, hot_counts = keys[starts[hot]], counts[hot]
+        del new, starts, counts
         known = np.array([x is not None for x in self.ids], bool)
         rows.append((self.first % self.parts, True, [
             pack(np.array([x or 0 for x in self.ids], np.int64)), pack(known), pack(np.array(self.sizes, np.int64)),
             pack(np.array(self.nodes, np.int64)), pack(sized[:, 0]), pack(sized[:, 1]),
-            pack(counts[hot]), pack(owners[in_hot])]))
-        cold, cold_owners = keys[~in_hot], owners[~in_hot]
-        bounds, hot_bounds = slices(cold, self.parts), slices(distinct[hot], self.parts)
+            pack(hot_counts), pack(owners[in_hot])]))
+        cold, cold_owners = (keys[~in_hot], owners[~in_hot]) if len(hot) else (keys, owners)
+        bounds, hot_bounds = slices(cold, self.parts), slices(hot_keys, self.parts)
         for p in range(self.parts):
             a, b, c, d = bounds[p], bounds[p + 1], hot_bounds[p], hot_bounds[p + 1]
             if b > a or d > c:
                 rows.append((p, False, [pack_sorted(cold[a:b]), pack(cold_owners[a:b]),
-                                        pack_sorted(distinct[hot[c:d]]), pack(counts[hot[c:d]])]))
+                                        pack_sorted(hot_keys[c:d]), pack(hot_counts[c:d])]))
         out = pa.RecordBatch.from_pydict({
             "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([self.first] * len(rows), pa.int64()),
             "own": pa.array([r[1] for r in rows], pa.bool_()), "body": pa.array([r[2] for r in rows], pa.list_(pa.binary()))})
@@ -138,9 +146,13 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, o, b in zip(senders, own, bodies) if not o]
         rows = [(c, True, b) for c, o, b in zip(senders, own, bodies) if o]
         if sent:
-            _, index = np.unique(np.concatenate([x for _, s in sent for x in (s[0], s[2])]), return_inverse=True)
-            weights = np.concatenate([x for _, s in sent for x in (np.ones(len(s[0])), s[3])])
-            held = np.bincount(index, weights=weights).astype(np.int64)
+            index = np.unique(np.concatenate([x for _, s in sent for x in (s[0], s[2])]), return_inverse=True)[1]
+            held = np.bincount(index)                              # a class each, or one count of many
+            at = 0
+            for _, (keys, _, hot, counts) in sent:
+                at += len(keys)
+                np.add.at(held, index[at:at + len(hot)], counts - 1)
+                at += len(hot)
             at = 0
             for chunk, (keys, owners, hot, _) in sent:
                 n = held[index[at:at + len(keys)]]
@@ -206,7 +218,7 @@ def gathered(percent: int):
 
 def shared_ngrams(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows of documents (doc_id, size, node) and of classes that may link (size, node, prefix, grams)."""
-    parts = at_least(1, docs)
+    parts = 2 * at_least(1, docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(parts)
