@@ -16,6 +16,9 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 FOLDS = 5
 
+# A lookup table within both bounds is broadcast; any other is joined by a salted shuffle.
+BROADCAST_ROWS, BROADCAST_KEY_BYTES = 20_000, 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table with only the columns an operator reads."""
@@ -51,10 +54,16 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
-    """Left join of ``lookup`` (one row per ``key``) onto ``rows``; a hot key is dealt over ``salts`` tasks.
+    """Left join of ``lookup`` (one row per ``key``) onto ``rows``; null keys meet null keys.
 
-    Null keys meet null keys.  ``spread`` is any well spread column of ``rows``.
+    A lookup table that has been counted and is small is broadcast.  Otherwise a hot key is dealt over
+    ``salts`` tasks; ``spread`` is any well spread column of ``rows``.
     """
+    lookup = settled(lookup)
+    n, size = lookup.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_KEY_BYTES:
+        right = F.broadcast(lookup.withColumnRenamed(key, "_lookup_key"))
+        return rows.join(right, F.col(key).eqNullSafe(F.col("_lookup_key")), "left").drop("_lookup_key")
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = lookup.withColumnRenamed(key, "_lookup_key").withColumn(
         "_lookup_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
