@@ -143,6 +143,41 @@ def _dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.dashboard_payload(shop_events(spark, sf_dir, with_names=False), _part(spark, sf_dir))
 
 
+def _odd_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as ingest requests, most of them faulty in a way that their ``seq`` chooses; some lack optional fields."""
+    ev = shop_events(spark, sf_dir, with_names=False)
+    kind = F.col("seq") % 10
+
+    def text(name: str, value):
+        return F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+
+    parts = [
+        text("event_id", F.col("event_id")),
+        text("event_type", F.when(kind == 1, F.lit("page_closed")).otherwise(F.col("event_type"))),
+        F.when(kind != 2, text("user_id", F.coalesce("user_id", F.lit("anonymous")))),
+        F.when(kind == 3, F.lit('"product_id":17')).otherwise(text("product_id", F.lit("17"))),
+        F.when(kind != 2, F.lit('"product_name":"thing"')),
+        F.when(kind == 4, F.lit('"price":"cheap"')).otherwise(F.lit('"price":"2.5"')),
+        F.when(kind == 5, F.lit('"quantity":1.5')).when(kind != 9, F.lit('"quantity":2')),
+        F.when(kind == 6, F.lit('"timestamp":"yesterday"')).otherwise(
+            F.concat(F.lit('"timestamp":"'), wire.iso_text(F.col("ts")), F.lit('Z"'))),
+        F.when(kind == 7, F.lit('"metadata":[1]')).when(kind == 8, F.lit('"metadata":{"n":5}')),
+        F.lit('"extra":true')]
+    line = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.when(kind == 0, F.lit("")).otherwise(F.lit("}")))
+    return ev.select(line.alias("value"))
+
+
+def _ingest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V5: how many requests are valid ('') or rejected, by their reasons."""
+    return (wire.validate_strict(_odd_ingest(spark, sf_dir)).groupBy("reasons")
+            .agg(F.count(F.lit(1)).alias("requests")))
+
+
+def _ingest_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3, V4: valid requests with optional fields filled and unknown ones dropped."""
+    return _metadata_text(wire.valid_events(_odd_ingest(spark, sf_dir)))
+
+
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part")
 
@@ -259,6 +294,8 @@ def queries() -> dict[str, Query]:
         "lenient_missing_fields": _lenient_missing_fields,
         "dedup_missing_ids": _dedup_missing_ids,
         "bad_amounts": _bad_amounts,
+        "ingest_reasons": _ingest_reasons,
+        "ingest_defaults": _ingest_defaults,
         # enrichment
         "enriched_events": _enriched,
         # the sales view (order lines as purchases): volume and multi-year periods

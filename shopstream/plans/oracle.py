@@ -402,6 +402,19 @@ SELECT count(*) AS total, count_if(event_type = 'purchase_completed') AS purchas
             AS DECIMAL(38,2)) AS DOUBLE) AS total_revenue
 FROM shop_events""")
 
+INGEST_REASONS = with_shop("""
+SELECT CASE seq % 10 WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'invalid_event_type_value'
+            WHEN 2 THEN 'missing_user_id,missing_product_name' WHEN 3 THEN 'invalid_product_id'
+            WHEN 4 THEN 'invalid_price' WHEN 5 THEN 'invalid_quantity' WHEN 6 THEN 'invalid_timestamp'
+            WHEN 7 THEN 'invalid_metadata' ELSE '' END AS reasons, count(*) AS requests
+FROM shop_events GROUP BY 1""")
+
+INGEST_DEFAULTS = with_shop("""
+SELECT event_id, event_type, COALESCE(user_id, 'anonymous') AS user_id, '17' AS product_id, 'thing' AS product_name,
+       CAST(2.5 AS DOUBLE) AS price, CASE WHEN seq % 10 = 9 THEN 1 ELSE 2 END AS quantity, ts,
+       CASE WHEN seq % 10 = 8 THEN '{"n":"5"}' ELSE '{}' END AS metadata
+FROM shop_events WHERE seq % 10 IN (8, 9)""")
+
 DASHBOARD_PAYLOAD = with_shop(f"""{_DASHBOARD_PARTS},
 per_day AS (
   SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period_start,
@@ -441,6 +454,8 @@ def oracle_sql() -> dict[str, str]:
         "dedup_missing_ids": DEDUP_MISSING_IDS,
         "lenient_missing_fields": LENIENT_MISSING_FIELDS,
         "bad_amounts": BAD_AMOUNTS,
+        "ingest_reasons": INGEST_REASONS,
+        "ingest_defaults": INGEST_DEFAULTS,
         "dashboard_payload": DASHBOARD_PAYLOAD,
         "revenue_total": REVENUE_TOTAL,
         "cart_abandonment": CART_ABANDONMENT,
