@@ -9,20 +9,22 @@ import pyarrow as pa
 
 from .word_arrays import U
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
 def pack(a: np.ndarray) -> bytes:
     """An array as compressed byte planes."""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-    return len(a).to_bytes(8, "little") + (_ZSTD.compress(planes).to_pybytes() if len(a) else b"")
+    return len(a).to_bytes(8, "little") + (_zstd().compress(planes).to_pybytes() if len(a) else b"")
 
 
 def unpack(body: bytes, dtype) -> np.ndarray:
     n, size = int.from_bytes(body[:8], "little"), np.dtype(dtype).itemsize
     if not n:
         return np.empty(0, dtype)
-    planes = np.frombuffer(_ZSTD.decompress(body[8:], n * size), np.uint8).reshape(size, n)
+    planes = np.frombuffer(_zstd().decompress(body[8:], n * size), np.uint8).reshape(size, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from cases import DOCUMENTS, documents, frame
 
-from shopstream.llm import host_rules, mixing
+from shopstream.llm import common, host_rules, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,9 +62,10 @@ def targets(sizes):
     return {s: 2.0 * sizes[s] if s in full else min(2.0 * sizes[s], weight[s] * level) for s in names}
 
 
-@pytest.mark.parametrize("seed", [1, 4])
-def test_mix_meets_the_targets(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,broadcast", [(1, common.BROADCAST_ROWS), (4, -1)])
+def test_mix_meets_the_targets(spark, seed, broadcast, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_DOCS", 4)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)          # -1: joins are salted
     rows = documents(seed)
     df = frame(spark, rows, extra=True)
     got = mixing.mix(df).collect()
