@@ -5,8 +5,8 @@ unigrams being counted in the pages' own text.  A multinomial naive Bayes model
 host and the tokens of the path.  It learns from weak labels: pages that a rule judges, and pages whose
 host holds a seed word (always a block).  Each host counts once per class and token, so that one host
 with a third of all pages doesn't set the weights.  Tokens that the rules themselves are made of are no
-features.  An explicit rule's verdict always stands; other urls are blocked when the model's posterior
-is over ``BLOCK_POSTERIOR``, with equal class priors.
+features.  An explicit rule's verdict always stands; other urls are blocked when their host holds a seed
+word or the model's posterior is over ``BLOCK_POSTERIOR``, with equal class priors.
 
 Defined results: a null url, or one without ``://``, has empty host and path and, without any token, the
 verdict allow.  Of rules of equal length the first listed wins.  Repeated rows are judged each; an empty
@@ -169,7 +169,7 @@ def judged(pages: DataFrame, counts: DataFrame, rules=RULES, seeds=SEED_WORDS) -
 
     host_odds = (words.select("host", F.explode_outer("words").alias("token")).join(weights, "token", "left")
                  .groupBy("host").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("_of_host"))
-                 .join(words, "host"))
+                 .join(words, "host").join(seeded, "host"))
     path_odds = (parsed.select("_tokens").distinct().filter("_tokens != ''")
                  .select("_tokens", F.explode(F.split("_tokens", " ")).alias("token")).join(weights, "token")
                  .groupBy("_tokens").agg(F.sum("w").alias("_of_path")))
@@ -179,7 +179,7 @@ def judged(pages: DataFrame, counts: DataFrame, rules=RULES, seeds=SEED_WORDS) -
     limit = math.log(BLOCK_POSTERIOR / (1 - BLOCK_POSTERIOR))
     return out.select(
         *keep, "host", "path", "rule",
-        F.coalesce("_said", F.when(score > limit, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("_said", F.when(F.coalesce("seeded", F.lit(False)) | (score > limit), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("words", F.array().cast("array<string>")).alias("host_words"),
         score.alias("log_odds"), F.col("_said").isNotNull().alias("by_rule"))
 
