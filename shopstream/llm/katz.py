@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, release_shuffles, settled, table
-from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
+from .packed import give_back, pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, mix, word_hashes
 
 ORDER = 2
@@ -75,6 +75,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     n += b - a + 1
         if ids:
             yield row(ids, held, lengths, parts)
+        give_back()
 
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"), "text")
     cut = rows.mapInArrow(run, "ids array<long>, held array<boolean>, lengths array<int>, words binary, order binary, tokens binary")
@@ -177,6 +178,7 @@ def ask(rows: DataFrame, parts: int, message: Callable[[dict], tuple[np.ndarray,
                 "chunk": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()),
                 "level": pa.array([r[2] for r in rows], pa.int32()), "body": pa.array([r[3] for r in rows], pa.binary()),
                 "stats": pa.array([r[4] for r in rows], pa.list_(pa.int64()))})
+        give_back()
 
     release_shuffles(rows.sparkSession)
     sent = rows.mapInArrow(send, "part int, chunk long, keys binary, values array<binary>")
@@ -347,6 +349,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT)
                     "n_known": pa.array(add((real & (counts > 0)).astype(np.int64)), pa.int64()),
                     "train_tokens": pa.array(np.full(n, model.tokens), pa.int64()),
                     "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(logs), pa.float64())})
+        give_back()
 
     release_shuffles(docs.sparkSession)
     scores = with_answers(cut, answers).mapInArrow(

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import at_least, release_shuffles, settled, table
 from .components import connected_components
-from .packed import pack, pack_sorted, runs, slices, unpack, unpack_sorted
+from .packed import give_back, pack, pack_sorted, runs, slices, unpack, unpack_sorted
 from .word_arrays import U, windows, word_hashes
 
 N, PERCENT = 3, 90
@@ -166,6 +166,7 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part] * len(rows), pa.int32()), "chunk": pa.array([r[0] for r in rows], pa.int64()),
             "own": pa.array([r[1] for r in rows], pa.bool_()), "body": pa.array([r[2] for r in rows], pa.list_(pa.binary()))})
+    give_back()
 
 
 KEPT = "doc_id long, size long, node long, prefix array<long>, grams binary"
@@ -213,6 +214,7 @@ def gathered(percent: int):
                     "doc_id": pa.nulls(len(rows), pa.int64()), "size": pa.array([r[0] for r in rows], pa.int64()),
                     "node": pa.array([r[1] for r in rows], pa.int64()), "prefix": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                     "grams": pa.array([r[3] for r in rows], pa.binary())})
+        give_back()
     return run
 
 
@@ -229,6 +231,7 @@ def shared_ngrams(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 sender.add(doc_id, grams)
         if sender.ids:
             yield sender.messages()
+        give_back()
 
     sent = docs.select("doc_id", "text").mapInArrow(send, MESSAGE)
     told = sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answers, MESSAGE)
@@ -330,6 +333,7 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
                     b.append(nodes[right[y]])
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        give_back()
 
     keys = ["family", "i", "j", "resolved"]
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys, "side", "node")
@@ -404,23 +408,36 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one: that of the least id.
 
     Texts without n-grams are in no component and stay.  Of rows with equal id and n-grams the least by
-    the other columns stays.
+    the other columns stays.  Rows are found again by their id; only where an id has several rows that
+    don't all go are their n-grams looked at once more.
     """
-    found = ngram_jaccard_join(docs, n, percent).filter("node is not null")
+    found = ngram_jaccard_join(docs, n, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("_first")
-    stays = found.groupBy("component").agg(first).select(
-        F.col("_first.doc_id").alias("_id"), F.col("_first.node").alias("_stays"))
+    stays = found.filter("node is not null").groupBy("component").agg(first).select(
+        F.col("component").alias("_c"), F.col("_first.doc_id").alias("_id"), F.col("_first.node").alias("_stays"))
+    judged = found.join(stays, F.col("component") == F.col("_c"), "left")
+    stay = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_stays")))
+    ids = settled(judged.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(stay).alias("n_stay"), F.count("node").alias("n_texts")).filter(
+        "n_stay < n or (n > 1 and n_texts > 0)"))
+    other = ids.select(F.col("_id").alias("_other")).hint("shuffle_hash")
+    kept = docs.join(other, F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
+    mixed = ids.filter("n_stay > 0").select(F.col("_id").alias("_mixed"))
+    if mixed.isEmpty():
+        return kept
 
     @F.pandas_udf("long")
     def nodes(texts: pd.Series) -> pd.Series:
         grams = ngram_sets(pa.array(texts, pa.string(), from_pandas=True), n)
         return pd.Series([node_of(g) if len(g) else None for g in grams], dtype="Int64")
 
-    named = docs.withColumn("_node", nodes(F.coalesce("text", F.lit(""))))
-    kept = named.join(stays, (F.col("_node") == F.col("_stays")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    order = W.partitionBy("_node", "doc_id").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
-    kept = kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    return kept.select(*docs.columns).unionByName(named.filter("_node is null").select(*docs.columns))
+    again = docs.join(mixed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_mixed")), "left_semi")
+    again = again.withColumn("_node", nodes(F.coalesce("text", F.lit(""))))
+    again = again.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_stays")), "left")
+    order = W.partitionBy("doc_id", "_node").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    again = again.withColumn("_row", F.row_number().over(order)).filter(
+        "_node is null or (_stays is not null and _row = 1)")
+    return kept.unionByName(again.select(*docs.columns))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def test_language_evidence(spark):
         ("der hund und die katze", "en", "b.de"), ("in", "de", "b.de"), ("in", "en", "a.uk"), ("in", None, "b.de"), ("haus", "xx", None),
         ("", "en", "a.uk"), (None, "de", "b.de"), ("123 *** !!", "en", "a.uk"), ("qxzj vkwq zzxq jjqx wvkz qqxj zxvw kqjz" * 20, "en", "a.uk")])]
     df = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS confidence")
-    model = language_id.train(df.filter("doc_id < 40"))
+    model = language_id.train(df.filter("doc_id < 40").selectExpr("repeat(text, 60) AS text", "lang"))
     assert model.languages == ["de", "en"]
     from pyspark.sql import functions as F
     got = language_id.identified(df, model, "text", F.col("lang"), F.col("source"), language_id.suffix_of(F.col("source"))).orderBy("doc_id").collect()
