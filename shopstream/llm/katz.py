@@ -34,7 +34,7 @@ ORDER = 2
 MIN_COUNT = 2                # of an n-gram of two or more tokens to be held by the model
 DISCOUNTED = 5               # counts up to this are discounted
 HELD_OUT_FOLD = 1
-CHUNK_TOKENS = 1 << 21       # of a chunk, about; a longer text is a chunk of its own
+CHUNK_TOKENS = 1 << 22       # of a chunk, about; a longer text is a chunk of its own
 PART_KEYS = 1 << 21          # keys a table partition is sent, about
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
 

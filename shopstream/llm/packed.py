@@ -12,7 +12,7 @@ from .word_arrays import U
 
 
 def _zstd() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=1)
+    return pa.Codec("zstd", compression_level=3)
 
 
 def give_back() -> None:
