@@ -31,7 +31,7 @@ from .packed import give_back, pack, pack_sorted, runs, slices, unpack, unpack_s
 from .word_arrays import U, mix, word_hashes
 
 ORDER = 2
-MIN_COUNT = 2                # of an n-gram of two or more tokens to be held by the model
+MIN_COUNT = 1                # of an n-gram of two or more tokens to be held by the model; 1: every one seen
 DISCOUNTED = 5               # counts up to this are discounted
 HELD_OUT_FOLD = 1
 CHUNK_TOKENS = 1 << 22       # of a chunk, about; a longer text is a chunk of its own

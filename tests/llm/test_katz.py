@@ -88,6 +88,15 @@ def test_scores_equal_the_direct_model(spark, order, min_count, monkeypatch):
         assert g[5:] == pytest.approx(w[5:], abs=1e-6)
 
 
+def test_query_holds_every_ngram_seen(spark, scratch):
+    rows = [r for r in documents() if r[1] is None or len(r[1]) < 20000]
+    frame(spark, rows).write.parquet(f"{scratch}/documents.parquet")
+    got = katz.op7_katz(spark, scratch).collect()
+    model = Direct(rows, katz.ORDER, 1)
+    assert any(c == 1 for c in model.c[2].values())
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(model.score(r[1]) for r in rows), abs=1e-6)
+
+
 def test_direct_model_sums_to_one():
     rows = [r for r in documents() if r[1] is None or len(r[1]) < 20000]
     model = Direct(rows, 3, 2)
