@@ -1,16 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-cased words without punctuation.  A seed is the hash of the tokens that a fixed mask
-selects from ``SPAN`` consecutive ones; the others may differ.  Seeds of all document windows meet those
+selects from consecutive ones; the others may differ.  Seeds of all document windows meet those
 of the benchmark items.  A hit fixes a diagonal (document position less item position); along it the two
 token sequences are compared over the whole item, and the best stretch counts: matches less mismatches.
-Substituted words thus cost one each, wherever they are.
+Substituted words thus cost one each, wherever they are.  The masks give a seed to every stretch that
+scores ``MIN_SCORE`` and has up to one substituted token in three.
 
 A document is contaminated by an item if the best stretch scores ``MIN_SCORE`` and ``MIN_SHARE`` of the
 item (of its first ``FULL`` tokens' number, if it is longer).
 
-Defined results: null, empty or blank texts and items have no tokens.  Items of fewer than ``SPAN`` tokens
-have no seed and contaminate nothing.  Rows that repeat an id are judged together, the result has one row
+Defined results: null, empty or blank texts and items have no tokens.  Items of fewer than
+``MIN_SCORE`` tokens can't score it and contaminate nothing.  Rows that repeat an id are judged together, the result has one row
 per (doc_id, item_id); null ids are ids like any other.  Empty tables give an empty result.
 """
 
@@ -21,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, SPACES, settled, table
 
-MASKS = ("11101011", "11011101")     # 1: the token counts, 0: it may differ
-SPAN = 8
+MASKS = ("111", "11011")           # 1: the token counts, 0: it may differ; none is longer than MIN_SCORE
 MIN_SCORE, MIN_SHARE, FULL = 7, 0.4, 32
 BROADCAST_SEEDS = 1_000_000          # more benchmark seeds than this are joined by a shuffle
 
@@ -39,14 +39,16 @@ def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     All masks' seeds of a text are one array of longs (mask after mask), exploded with their index.
     """
-    n = f"(size(t) - {SPAN - 1})"
-    parts = []
+    parts, at, begin = [], "CASE", "0"
     for k, mask in enumerate(MASKS):
         picked = ", ".join(f"get(t, i + {p})" for p, bit in enumerate(mask) if bit == "1")
-        parts.append(f"transform(sequence(0, {n} - 1), i -> xxhash64({k}, {picked}))")
-    long_enough = rows.filter(F.size("t") >= SPAN)
-    dealt = long_enough.select(*keep, F.expr(n).alias("_n"), F.posexplode(F.expr(f"concat({', '.join(parts)})")).alias("_p", "seed"))
-    return dealt.select(*keep, "seed", (F.col("_p") % F.col("_n")).alias("at"))
+        parts.append(f"transform(sequence(0, size(t) - {len(mask)}), i -> xxhash64({k}, {picked}))")
+        end = f"{k + 1} * _n - {sum(len(m) - 1 for m in MASKS[:k + 1])}"
+        at += f" WHEN _p < {end} THEN _p - ({begin})"
+        begin = end
+    long_enough = rows.filter(F.size("t") >= MIN_SCORE)
+    dealt = long_enough.select(*keep, F.size("t").alias("_n"), F.posexplode(F.expr(f"concat({', '.join(parts)})")).alias("_p", "seed"))
+    return dealt.select(*keep, "seed", F.expr(f"{at} END").alias("at"))
 
 
 def best_stretch(matches: str) -> str:

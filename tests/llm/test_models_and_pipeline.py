@@ -81,6 +81,32 @@ def stretches(rows, items):
     return found
 
 
+def test_every_accepted_stretch_has_a_seed():
+    """All stretches of up to 64 tokens without a seed, as their last bits, length and substitutions."""
+    masks = [(int(m, 2), len(m)) for m in decontaminate.MASKS]
+    assert max(n for _, n in masks) <= decontaminate.MIN_SCORE
+    keep = (1 << max(n for _, n in masks) - 1) - 1
+    states = {(1, 0)}
+    for length in range(1, 65):
+        assert not [x for bits, x in states if length - 2 * x >= decontaminate.MIN_SCORE and 3 * x <= length]
+        grown = {(bits << 1 | match, x + 1 - match) for bits, x in states for match in (0, 1)}
+        states = {(bits & keep, x) for bits, x in grown
+                  if not any(length + 1 >= n and bits & m == m for m, n in masks)}
+
+
+def test_adjacent_and_frequent_substitutions_are_found(spark):
+    rng = random.Random(3)
+    cases = [(15, (6, 7)), (15, (7, 8)), (16, (7, 8)), (32, (6, 7, 14, 15, 22, 23, 30, 31)), (11, (3, 7)), (7, ())]
+    items = [(i, prose(rng, n)) for i, (n, _) in enumerate(cases)]
+    rows = []
+    for (i, text), (_, places) in zip(items, cases):
+        words = ["other" if k in places else w for k, w in enumerate(text.split())]
+        rows.append((i, prose(rng, 20) + " " + " ".join(words) + " " + prose(rng, 20), "en", "a", 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(len(cases))]
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
 def test_passages_with_substitutions(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
