@@ -4,7 +4,8 @@ Markup is stripped into lines (one per block element).  A line weighs its text l
 text; weights are summed over sliding windows of ``WINDOW`` lines.  A region starts where the sums
 surge from zero, ends where they dive to zero, and is kept if it reaches ``SURGE``.  Elements that are
 never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts,
-styles) leave ``WINDOW`` blank lines, hence a dive.  Where a page marks its article, lines outside weigh
+styles) leave ``WINDOW`` blank lines, hence a dive.  Names of what a wrapper has (has-sidebar, comments-open)
+don't mark it as such an element, and an article is left out only if it is hidden or a comment in another one.  Where a page marks its article, lines outside weigh
 nothing and each line inside is enough for a surge, so that short paragraphs of an article stay.
 
 Defined results: null, empty or text-free pages give the empty string.  Unclosed tags and comments end
@@ -44,6 +45,10 @@ OTHER = frozenset("""ad ads advert advertisement adverts advertising banner brea
 CONTENT = frozenset("article body content entry main post story text".split())
 STRONG = frozenset("""ad ads advert advertisement adverts advertising comment comments consent cookie cookies disqus
     newsletter notice related replies reply respond share sharing sidebar sponsor sponsored promo""".split())
+READERS = frozenset("comment comments replies reply respond".split())
+# Names that begin or end so tell what an element has or is filed under, not what it is: has-sidebar, comments-open.
+ABOUT = frozenset("has with without no category tag".split())
+STATE = frozenset("open closed enabled disabled".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,8 +61,11 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def is_other(attributes: str) -> bool:
-    """Whether an element's attributes mark it as no part of the main text."""
+def is_other(attributes: str, article: bool = False, inside: bool = False) -> bool:
+    """Whether an element's attributes mark it as no part of the main text.
+
+    An ``article`` element is main text whatever its class, but for a reader's comment ``inside`` another one.
+    """
     parts: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -67,7 +75,11 @@ def is_other(attributes: str) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
         else:
-            parts.update(NAME_PARTS.split(value))
+            for token in value.split():
+                words = NAME_PARTS.split(token)
+                parts.update(CONTENT.intersection(words) if words[0] in ABOUT or words[-1] in STATE else words)
+    if article:
+        return inside and bool(parts & READERS) and not parts & (CONTENT - {"body"})
     return bool(parts & STRONG) or bool(parts & OTHER) and not parts & CONTENT
 
 
@@ -162,7 +174,7 @@ def page_lines(page: str) -> Lines:
             at = found.end() if found else len(page)
             lines.add(" ", False)
             continue
-        if name not in VOID and (name in NEVER or name == "header" and not depth or attributes and is_other(attributes)) \
+        if name not in VOID and (name in NEVER or name == "header" and not depth or attributes and is_other(attributes, name in ARTICLE, depth > 0)) \
                 and name not in ("html", "body"):
             if not attributes.endswith("/"):
                 if name in BLOCK or name in NEVER:

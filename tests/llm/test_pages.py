@@ -33,6 +33,18 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("open_tag", [
+    '<div class="content has-sidebar">', '<div id="main" class="with-comments">', '<div class="no-ads tag-notice">',
+    '<article class="post comments-open">', '<article class="post category-notice">', '<article class="notice">',
+    '<main class="sidebar">', '<main><article class="post comments-open">'])
+def test_wrappers_named_after_other_parts_keep_their_text(open_tag):
+    long = ("words " * 30).strip()
+    names = [t.split()[0].strip("<>") for t in open_tag.split("><")]
+    page = (f"<body>{open_tag}<p>{long}</p><div class='sidebar'>{long} aside</div><article class='comment-body'><p>reader</p></article>"
+            if names[0] != "div" else f"<body>{open_tag}<p>{long}</p><div class='sidebar'>{long} aside</div>")
+    assert main_text(page + "".join(f"</{n}>" for n in reversed(names))) == long
+
+
 def test_line_blocks_without_article_marks():
     long = "words " * 30
     page = ("<body><ul>" + "<li><a href=/>link text here</a></li>" * 9 + f"</ul><div>{long}</div><p>short one</p><p>{long}</p>"
