@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, host_rules, katz, language_id, main_text, mixing, ngram_join, quality,
+from . import (decontaminate, host_rules, katz, language_id, line_dedup, main_text, mixing, ngram_join, quality,
                url_filter, warc)
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_host_rules": host_rules.op8_host_rules,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_mixing": mixing.op10_mixing,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_host_rules": host_rules.SQL,
         "op9_decontamination": decontaminate.SQL,
         "op10_mixing": mixing.SQL,
+        "op13_line_dedup": line_dedup.SQL,
     }
