@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, host_rules, katz, language_id, line_dedup, main_text, mixing, ngram_join, quality,
-               url_filter, vector_codes, warc)
+from . import (decontaminate, host_rules, katz, language_id, line_dedup, main_text, mixing, ngram_join, prefix_trie,
+               quality, url_filter, vector_codes, warc)
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_host_rules": host_rules.op8_host_rules,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_mixing": mixing.op10_mixing,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_host_rules": host_rules.SQL,
         "op9_decontamination": decontaminate.SQL,
         "op10_mixing": mixing.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
         "op12_vector_codes": vector_codes.SQL,
         "op13_line_dedup": line_dedup.SQL,
     }
