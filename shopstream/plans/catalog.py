@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
 from ..operators.events import dedupe_events, purchases, with_amount
-from . import dashboard
+from . import dashboard, streams
 from ..sources import json_events as wire
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
@@ -305,4 +305,6 @@ def queries() -> dict[str, Query]:
         "sales_revenue_by_month": _sales_by_period("month"),
         "sales_revenue_by_year": _sales_by_period("year"),
         "sales_trend": _sales_trend,
+        # replayed streams
+        **streams.queries(),
     }

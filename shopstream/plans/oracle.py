@@ -446,6 +446,13 @@ SELECT [struct_pack(title := 'Total Revenue', "value" := '₹' || {js_fixed1("bo
 FROM board, t""")
 
 
+UNPURCHASED_CARTS = with_shop("""
+SELECT event_id, user_id, ts FROM shop_events c
+WHERE event_type = 'cart_added' AND NOT EXISTS (
+  SELECT 1 FROM shop_events p WHERE p.event_type = 'purchase_completed' AND p.user_id = c.user_id
+     AND p.ts >= c.ts AND p.ts < c.ts + INTERVAL 1 DAY)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
@@ -483,6 +490,10 @@ def oracle_sql() -> dict[str, str]:
         "dashboard": DASHBOARD,
         "dashboard_json": DASHBOARD_JSON,
         "stream_dashboard": DASHBOARD,
+        "stream_active_sessions": ACTIVE_USER_SESSIONS,
+        "late_window_corrections": _revenue_window("minute"),
+        "unpurchased_carts": UNPURCHASED_CARTS,
+        "stream_dedup": DEDUP_MISSING_IDS,
         "kafka_rows": KAFKA_ROWS,
         "parse_events": PARSE_EVENTS,
         "valid_events": VALID_EVENTS,

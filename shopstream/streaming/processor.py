@@ -89,21 +89,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _check_state(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+def _check_marks(spark: SparkSession, state_dir: str, batch_id: int, marker: str) -> None:
     """A batch must follow the state it finds: a new checkpoint on old state would start from nothing."""
-    if batch_id == 0 and _exists(spark, _path(state_dir, "totals", 1)):
+    if batch_id == 0 and _exists(spark, _path(state_dir, marker, 1)):
         raise ValueError(f"{state_dir} holds the state of another checkpoint; use a new state folder")
-    if batch_id > 0 and not _exists(spark, _path(state_dir, "totals", batch_id - 1)):
+    if batch_id > 0 and not _exists(spark, _path(state_dir, marker, batch_id - 1)):
         raise ValueError(f"{state_dir} has no version {batch_id - 1}; state and checkpoint don't belong together")
 
 
+def _check_state(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    _check_marks(spark, state_dir, batch_id, "totals")
+
+
+def drop_version(spark: SparkSession, state_dir: str, table: str, version: int) -> None:
+    """Remove a version of a state table that no later batch reads."""
+    if version >= 0:
+        fs, at = _files(spark, _path(state_dir, table, version))
+        fs.delete(at, True)
+
+
 def _drop_old_versions(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    old = batch_id - VERSIONS_KEPT
     for table in SNAPSHOTS:
-        old = _path(state_dir, table, batch_id - VERSIONS_KEPT)
         # the marker of version 1 stays: it tells a new checkpoint that this state is in use
-        if batch_id - VERSIONS_KEPT >= 0 and not (table == "totals" and batch_id - VERSIONS_KEPT == 1):
-            fs, at = _files(spark, old)
-            fs.delete(at, True)
+        if not (table == "totals" and old == 1):
+            drop_version(spark, state_dir, table, old)
 
 
 def _sessions_after(per_user: DataFrame, prev: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
