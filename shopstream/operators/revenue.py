@@ -6,19 +6,13 @@ Inputs are *purchases*: rows with ``ts``, ``amount`` (and ``seq`` /
 
 from __future__ import annotations
 
-from decimal import Context, Decimal
-from itertools import accumulate
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.money import MONEY_ACC, money_sum, money_total, to_money_acc
 from ..functions.text import clock_label
 from ..schema import CURRENCY, REVENUE_HISTORY_LIMIT
-from ..session import ensure_checkpoint_dir
 from .joins import fits_broadcast, join_dimension
+from .prefix import running_sums
 from .timecols import truncate
 
 
@@ -73,59 +67,12 @@ def revenue_by_period_via_orders(lines: DataFrame, orders: DataFrame, unit: str)
 # Running total
 # ---------------------------------------------------------------------------
 def revenue_running(purchases: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cumulative revenue after each purchase, in (ts, seq) order.
-
-    A distributed prefix sum instead of an unpartitioned window:
-    1. range-partition on the unique key (ts, seq): balanced even when one
-       timestamp or day is hot, and sort inside each partition;
-    2. a per-partition running sum (``mapInPandas``);
-    3. partition totals -> prefix sums over at most ``partitions`` rows;
-    4. add each partition's offset (a broadcast of ``partitions`` rows).
-    The partitioned result is checkpointed to the shared checkpoint folder so
-    both uses read the same rows even if executors are lost.
-    """
-    def local_running_sums(batches):
-        """Per range partition: exact running sum of the decimal amounts, in order.
-
-        Rows arrive sorted by (ts, seq) within the partition; the running sum
-        is carried across the Arrow batches of the partition.  Defined inside
-        the function so it is shipped by value to the Python workers.
-        """
-        carry = Decimal(0)
-        add = Context(prec=60).add
-        part = TaskContext.get().partitionId()
-        for pdf in batches:
-            local = list(accumulate(pdf["acc"], add, initial=carry))[1:]
-            if local:
-                carry = local[-1]
-            yield pd.DataFrame({
-                "event_id": pdf["event_id"], "ts": pdf["ts"], "amount": pdf["amount"], "acc": pdf["acc"],
-                "part": np.full(len(pdf), part, dtype=np.int32), "local_acc": local,
-            })
-
-    spark = purchases.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = purchases.select(
-        "seq", "event_id", "ts", F.col("amount").cast("double").alias("amount"),
-        to_money_acc(F.col("amount")).alias("acc"),
-    )
-    ts_type = purchases.schema["ts"].dataType.simpleString()
-    ranged = base.repartitionByRange(n, "ts", "seq").sortWithinPartitions("ts", "seq")
-    local = ranged.mapInPandas(
-        local_running_sums,
-        f"event_id string, ts {ts_type}, amount double, acc {MONEY_ACC}, part int, local_acc {MONEY_ACC}",
-    ).checkpoint(eager=True)
-    totals = local.groupBy("part").agg(F.sum("acc").alias("tot"))
-    offsets = totals.select(
-        "part",
-        F.coalesce(F.sum("tot").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).cast(MONEY_ACC).alias("offset"),
-    )
-    out = local.join(F.broadcast(offsets), "part")
-    cum = F.col("offset") + F.col("local_acc")
-    return out.select("event_id", "ts", "amount",
-                      money_total(cum.cast(MONEY_ACC)).alias("cumulative_revenue"))
+    """Cumulative revenue after each purchase, in (ts, seq) order: a distributed prefix sum (``prefix``)."""
+    base = purchases.select("seq", "event_id", "ts", F.col("amount").cast("double").alias("amount"),
+                            to_money_acc(F.col("amount")).alias("acc"))
+    rows = running_sums(base, ["ts", "seq"], {"cumulative": F.col("acc")}, partitions)
+    return rows.select("event_id", "ts", "amount",
+                       money_total(F.col("cumulative").cast(MONEY_ACC)).alias("cumulative_revenue"))
 
 
 def revenue_history_rows(purchases: DataFrame, n: int = REVENUE_HISTORY_LIMIT) -> DataFrame:

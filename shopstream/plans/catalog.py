@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
 from ..operators.events import dedupe_events, purchases, with_amount
-from . import dashboard, streams
+from . import dashboard, streams, timeline
 from ..sources import json_events as wire
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
@@ -143,6 +143,11 @@ def _dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.dashboard_payload(shop_events(spark, sf_dir, with_names=False), _part(spark, sf_dir))
 
 
+def _dashboard_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 at the end of every hour: one row per hour, one job."""
+    return timeline.dashboard_timeline(shop_events(spark, sf_dir, with_names=False), _part(spark, sf_dir))
+
+
 def _odd_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as ingest requests, most of them faulty in a way that their ``seq`` chooses; some lack optional fields."""
     ev = shop_events(spark, sf_dir, with_names=False)
@@ -285,6 +290,7 @@ def queries() -> dict[str, Query]:
         "dashboard_json": _named_feed(dashboard.dashboard_json),
         "stream_dashboard": _stream_dashboard,
         "dashboard_payload": _dashboard_payload,
+        "dashboard_timeline": _dashboard_timeline,
         # wire format, validation, sources
         "kafka_rows": _kafka_rows,
         "parse_events": _parse_events,

@@ -453,6 +453,60 @@ WHERE event_type = 'cart_added' AND NOT EXISTS (
      AND p.ts >= c.ts AND p.ts < c.ts + INTERVAL 1 DAY)""")
 
 
+# the dashboard's parts over the events before each hour's end
+DASHBOARD_TIMELINE = with_shop(f""",{_SESSIONS},
+h AS (
+  SELECT unnest(hours) + INTERVAL 1 HOUR AS as_of FROM (
+    SELECT generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR) AS hours FROM shop_events)
+),
+c AS (
+  SELECT as_of, {money("CASE WHEN event_type = 'purchase_completed' THEN amount END")} AS revenue,
+         struct_pack(product_viewed := count_if(event_type = 'product_viewed'), cart_added := count_if(event_type = 'cart_added'),
+                     cart_removed := count_if(event_type = 'cart_removed'),
+                     purchase_completed := count_if(event_type = 'purchase_completed'),
+                     payment_failed := count_if(event_type = 'payment_failed'), total := count(*)) AS event_counts
+  FROM h JOIN shop_events ON ts < as_of GROUP BY as_of
+),
+u AS (
+  SELECT as_of, count(DISTINCT user_id) AS users FROM (
+    SELECT as_of, sid, user_id, max(sid) OVER (PARTITION BY as_of) AS newest, max(ts) OVER (PARTITION BY as_of) AS last_ts
+    FROM h JOIN sess ON ts < as_of)
+  WHERE sid = newest AND as_of < last_ts + INTERVAL {ACTIVE_GAP_SECONDS} SECOND GROUP BY as_of
+),
+p AS (
+  SELECT as_of, list(struct_pack(product_name := product_name, purchase_count := n) ORDER BY n DESC, product_name DESC) AS products
+  FROM (SELECT * FROM (SELECT as_of, COALESCE(product_name, 'unknown') AS product_name, count(*) AS n
+                       FROM h JOIN purchases ON ts < as_of GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY n DESC, product_name DESC) <= 10)
+  GROUP BY as_of
+),
+f AS (
+  SELECT as_of, list(struct_pack(id := id, type := type, title := title, subtitle := subtitle, time := 'Just now')
+                     ORDER BY ts DESC, seq DESC) AS recent_events
+  FROM (SELECT as_of, ts, seq, {_FEED_COLS} FROM h JOIN shop_events ON ts < as_of
+        WHERE event_type IN ('purchase_completed', 'cart_added', 'payment_failed')
+          AND (event_type <> 'purchase_completed' OR amount IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY ts DESC, seq DESC) <= 15)
+  GROUP BY as_of
+),
+r AS (
+  SELECT ts, seq, strftime(ts, '%H:%M:%S') AS name,
+         CAST(CAST(SUM(CAST(amount AS DECIMAL(38,6))) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,2)) AS DOUBLE) AS revenue
+  FROM purchases
+),
+y AS (
+  SELECT as_of, list(struct_pack(name := name, revenue := revenue) ORDER BY ts, seq) AS revenue_history
+  FROM (SELECT as_of, r.* FROM h JOIN r ON ts < as_of
+        QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY ts DESC, seq DESC) <= 20)
+  GROUP BY as_of
+)
+SELECT as_of, struct_pack(total_revenue := revenue, currency := 'INR') AS revenue,
+       struct_pack(products := COALESCE(products, [])) AS top_products, event_counts,
+       struct_pack(active_users := COALESCE(users, 0), "window" := 'last 5 minutes') AS active_users,
+       COALESCE(recent_events, []) AS recent_events, COALESCE(revenue_history, []) AS revenue_history
+FROM c LEFT JOIN u USING (as_of) LEFT JOIN p USING (as_of) LEFT JOIN f USING (as_of) LEFT JOIN y USING (as_of)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
@@ -464,6 +518,7 @@ def oracle_sql() -> dict[str, str]:
         "ingest_reasons": INGEST_REASONS,
         "ingest_defaults": INGEST_DEFAULTS,
         "dashboard_payload": DASHBOARD_PAYLOAD,
+        "dashboard_timeline": DASHBOARD_TIMELINE,
         "revenue_total": REVENUE_TOTAL,
         "cart_abandonment": CART_ABANDONMENT,
         "failed_payment_rate": FAILED_PAYMENT_RATE,
