@@ -17,6 +17,8 @@ from ..operators.enrich import enrich_events
 from ..operators.events import dedupe_events, purchases, with_amount
 from . import dashboard, streams, timeline
 from ..sources import json_events as wire
+from ..sources.placement import partition_of
+from ..sources.profile import field_profile
 from ..sources.adapters import sales, shop_events
 from ..sources.tables import read_table
 from ..schema import PURCHASE_COMPLETED
@@ -25,6 +27,7 @@ from ..streaming import processor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+KAFKA_PARTITIONS = 12        # of the topic that kafka_partitions places events on
 STREAM_FILES = 8             # the stream queries replay the events from so many files
 
 
@@ -68,6 +71,21 @@ def _kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.to_wire(shop_events(spark, sf_dir))
 
 
+def _kafka_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the topic partition of every event, by the producer's hash of its key (the user id)."""
+    events = shop_events(spark, sf_dir, with_names=False)
+    return events.select("event_id", partition_of(F.col("user_id"), KAFKA_PARTITIONS).alias("partition"))
+
+
+def _wire_field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and kinds of the events' messages with a session id and a nested context, which the model doesn't know."""
+    rows, seq = _kafka_rows(spark, sf_dir), F.get_json_object("value", "$.event_id").cast("bigint")
+    more = F.concat(F.lit(',"session_id":"s'), (seq % 50).cast("string"), F.lit('","context":{"tags":["a",'), (seq % 3).cast("string"),
+                    F.when(seq % 4 == 0, F.lit(',{"deep":[true]}')).otherwise(F.lit("")), F.lit('],"ref":null}}'))
+    cut = F.when(seq % 100 == 7, F.lit("")).otherwise(more)                # some messages break off
+    return field_profile(rows.select(F.concat(F.substr("value", F.lit(1), F.length("value") - 1), cut).alias("value")))
+
+
 def _metadata_text(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.to_json("metadata"))
 
@@ -293,6 +311,8 @@ def queries() -> dict[str, Query]:
         "dashboard_timeline": _dashboard_timeline,
         # wire format, validation, sources
         "kafka_rows": _kafka_rows,
+        "kafka_partitions": _kafka_partitions,
+        "wire_field_profile": _wire_field_profile,
         "parse_events": _parse_events,
         "valid_events": _valid_events,
         "rejected_events": _rejected_events,

@@ -507,6 +507,44 @@ SELECT as_of, struct_pack(total_revenue := revenue, currency := 'INR') AS revenu
 FROM c LEFT JOIN u USING (as_of) LEFT JOIN p USING (as_of) LEFT JOIN f USING (as_of) LEFT JOIN y USING (as_of)""")
 
 
+# murmur2 of the key's bytes, word by word; ids are ASCII digits
+KAFKA_PARTITIONS = with_shop("""
+, b AS (
+  SELECT event_id, user_id, list_transform(string_split(user_id, ''), lambda c: ascii(c)::HUGEINT) AS x, strlen(user_id) AS n FROM shop_events
+), w AS (
+  SELECT event_id, user_id, x, n, list_reduce(
+    list_prepend(xor(2538058380::HUGEINT, n::HUGEINT), list_transform(range(n // 4),
+      lambda i: ((x[i*4+1] + x[i*4+2] * 256 + x[i*4+3] * 65536 + x[i*4+4] * 16777216) * 1540483477) % 4294967296)),
+    lambda h, k: xor((h * 1540483477) % 4294967296, (xor(k, k >> 24) * 1540483477) % 4294967296)) AS h
+  FROM b
+), t AS (
+  SELECT event_id, user_id, CASE WHEN n % 4 = 0 THEN h ELSE
+    (xor(h, x[n - n % 4 + 1] + CASE WHEN n % 4 > 1 THEN x[n - n % 4 + 2] * 256 ELSE 0 END
+            + CASE WHEN n % 4 > 2 THEN x[n - n % 4 + 3] * 65536 ELSE 0 END) * 1540483477) % 4294967296 END AS h
+  FROM w
+), m AS (
+  SELECT event_id, user_id, (xor(h, h >> 13) * 1540483477) % 4294967296 AS h FROM t
+)
+SELECT event_id, CASE WHEN user_id <> '' THEN ((xor(h, h >> 15) & 2147483647) % 12)::INTEGER END AS "partition" FROM m""")
+
+WIRE_FIELD_PROFILE = f"""
+WITH rows_ AS ({KAFKA_ROWS}), s AS (
+  SELECT value, json_extract_string(value, '$.event_id')::BIGINT AS seq FROM rows_
+), j AS (
+  SELECT seq, left(value, length(value) - 1) || CASE WHEN seq % 100 = 7 THEN '' ELSE
+           ',"session_id":"s' || (seq % 50) || '","context":{{"tags":["a",' || (seq % 3)
+           || CASE WHEN seq % 4 = 0 THEN ',{{"deep":[true]}}' ELSE '' END || '],"ref":null}}}}' END AS value
+  FROM s
+), n AS (
+  SELECT regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path,
+         CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+                     WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+  FROM (SELECT value::JSON AS value FROM j WHERE seq % 100 <> 7) d, json_tree(d.value) t
+  UNION ALL SELECT '$', 'malformed' FROM j WHERE seq % 100 = 7
+)
+SELECT path, kind, count(*) AS n FROM n GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "event_counts": EVENT_COUNTS,
@@ -550,6 +588,8 @@ def oracle_sql() -> dict[str, str]:
         "unpurchased_carts": UNPURCHASED_CARTS,
         "stream_dedup": DEDUP_MISSING_IDS,
         "kafka_rows": KAFKA_ROWS,
+        "kafka_partitions": KAFKA_PARTITIONS,
+        "wire_field_profile": WIRE_FIELD_PROFILE,
         "parse_events": PARSE_EVENTS,
         "valid_events": VALID_EVENTS,
         "rejected_events": REJECTED_EVENTS,
