@@ -22,33 +22,32 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, SPACES, settled, table
 
-MASKS = ("111", "11011")           # 1: the token counts, 0: it may differ; none is longer than MIN_SCORE
+# 1: the token counts, 0: it may differ; none is longer than MIN_SCORE.  No smaller set of spaced masks of four
+# tokens has a seed for every stretch with one substituted token in three (found by trying all).
+MASKS = ("10111", "101101", "110011")
 MIN_SCORE, MIN_SHARE, FULL = 7, 0.4, 32
 BROADCAST_SEEDS = 1_000_000          # more benchmark seeds than this are joined by a shuffle
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the tokens of a text, in order."""
-    bare = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), F.lit(SPACES))
-    split = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
-    return F.transform(split, lambda w: F.xxhash64(w))
+    """Hashes of the tokens of a text, in order; null without tokens."""
+    bare = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), F.lit(SPACES))
+    return F.transform(F.split(F.nullif(bare, F.lit("")), SPACE_RUN), lambda w: F.xxhash64(w))
 
 
 def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, seed, at: one row per mask and window of the token hashes in ``t``.
 
-    All masks' seeds of a text are one array of longs (mask after mask), exploded with their index.
+    No filter is put on ``t``, and its positions are exploded as outer ones: a filter, also one that Spark infers
+    below an explode, would make the tokens a second time.
     """
-    parts, at, begin = [], "CASE", "0"
+    n = F.size("t")
+    at = rows.select(*keep, "t", n.alias("_n"), F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("at"))
+    each = []
     for k, mask in enumerate(MASKS):
-        picked = ", ".join(f"get(t, i + {p})" for p, bit in enumerate(mask) if bit == "1")
-        parts.append(f"transform(sequence(0, size(t) - {len(mask)}), i -> xxhash64({k}, {picked}))")
-        end = f"{k + 1} * _n - {sum(len(m) - 1 for m in MASKS[:k + 1])}"
-        at += f" WHEN _p < {end} THEN _p - ({begin})"
-        begin = end
-    long_enough = rows.filter(F.size("t") >= MIN_SCORE)
-    dealt = long_enough.select(*keep, F.size("t").alias("_n"), F.posexplode(F.expr(f"concat({', '.join(parts)})")).alias("_p", "seed"))
-    return dealt.select(*keep, "seed", F.expr(f"{at} END").alias("at"))
+        picked = [F.get("t", F.col("at") + p) for p, bit in enumerate(mask) if bit == "1"]
+        each.append(F.when(F.col("at") <= F.col("_n") - len(mask), F.xxhash64(F.lit(k), *picked)))
+    return at.select(*keep, F.explode(F.array(*each)).alias("seed"), "at").filter("seed IS NOT NULL")
 
 
 def best_stretch(matches: str) -> str:
@@ -115,11 +114,11 @@ _TOKENS = r"""list_filter(regexp_split_to_array(
 SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS} AS t FROM documents),
 b AS (SELECT item_id, row_number() OVER () AS q, {_TOKENS} AS t FROM benchmark),
-masks(k, ps) AS (VALUES (0, [0, 1, 2, 4, 6, 7]), (1, [0, 1, 3, 4, 5, 7])),
-dw AS (SELECT r, unnest(range(1, len(t) - 6)) AS a, t FROM d WHERE len(t) >= 8),
-bw AS (SELECT q, unnest(range(1, len(t) - 6)) AS a, t FROM b WHERE len(t) >= 8),
-ds AS (SELECT r, a, k, list_transform(ps, lambda p: t[a + p]) AS s FROM dw, masks),
-bs AS (SELECT q, a, k, list_transform(ps, lambda p: t[a + p]) AS s FROM bw, masks),
+masks(k, span, ps) AS (VALUES (0, 5, [0, 2, 3, 4]), (1, 6, [0, 2, 3, 5]), (2, 6, [0, 1, 4, 5])),
+dw AS (SELECT r, unnest(range(1, len(t) + 1)) AS a, t FROM d),
+bw AS (SELECT q, unnest(range(1, len(t) + 1)) AS a, t FROM b),
+ds AS (SELECT r, a, k, list_transform(ps, lambda p: t[a + p]) AS s FROM dw, masks WHERE a + span - 1 <= len(t)),
+bs AS (SELECT q, a, k, list_transform(ps, lambda p: t[a + p]) AS s FROM bw, masks WHERE a + span - 1 <= len(t)),
 hits AS (SELECT DISTINCT ds.r, q, ds.a - bs.a AS shift FROM ds JOIN bs USING (k, s)),
 m AS (
   SELECT r, q, doc_id, item_id, shift, i, len(b.t) AS n, CASE WHEN d.t[shift + i] = b.t[i] THEN 1 ELSE 0 END AS hit

@@ -65,9 +65,9 @@ def stretches(rows, items):
             shifts = set()
             for m in masks:
                 at = {}
-                for i in range(len(b) - 7):
+                for i in range(len(b) - m[-1]):
                     at.setdefault(tuple(b[i + k] for k in m), []).append(i)
-                for j in range(len(d) - 7):
+                for j in range(len(d) - m[-1]):
                     for i in at.get(tuple(d[j + k] for k in m), ()):
                         shifts.add(j - i)
             for s in shifts:
@@ -85,6 +85,7 @@ def test_every_accepted_stretch_has_a_seed():
     """All stretches of up to 64 tokens without a seed, as their last bits, length and substitutions."""
     masks = [(int(m, 2), len(m)) for m in decontaminate.MASKS]
     assert max(n for _, n in masks) <= decontaminate.MIN_SCORE
+    assert all("0" in m and m[0] == m[-1] == "1" and m.count("1") >= 4 for m in decontaminate.MASKS)
     keep = (1 << max(n for _, n in masks) - 1) - 1
     states = {(1, 0)}
     for length in range(1, 65):
