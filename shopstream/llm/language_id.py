@@ -40,7 +40,7 @@ TEMPER = 1 / len(GRAMS)      # overlapping n-grams aren't independent
 SMOOTHING = 0.1
 STRENGTH = 20.0              # rows that a parent's distribution is worth
 UNKNOWN = 1e-4               # prior of text in no known language
-LANGUAGES = 256              # languages a model may have; more are an error
+LANGUAGES = 256              # a model has the languages that most rows declare; a rarer tag counts as no declaration
 
 # bytes that are letters: lower-cased ASCII letters and all bytes of other characters; the rest are spaces
 _LETTER = np.full(256, 32, np.uint8)
@@ -90,17 +90,17 @@ class TextModel:
 
 
 def train(docs: DataFrame, text: str = "text", declared: str = "lang") -> TextModel:
-    """Slot counts of every declared language, over all rows."""
+    """Slot counts of the ``LANGUAGES`` languages declared most often (ties: by name), over all rows that declare them."""
     rows = docs.select(F.col(text).alias("text"), F.lower(F.regexp_extract(F.trim(declared), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1)).alias("lang"))
     rows = rows.filter("lang != ''")
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in known]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(texts_of(batch.column("text")), batch.column("lang").to_pylist()):
                 if lang not in told:
-                    if len(told) == LANGUAGES:
-                        raise ValueError(f"more than {LANGUAGES} declared languages")
                     told[lang] = np.zeros(FEATURES, np.int64)
                 told[lang] += np.bincount(slots(text), minlength=FEATURES)
         for lang, counts in told.items():

@@ -7,7 +7,8 @@ Whole rounds of a source are taken as often as its budget holds them, the rest i
 Documents are never truncated: the document on the cut is taken when that ends nearer to the target.
 
 Defined results: null or blank text has size 0 and takes 0.  A null source comes after all others.
-Documents with equal ids are ordered by size, and equal rows are taken or left together.  An empty table
+Documents with equal ids (also null ones) are ordered by size, then by the text's md5; rows
+equal in all of these are taken or left together.  An empty table
 gives an empty result.  Further input columns pass through; ``size``, ``source_size``, ``target``,
 ``copies`` and ``taken`` hold the operator's values.
 """
@@ -79,7 +80,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     keep = [c for c in docs.columns if c not in ADDED]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     range_key = F.conv(F.substring(key, 1, PREFIX_BITS // 4), 16, 10).cast("long")
-    slim = settled(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
+    tie = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    slim = settled(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), tie.alias("_tie")))
     targets = settled(source_targets(slim, weights, share, max_epochs).withColumn(
         "rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
@@ -97,20 +99,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
            .select("_source", F.col("_range").alias("_cut"), "_before", "rest"))
 
     # the cut ranges alone, document by document; the last one taken is that whose half the budget reaches
-    near = keyed.select("source", "_range", "_key", "doc_id", "size").join(
+    near = keyed.select("source", "_range", "_key", "doc_id", "size", "_tie").join(
         cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_cut")))
-    order = W.partitionBy("_source").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("_source").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     reached = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
     near = near.withColumn("_taken", reached <= F.col("rest"))
-    cuts = near.groupBy("_source", "_cut").agg(F.max(F.when(F.col("_taken"), F.struct("_key", "doc_id", "size"))).alias("_end"))
+    cuts = near.groupBy("_source", "_cut").agg(F.max(F.when(F.col("_taken"), F.struct("_key", "doc_id", "size", "_tie"))).alias("_end"))
     plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
     plan = settled(plan.select("source", "source_size", "target", "rounds", "rest", "ranges", "_cut", "_end"))
 
-    own = docs.select(*keep, text_size(F.col("text")).alias("size"), key.alias("_key"), range_key.alias("_rk"))
+    own = docs.select(*keep, text_size(F.col("text")).alias("size"), key.alias("_key"), range_key.alias("_rk"), tie.alias("_tie"))
     own = salted_lookup(own, plan, "source", F.col("doc_id"))
     here = F.shiftright(F.col("_rk") * F.col("ranges"), PREFIX_BITS)
     inside = (here < F.col("_cut")) | (
-        (here == F.col("_cut")) & (F.struct("_key", "doc_id", "size") <= F.col("_end")))
+        (here == F.col("_cut")) & (F.struct("_key", "doc_id", "size", "_tie") <= F.col("_end")))
     copies = F.col("rounds") + F.when((F.col("rest") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     return own.select(*keep, "size", "source_size", "target", copies.cast("long").alias("copies"),
                       (copies * F.col("size")).cast("long").alias("taken"))
@@ -124,7 +126,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS tie
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -146,7 +148,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds FROM t
 ), a AS (
   SELECT doc_id, size, source_size, target, rounds, target - rounds * source_size AS rest,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size, tie
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 )

@@ -8,9 +8,13 @@ and of the source's block and payload.  Rows never leave their task; nothing is
 
 Record identifiers are name-based: the same response always gives the same identifiers.
 
+The payload digest is that of the payload as transferred, before its content coding is undone.
+
 Defined results: a null or empty block is a response without header fields and with an empty payload; its
 records have an empty text and no links.  Bytes that aren't valid in the declared character set (UTF-8
-without one) become replacement characters.  Repeated responses give repeated records.  An empty table
+without one) become replacement characters.  A body that is labelled chunked but isn't, or whose chunks are damaged,
+is kept from there on as it came; a truncated file gives the records before the damage.  Kept columns named like
+a record's field give way to it.  Repeated responses give repeated records.  An empty table
 gives an empty result.  ``url`` null: the target is the empty string.
 """
 
@@ -50,43 +54,77 @@ def record_id(kind: str, *parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, ' '.join([kind, *map(str, parts)]))}>"
 
 
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, header fields and payload (decoded from its transfer and content coding) of a response."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    if not head.startswith(b"HTTP/"):
+    """Status line, header fields and payload (decoded from its transfer coding) of a response.
+
+    Lines may end in a bare line feed.  A block that doesn't begin like a response is all payload.
+    """
+    if not block.startswith(b"HTTP/"):
         return "", {}, block
-    lines = head.decode("latin-1").split("\r\n")
+    end = HEAD_END.search(block)
+    head, body = (block[:end.start()], block[end.end():]) if end else (block, b"")
+    lines = re.split(r"\r?\n", head.decode("latin-1"))
     fields: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if colon:
             name, value = name.strip(), value.strip()
             fields[name] = f"{fields[name]}, {value}" if name in fields else value
-    low = {k.lower(): v.lower() for k, v in fields.items()}
-    if "chunked" in low.get("transfer-encoding", ""):
+    if "chunked" in _field(fields, "transfer-encoding"):
         body = unchunked(body)
-    try:
-        if "gzip" in low.get("content-encoding", ""):
-            body = gzip.decompress(body)
-        elif "deflate" in low.get("content-encoding", ""):
-            body = zlib.decompress(body)
-    except (OSError, EOFError, zlib.error):
-        pass                                                          # a damaged coding is kept as it came
     return lines[0], fields, body
 
 
+def _field(fields: dict[str, str], name: str) -> str:
+    return next((v.lower() for k, v in fields.items() if k.lower() == name), "")
+
+
+def decoded_content(payload: bytes, fields: dict[str, str]) -> bytes:
+    """The payload decoded from its content coding; a damaged coding is read up to the damage, or kept as it came."""
+    coding = _field(fields, "content-encoding")
+    if "gzip" in coding:
+        return inflated(payload) or payload
+    if "deflate" in coding:
+        try:
+            return zlib.decompress(payload)
+        except zlib.error:
+            return payload
+    return payload
+
+
 def unchunked(body: bytes) -> bytes:
+    """The chunks' data; from where no chunk begins as it should, the bytes as they came."""
     out, at = [], 0
     while True:
-        end = body.find(b"\r\n", at)
-        try:
-            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else 0
-        except ValueError:
-            size = 0
-        if size <= 0:
+        end = body.find(b"\n", at)
+        size = re.fullmatch(rb"\s*([0-9A-Fa-f]+)\s*(;.*)?", body[at:end].rstrip(b"\r")) if end >= 0 else None
+        if size is None:
+            return b"".join(out) + body[at:]
+        n = int(size[1], 16)
+        if n == 0:
             return b"".join(out)
-        out.append(body[end + 2:end + 2 + size])
-        at = end + 4 + size
+        out.append(body[end + 1:end + 1 + n])
+        at = end + 1 + n
+        at += 2 if body[at:at + 2] == b"\r\n" else 1 if body[at:at + 1] == b"\n" else 0
+
+
+def inflated(data: bytes, step: int = 1 << 16) -> bytes:
+    """All gzip members; of a damaged or truncated one what comes before the damage, and nothing after it."""
+    out, reader = [], zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        piece = data[at:at + step]
+        while piece:
+            try:
+                out.append(reader.decompress(piece))
+            except zlib.error:
+                return b"".join(out)
+            piece = reader.unused_data.lstrip(b"\0") if reader.eof else b""
+            if reader.eof:
+                reader = zlib.decompressobj(31)
+    return b"".join(out)
 
 
 def page_parts(page: str) -> tuple[str, list[str], list[dict[str, str]]]:
@@ -135,9 +173,9 @@ def derivatives(source_id: str, target: str, date: str, headers: dict[str, str],
     kind = next((v for k, v in fields.items() if k.lower() == "content-type"), "")
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = decoded_content(payload, fields).decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = decoded_content(payload, fields).decode("utf-8", "replace")
     title, lines, links = page_parts(page)
     payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
     block_digest = headers.get("WARC-Block-Digest") or digest(block)
@@ -158,8 +196,8 @@ def derivatives(source_id: str, target: str, date: str, headers: dict[str, str],
 
 def derived(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of the responses with the records derived from them, two rows per response."""
-    keep = keep or []
     names = [x.split()[0] for x in RECORD.split(", ")]
+    keep = [c for c in keep or [] if c not in names]                     # the records' own fields win
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,6 +236,7 @@ def responses_of(pages: DataFrame) -> DataFrame:
 def record_bytes(r: dict) -> bytes:
     """A derived record in the WARC format, as a gzip member of its own."""
     fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]),
+              ("WARC-Refers-To-Target-URI", r["target_uri"]), ("WARC-Refers-To-Date", r["date"]),
               ("WARC-Concurrent-To", r["concurrent_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]),
               ("WARC-Block-Digest", r["block_digest"]), ("WARC-Payload-Digest", r["payload_digest"]),
               ("Content-Type", r["content_type"]), ("Content-Length", str(r["content_length"]))]
@@ -206,21 +245,29 @@ def record_bytes(r: dict) -> bytes:
 
 
 def parsed_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a WARC file, compressed or not."""
+    """(header fields, block) of each record of a WARC file, compressed or not.
+
+    A damaged file ends at the damage: earlier records are whole, and one that breaks off is given as far as
+    it goes with the field ``WARC-Truncated``.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflated(data)
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
+        end = HEAD_END.search(data, start)
+        if end is None:
             return
         fields = {}
-        for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in re.split(r"\r?\n", data[start:end.start()].decode("utf-8", "replace"))[1:]:
             name, _, value = line.partition(":")
             fields[name.strip()] = value.strip()
-        size = int(fields.get("Content-Length") or 0)
-        yield fields, data[end + 4:end + 4 + size]
-        at = end + 4 + size
+        told = fields.get("Content-Length", "")
+        size = int(told) if re.fullmatch(r"[0-9]{1,18}", told) else 0
+        block = data[end.end():end.end() + size]
+        if len(block) < size:
+            fields.setdefault("WARC-Truncated", "unspecified")
+        yield fields, block
+        at = end.end() + size
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

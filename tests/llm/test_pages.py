@@ -7,6 +7,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopstream.llm import language_id, url_filter, warc
 from shopstream.llm.main_text import extract_main_text, main_text
@@ -168,10 +169,76 @@ def test_language_evidence(spark):
     df = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS confidence")
     model = language_id.train(df.filter("doc_id < 40").selectExpr("repeat(text, 60) AS text", "lang"))
     assert model.languages == ["de", "en"]
-    from pyspark.sql import functions as F
     got = language_id.identified(df, model, "text", F.col("lang"), F.col("source"), language_id.suffix_of(F.col("source"))).orderBy("doc_id").collect()
     assert [r["lang_id"] for r in got] == ["en"] * 20 + ["de"] * 20 + ["de", "de", "en", "de", "de", "und", "und", "und", "und"]
     assert [r["rejected"] for r in got] == [False] * 45 + [True] * 4
     none = language_id.train(df.filter("lang IS NULL"))
     assert {r["lang_id"] for r in language_id.identified(df, none, "text", F.col("lang"), F.col("source"), F.col("source")).collect()} == {"und"}
     assert language_id.identified(df.limit(0), model, "text", F.col("lang"), F.col("source"), F.col("source")).collect() == []
+
+
+def chunked(*parts: bytes) -> bytes:
+    return b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize("body,payload", [
+    (chunked(b"<p>one", b" two</p>"), b"<p>one two</p>"),
+    (b"6;x=y\n<p>one\n4\n two\n0\n\n", b"<p>one two"),
+    (b"<p>plain, only labelled chunked</p>", b"<p>plain, only labelled chunked</p>"),
+    (b"6\r\n<p>one\r\nBROKEN\r\nrest</p>", b"<p>oneBROKEN\r\nrest</p>"),
+    (b"ffff\r\ncut off", b"cut off"),
+    (b"", b""),
+])
+def test_chunked_bodies_lose_nothing(body, payload):
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    assert warc.http_parts(head + body)[2] == payload
+
+
+def test_bare_line_feeds_and_missing_heads():
+    assert warc.http_parts(b"HTTP/1.0 200 OK\nContent-Type: text/html\n\n<p>x\r\n\r\ny") == (
+        "HTTP/1.0 200 OK", {"Content-Type": "text/html"}, b"<p>x\r\n\r\ny")
+    assert warc.http_parts(b"<p>no head") == ("", {}, b"<p>no head")
+    assert warc.http_parts(b"HTTP/1.0 204 No") == ("HTTP/1.0 204 No", {}, b"")
+
+
+def test_payload_digest_is_of_the_transferred_payload():
+    packed = gzip.compress(b"<title>T</title><p>text</p>", mtime=0)
+    for body, text in ((packed, "text"), (packed[:-12], None), (b"<p>not packed</p>", "not packed")):
+        rows = warc.derivatives("id", "u", "d", {}, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + body)
+        names = [x.split()[0] for x in warc.RECORD.split(", ")]
+        got = [dict(zip(names, r)) for r in rows]
+        assert all(r["payload_digest"] == warc.digest(body) for r in got)
+        assert text is None or text in got[1]["block"]
+
+
+def test_damaged_files_keep_earlier_records():
+    records = [b"WARC/1.1\r\nWARC-Record-ID: %d\r\nContent-Length: 300000\r\n\r\n" % i + bytes(str(i), "ascii") * 300000 + b"\r\n\r\n" for i in range(4)]
+    members = [gzip.compress(r, 1, mtime=0) for r in records]
+    whole = b"".join(members)
+    assert [len(b) for _, b in warc.parsed_records(whole)] == [300000] * 4
+    assert [len(b) for _, b in warc.parsed_records(whole[:-len(members[-1])] + members[-1][:40])][:3] == [300000] * 3
+    broken = whole[:len(members[0])] + b"\x1f\x8bgarbage" + whole[len(members[0]):]
+    assert [h["WARC-Record-ID"] for h, _ in warc.parsed_records(broken)] == ["0"]
+    cut = b"".join(records)[:-200000]
+    fields, block = list(warc.parsed_records(cut))[-1]
+    assert fields["WARC-Truncated"] == "unspecified" and len(block) < 300000
+    assert list(warc.parsed_records(b"WARC/1.1\nContent-Length: x\n\nWARC/1.1\nContent-Length: 2\n\nab"))[1][1] == b"ab"
+
+
+def test_kept_columns_named_like_fields_give_way(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id long, url string, html string")
+    got = warc.derived(warc.responses_of(pages), ["page_id", "date", "record_id"])
+    assert got.columns.count("date") == 1 and got.columns.count("record_id") == 1 and got.count() == 2
+    assert warc.derived(warc.responses_of(pages.limit(0)), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_more_declared_languages_than_a_model_has(spark, monkeypatch, partitions):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [("the cat and the dog", "en")] * 5 + [("le chat et le chien", "fr")] * 4 + [("der hund", "de")] * 3 + [("x", f"a{c}") for c in "bcdef"]
+    rows += [("word " * 30_000, "en"), (None, "en"), ("", None), ("text", "no tag at all")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(partitions)
+    model = language_id.train(docs)
+    assert model.languages == ["en", "fr"]
+    out = language_id.identified(docs, model, "text", F.col("lang"), F.lit("host"), F.lit("suffix")).collect()
+    assert len(out) == len(rows) and {r["lang_id"] for r in out} <= {"en", "fr", "und"}

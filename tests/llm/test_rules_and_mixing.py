@@ -96,3 +96,10 @@ def test_ordinals_are_ranks(spark):
     df = spark.createDataFrame([(s,) for s in ["b", "a", None, "Z", "é", "a", "aa"]], "source string")
     got = {r["source"]: r["n"] for r in mixing.ordinals(df, "source", "n").collect()}
     assert got == {"Z": 0, "a": 1, "aa": 2, "b": 3, "é": 4, None: 5}
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_are_cut_at_the_target(spark, doc_id):
+    rows = [(doc_id, f"three words {i}", "en", "a", 0) for i in range(40)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == 40 and got[0]["target"] == 180 and abs(sum(r["taken"] for r in got) - 180) <= 3
