@@ -42,9 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    # rows are told apart by id and text: a bad text doesn't take others of its id (or without one) along
+    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select(row.alias("doc_id"), "text")
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark", "item_id", "text"))
     bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*COLUMNS)
+    return docs.join(bad, row == F.col("_bad"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
