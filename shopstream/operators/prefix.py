@@ -18,15 +18,18 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], parti
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = "part"
+    while part in df.columns:
+        part = f"_{part}"
     values = {f"_v_{name}": value for name, value in sums.items()}
     placed = (df.withColumns(values).repartitionByRange(n, *order)
-              .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
-    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_part").alias("_of"), *[F.sum(v).over(before).alias(f"_o{v}") for v in values])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+              .withColumn(part, F.spark_partition_id()).checkpoint(eager=True))
+    totals = placed.groupBy(part).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(part).alias("_of"), *[F.sum(v).over(before).alias(f"_o{v}") for v in values])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumns({f"_s{v}": F.sum(v).over(inside) for v in values})
-    rows = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    rows = F.broadcast(offsets).join(rows, F.col(part) == F.col("_of"))
     return rows.select(*df.columns, *[
         (F.coalesce(F.col(f"_s_v_{name}"), F.lit(0)) + F.coalesce(F.col(f"_o_v_{name}"), F.lit(0))).alias(name)
         for name in sums])

@@ -85,3 +85,9 @@ def test_running_revenue_runs_in_the_jvm(spark):
     paid = spark.createDataFrame([(1, "a", T0, 1.0)], "seq long, event_id string, ts timestamp_ntz, amount double")
     plan = revenue_running(paid)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_running_sums_keep_a_column_named_like_the_range(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(50)], "i long, part string")
+    got = {r["i"]: (r["part"], r["s"]) for r in running_sums(df, ["i"], {"s": F.lit(1)}, 3).collect()}
+    assert got == {i: ("x", i + 1) for i in range(50)}
