@@ -36,10 +36,26 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS, F.lit(0))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Spark removes a query's shuffle files at its end where this was set when its plan was made.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder; later reads survive lost executors.
+
+    With ``drop_shuffles`` the shuffle files made on the way are removed as soon as the rows are written,
+    not when the driver collects garbage.  Nothing reads them again: the result's lineage is cut.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not drop_shuffles:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -182,7 +182,8 @@ def ask(rows: DataFrame, parts: int, message: Callable[[dict], tuple[np.ndarray,
 
     release_shuffles(rows.sparkSession)
     sent = rows.mapInArrow(send, "part int, chunk long, keys binary, values array<binary>")
-    return settled(sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(reply, ANSWER))
+    return settled(sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(reply, ANSWER),
+                   drop_shuffles=True)
 
 
 def read_answers(answers: list[dict] | None, level: int, dtypes: list) -> list[np.ndarray]:
@@ -212,17 +213,21 @@ def adder(level: int, min_count: int) -> Callable:
     return answer
 
 
-def weigher(keys: np.ndarray, index: np.ndarray, values: list[np.ndarray]) -> tuple:
-    """Adds up, per history, seen probability mass of both orders; chunks get log10 alpha and the reserve."""
-    mass, lower = (np.bincount(index, weights=v, minlength=len(keys)) for v in values[:2])
-    size = np.zeros(len(keys))
-    size[index] = values[2]                                      # the history's count, equal from every sender
-    # where all a history's tokens are held undiscounted, one more is reserved for the others
-    reserve = (mass > 0) & (mass >= size - 1e-9)
-    seen = np.divide(mass, size + reserve, out=np.zeros_like(mass), where=size > 0)
-    rest = np.maximum(1 - lower, 1e-12)
-    alpha = np.where(mass > 0, (1 - seen) / rest, 1.0)
-    return [(np.log10(alpha), False), (reserve, False)], None, None
+def weigher(least: float) -> Callable:
+    """Adds up, per history, seen probability mass of both orders; chunks get log10 alpha and the reserve.
+
+    ``least``: what the lower order leaves to unseen words at the least, so that rounding can't take it below.
+    """
+    def answer(keys: np.ndarray, index: np.ndarray, values: list[np.ndarray]) -> tuple:
+        mass, lower = (np.bincount(index, weights=v, minlength=len(keys)) for v in values[:2])
+        size = np.zeros(len(keys))
+        size[index] = values[2]                                  # the history's count, equal from every sender
+        # where all a history's tokens are held undiscounted, one more is reserved for the others
+        reserve = (mass > 0) & (mass >= size - 1e-9)
+        seen = np.divide(mass, size + reserve, out=np.zeros_like(mass), where=size > 0)
+        alpha = np.where(mass > 0, (1 - seen) / np.maximum(1 - lower, least), 1.0)
+        return [(np.log10(alpha), False), (reserve, False)], None, None
+    return answer
 
 
 # --- the model ------------------------------------------------------------------------------------
@@ -328,8 +333,9 @@ def katz_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT)
         answers.append(got)
         if n > 1:
             model = Katz(stats)
+            least = model.unknown if n == 2 else np.finfo(np.float64).epsneg   # the unknown token is never seen
             answers.append(ask(with_answers(cut, answers), parts, weight_message(model, n, min_count),
-                               weigher, [np.float64, np.float64, np.float64], -n))
+                               weigher(least), [np.float64, np.float64, np.float64], -n))
     model = Katz(stats)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
