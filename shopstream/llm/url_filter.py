@@ -2,10 +2,12 @@
 
 A host's names are split into words by the most probable sequence under a unigram model (Viterbi), the
 unigrams being counted in the pages' own text.  A multinomial naive Bayes model scores the words of the
-host and the tokens of the path.  It learns from weak labels: pages that a rule judges, and pages whose
-host holds a seed word (always a block).  Each host counts once per class and token, so that one host
-with a third of all pages doesn't set the weights.  Tokens that the rules themselves are made of are no
-features.  An explicit rule's verdict always stands; other urls are blocked when their host holds a seed
+host and the tokens of the path, as often as they occur.  It learns from weak labels: pages that a rule
+judges, and pages whose host holds a seed word (always a block).  Each host counts once per class and
+token in learning, so that one host with a third of all pages doesn't set the weights.  What the rules
+look at is no feature: neither the tokens they are made of, nor the leading path segments they compare,
+whose other values (further languages, say) would count as blocked only for not being in an allow rule.
+An explicit rule's verdict always stands; other urls are blocked when their host holds a seed
 word or the model's posterior is over ``BLOCK_POSTERIOR``, with equal class priors.
 
 Defined results: a null url, or one without ``://``, has empty host and path and, without any token, the
@@ -61,6 +63,18 @@ def rule_tokens(rules=RULES) -> list[str]:
     return sorted({t for _, r in rules for t in re.split(r"[^a-z0-9]+", r.lower()) if t})
 
 
+def without(tokens: Column, words: list[str]) -> Column:
+    """An array without these words; others keep their repeats."""
+    return F.filter(tokens, lambda t: ~t.isin(words)) if words else tokens
+
+
+def path_tokens(path: Column, rules=RULES) -> Column:
+    """The path's tokens, each as often as it occurs, behind the segments that the rules compare."""
+    depth = max((len([s for s in r.split("/")[1:] if s]) for _, r in rules), default=0)
+    rest = F.regexp_replace(path, rf"^(/[^/]*){{0,{depth}}}", "") if depth else path
+    return without(F.regexp_extract_all(F.translate(rest, UPPER, LOWER), F.lit(r"([a-z0-9]*[a-z][a-z0-9]*)")), rule_tokens(rules))
+
+
 def unigrams(texts: DataFrame, column: str) -> DataFrame:
     """word, n: letter runs of the column outside of markup.  Tasks pass on bounded partial counts."""
 
@@ -126,11 +140,11 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host, words: the distinct words of each (distinct) host."""
-    named = hosts.select("host", F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(r"([a-z]+)")))).alias("name"))
+    """host, words: the words of each (distinct) host in alphabetical order, each as often as it occurs."""
+    named = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit(r"([a-z]+)"))).alias("name"))
     split = segmented(named.select("name").distinct(), counts)
     return (named.join(split, "name").select("host", F.explode("words").alias("word"))
-            .groupBy("host").agg(F.sort_array(F.collect_set("word")).alias("words")))      # bounded by the host's length
+            .groupBy("host").agg(F.sort_array(F.collect_list("word")).alias("words")))     # bounded by the host's length
 
 
 def judged(pages: DataFrame, counts: DataFrame, rules=RULES, seeds=SEED_WORDS) -> DataFrame:
@@ -140,14 +154,12 @@ def judged(pages: DataFrame, counts: DataFrame, rules=RULES, seeds=SEED_WORDS) -
     host, path = url_parts(F.col("url"))
     parsed = pages.select(*keep, host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    tokens = F.array_except(
-        F.array_distinct(F.regexp_extract_all(F.translate("path", UPPER, LOWER), F.lit(r"([a-z0-9]*[a-z][a-z0-9]*)"))),
-        F.array(*[F.lit(t) for t in rule_tokens(rules)]))
+    tokens = path_tokens(F.col("path"), rules)
     parsed = settled(parsed.select(*keep, "host", "path", rule.alias("rule"), said.alias("_said"),
                                    F.array_join(F.sort_array(tokens), " ").alias("_tokens")))
 
     words = settled(host_words(parsed.select("host").distinct(), counts))
-    words = words.withColumn("words", F.array_except("words", F.array(*[F.lit(t) for t in rule_tokens(rules)])))
+    words = words.withColumn("words", without(F.col("words"), rule_tokens(rules)))
     seeded = words.select("host", F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])).alias("seeded"))
 
     # weak labels: each (host, class, token) once
@@ -156,9 +168,9 @@ def judged(pages: DataFrame, counts: DataFrame, rules=RULES, seeds=SEED_WORDS) -
         "host", F.when(F.col("seeded"), F.lit("block")).otherwise(F.col("_said")).alias("class"), "_tokens")
     labelled = labelled.filter(F.col("class").isNotNull())
     classes = labelled.select("host", "class").distinct()
-    of_host = classes.join(words, "host").select("class", "host", F.explode("words").alias("token"))
+    of_host = classes.join(words, "host").select("class", "host", F.explode(F.array_distinct("words")).alias("token"))
     of_path = labelled.select("class", "host", F.explode(F.split("_tokens", " ")).alias("token")).filter("token != ''").distinct()
-    seen = of_host.unionByName(of_path)
+    seen = of_host.unionByName(of_path).distinct()
     is_block = (F.col("class") == "block").cast("long")
     weights = seen.groupBy("token").agg(F.sum(is_block).alias("b"), F.sum(1 - is_block).alias("a"))
     sums = weights.agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()       # three numbers

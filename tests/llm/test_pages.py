@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,44 @@ def test_url_verdicts(spark):
     assert url_filter.judged(pages.limit(0), counts).collect() == []
 
 
+def test_url_odds_equal_a_plain_multinomial_model(spark):
+    """Odds by plain counters: learning once per host, class and token; scoring as often as a token occurs."""
+    names = ("cheappills", "pillspills", "casinonews", "gardennews", "newsnews", "room")
+    urls = [f"http://{h}.{d}/{lang}/{p}" for h in names for d in ("example.org", "example.com", "example.net")
+            for lang in ("en", "de", "fr", "es") for p in ("sale/sale/7", "garden", "12", "a" * 5000 + "/x")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    text = "<p>cheap pills pills casino garden news news room example org com net</p>"
+    counts = url_filter.unigrams(spark.createDataFrame([(text,)], "html string"), "html")
+    split = {"cheappills": ["cheap", "pills"], "pillspills": ["pills", "pills"], "casinonews": ["casino", "news"],
+             "gardennews": ["garden", "news"], "newsnews": ["news", "news"], "room": ["room"]}
+
+    def tokens(url):
+        host, _, path = url.split("://")[1].partition("/")
+        behind = path.split("/")[1:]
+        return split[host.split(".")[0]], [s for s in behind if any(c.isalpha() for c in s)]
+
+    got = {r["url"]: r for r in url_filter.judged(pages, counts).collect()}
+    assert len(got) == len(urls)
+    seen = set()
+    for u, r in got.items():
+        words, path = tokens(u)
+        assert r["host_words"] == sorted(words)
+        cls = "block" if set(words) & set(url_filter.SEED_WORDS) else r["verdict"] if r["by_rule"] else None
+        seen |= {(cls, r["host"], t) for t in words + path if cls}
+    n = {c: Counter(t for k, _, t in seen if k == c) for c in ("block", "allow")}
+    v = len(set(n["block"]) | set(n["allow"]))
+    p = lambda c, t: math.log((n[c][t] + 1) / (sum(n[c].values()) + v + 1))     # noqa: E731
+    known = set(n["block"]) | set(n["allow"])
+    for u, r in got.items():
+        words, path = tokens(u)
+        want = sum(p("block", t) - p("allow", t) for t in words + path if t in known)
+        assert r["log_odds"] == pytest.approx(want, abs=1e-6)
+    # the language in a path decides nothing beside the rules
+    for lang in ("en", "de", "fr"):
+        for u in (u for u in urls if "/es/" in u):
+            assert got[u]["log_odds"] == got[u.replace("/es/", f"/{lang}/")]["log_odds"]
+
+
 def test_language_evidence(spark):
     from cases import DOCUMENTS
     rows = [(i, t, l, s, 0) for i, (t, l, s) in enumerate([
