@@ -6,6 +6,7 @@ with the tables.  ``__spark_entry__`` only re-exports this registry.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from ..operators import active_users, counts, feed, products, revenue, trend
 from ..operators.enrich import enrich_events
 from ..operators.events import dedupe_events, purchases, with_amount
 from . import dashboard, streams, timeline
-from ..sources import json_events as wire
+from ..sources import archive, json_events as wire
 from ..sources.placement import partition_of
 from ..sources.profile import field_profile
 from ..sources.adapters import sales, shop_events
@@ -24,9 +25,11 @@ from ..sources.tables import read_table
 from ..schema import PURCHASE_COMPLETED
 from ..session import ensure_checkpoint_dir
 from ..streaming import processor
+from ..streaming.replay import run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+ARCHIVE_DAYS = 7             # that archive_user_history goes back, the newest included
 KAFKA_PARTITIONS = 12        # of the topic that kafka_partitions places events on
 STREAM_FILES = 8             # the stream queries replay the events from so many files
 
@@ -71,6 +74,17 @@ def _kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.to_wire(shop_events(spark, sf_dir))
 
 
+def _archive_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last week of the newest day's busiest users, looked up in the compacted archive."""
+    path = os.path.join(run_folder(spark, "archive"), "events")
+    archive.compact(shop_events(spark, sf_dir, with_names=False).select("seq", "event_id", "event_type", "user_id", "ts"), path)
+    stored = archive.read_archive(spark, path)
+    day = stored.agg(F.max("event_date")).first()[0]
+    first = day and day - dt.timedelta(days=ARCHIVE_DAYS - 1)
+    found = archive.user_history(stored, archive.busiest_users(stored, day) if day else [], first, day)
+    return found.select("event_id", "event_type", "user_id", "ts")
+
+
 def _kafka_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: the topic partition of every event, by the producer's hash of its key (the user id)."""
     events = shop_events(spark, sf_dir, with_names=False)
@@ -312,6 +326,7 @@ def queries() -> dict[str, Query]:
         # wire format, validation, sources
         "kafka_rows": _kafka_rows,
         "kafka_partitions": _kafka_partitions,
+        "archive_user_history": _archive_user_history,
         "wire_field_profile": _wire_field_profile,
         "parse_events": _parse_events,
         "valid_events": _valid_events,

@@ -508,6 +508,15 @@ FROM c LEFT JOIN u USING (as_of) LEFT JOIN p USING (as_of) LEFT JOIN f USING (as
 
 
 # murmur2 of the key's bytes, word by word; ids are ASCII digits
+ARCHIVE_USER_HISTORY = with_shop(""",
+newest AS (SELECT max(CAST(ts AS DATE)) AS d FROM shop_events),
+busiest AS (
+  SELECT user_id FROM shop_events, newest WHERE CAST(ts AS DATE) = d AND user_id IS NOT NULL
+  GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10
+)
+SELECT event_id, event_type, user_id, ts FROM shop_events, newest
+WHERE CAST(ts AS DATE) BETWEEN d - 6 AND d AND user_id IN (SELECT user_id FROM busiest)""")
+
 KAFKA_PARTITIONS = with_shop("""
 , b AS (
   SELECT event_id, user_id, list_transform(string_split(user_id, ''), lambda c: ascii(c)::HUGEINT) AS x, strlen(user_id) AS n FROM shop_events
@@ -589,6 +598,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_dedup": DEDUP_MISSING_IDS,
         "kafka_rows": KAFKA_ROWS,
         "kafka_partitions": KAFKA_PARTITIONS,
+        "archive_user_history": ARCHIVE_USER_HISTORY,
         "wire_field_profile": WIRE_FIELD_PROFILE,
         "parse_events": PARSE_EVENTS,
         "valid_events": VALID_EVENTS,
