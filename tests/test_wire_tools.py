@@ -87,3 +87,30 @@ def test_field_profile(spark):
     got = {(r["path"], r["kind"]): r["n"] for r in field_profile(df).collect()}
     assert got == dict(want)
     assert field_profile(df.limit(0)).collect() == []
+
+
+def test_field_profile_reads_each_message_once(spark):
+    """Six levels deep, and still one reading of the messages: they are counted by shape, the levels open shapes alone."""
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda text: read.add(1) or text).asNondeterministic()
+    texts = [json.dumps({"id": i, "name": f"n{i}", "in": [{"a": [{"b": -i / 7}]}] * (i % 3)}) for i in range(200)]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string").repartition(4).select(seen("value").alias("value"))
+    want = Counter()
+    for t in texts:
+        walk(json.loads(t), "$", want)
+    assert {(r["path"], r["kind"]): r["n"] for r in field_profile(raw).collect()} == dict(want)
+    assert read.value == len(texts)
+
+
+def test_field_profile_of_odd_texts(spark):
+    """Quotes, colons, digits and escapes in names and values; spaces; junk after a document, which the parser leaves unread."""
+    docs = [{'q"1:2': 'a"b: 3', "12": "\\", "": [1, -2.5e-3, ""], "\\": "\\\"", "x\ty": "12"}, {"a:": {"b :": ": "}}, ["", 0, "\x01", ":\x01"],
+            {"\x01": "\x01"}, {"long": '\\"' * 20_000}, {"k" * 3000: [[], {}, [None, True]]}, "a: 1", -0.0, [-1, 1e30]]
+    texts = [json.dumps(d) for d in docs] + [json.dumps(d, ensure_ascii=False, indent=1, separators=(" , ", " :\n ")) for d in docs]
+    rest = [('{"a":1} {"b', {"a": 1}), ('{"a":"\\u0031\\/"}x"', {"a": "1/"}), ('"a" : 1', "a"), ("1 2", 1), ("[1]2", [1]), ('{"b":1,"b":"x"}', {"b": "x"})]
+    broken = ['{"a":"\x01"}', "{'a':1}", '{"a":01}', '{"a":1', '["a" 1]', "1x", "\x010", '{"a":+1}', "[" * 2000 + "]" * 2000, "1" * 2000]
+    want = Counter({("$", "malformed"): len(broken)})
+    for doc in [json.loads(t) for t in texts] + [d for _, d in rest]:
+        walk(doc, "$", want)
+    df = spark.createDataFrame([(t,) for t in texts + [t for t, _ in rest] + broken], "value string").repartition(3)
+    assert {(r["path"], r["kind"]): r["n"] for r in field_profile(df).collect()} == dict(want)
