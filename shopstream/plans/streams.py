@@ -20,12 +20,16 @@ FILES = 8                    # a replay's files, one or two to a micro-batch
 
 
 def stream_active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global sessions from keyed state with event-time timers; the open one is read from the state store."""
+    """Global sessions from keyed state with event-time timers; the open one is read from the state store.
+
+    The replay follows event time: the state drops rows that come later than the watermark, and ids may not ascend with time.
+    """
     run = run_folder(spark, "active-sessions")
     out, checkpoint = os.path.join(run, "pieces"), os.path.join(run, "checkpoint")
     events = shop_events(spark, sf_dir, with_names=False).select("seq", "user_id", "ts")
-    with state_conf(spark):
-        pieces = idle_state.session_pieces(replay(events, os.path.join(run, "source"), FILES, files_per_batch=2))
+    with state_conf(spark, keys=idle_state.SHARDS):
+        # several files to a batch: as many tasks write and read them
+        pieces = idle_state.session_pieces(replay(events, os.path.join(run, "source"), 4 * FILES, F.col("ts"), files_per_batch=8))
         idle_state.start_pieces(pieces, out, checkpoint).awaitTermination()
     closed = spark.read.schema(idle_state.PIECES).parquet(out)
     return idle_state.sessions_of_pieces(closed.unionByName(idle_state.open_pieces(spark, checkpoint)), events)

@@ -10,6 +10,10 @@ any two pieces less than a gap apart belong to one session, so a second stage jo
 into sessions and counts the distinct users of each (``sessions_of_pieces``).  The open session needs no end
 of input: its pieces are read out of the state store (``open_pieces``).
 
+A micro-batch appends its users to the state packed in arrays, a few calls however many users it brings, and reads
+nothing back.  When the state holds ``SLACK`` more than twice what it held after its last merge, its users are
+merged: it stays within about twice the piece's users, and a merge's work is shared by the appends since the last.
+
 A user's events are dealt by user and minute, so that one very busy user is spread as well.  Events later than
 the watermark are dropped by Spark; the snapshot processor (``processor``) is the path that loses none.
 """
@@ -28,56 +32,66 @@ from ..operators.timecols import epoch_micros, from_micros
 from ..schema import ACTIVE_GAP_SECONDS, UNKNOWN
 
 SHARDS = 32
-PIECES = "shard int, user_id string, lo bigint, hi bigint, n bigint"
 _COLUMNS = ["shard", "user_id", "lo", "hi", "n"]
+PACK = 10_000                # users of one packed entry
+SLACK = 20_000               # users the state may hold unmerged whatever the piece's size
+PIECES = "shard int, user_id string, lo bigint, hi bigint, n bigint"
 
 
 def _processor(gap_seconds: int) -> StatefulProcessor:
     gap = gap_seconds * 1_000_000
 
     class OpenPiece(StatefulProcessor):
-        """State of a shard: ``bounds`` (lo, hi in epoch microseconds) and ``members`` (user -> events)."""
+        """State of a shard: ``bounds`` (lo, hi in epoch microseconds; users held, and held after the last merge)
+        and ``members`` (users and their events, packed; a user may stand in several entries)."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.bounds = handle.getValueState("bounds", "lo bigint, hi bigint")
-            self.members = handle.getMapState("members", "user_id string", "n bigint")
+            self.bounds = handle.getValueState("bounds", "lo bigint, hi bigint, held bigint, merged bigint")
+            self.members = handle.getListState("members", "user_ids array<string>, ns array<bigint>")
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows)).sort_values("us")           # a shard's part of one micro-batch
-            runs = [part for _, part in batch.groupby((batch["us"].diff() >= gap).cumsum(), sort=True)]
-            lo, hi = self.bounds.get() if self.bounds.exists() else (None, None)
+            batch["run"] = (batch["us"].diff() >= gap).cumsum()       # events with gaps under the limit
+            runs = batch.groupby("run")["us"].agg(lo="min", hi="max")
+            counts = batch.groupby(["run", "user_id"]).size().rename("n").reset_index().join(runs, on="run")
+            lo, hi, held, merged = self.bounds.get() if self.bounds.exists() else (None, None, 0, 0)
             before = hi
-            for i, part in enumerate(runs):
-                first, last = int(part["us"].iloc[0]), int(part["us"].iloc[-1])
-                counts = part.groupby("user_id").size()
-                if lo is not None and last <= lo - gap:               # out of order: a piece of its own
-                    yield self._rows(key, first, last, counts.items())
-                    continue
-                if lo is not None and first >= hi + gap:              # the open piece is over
-                    yield self._close(key, lo, hi)
-                    lo = hi = None
-                if lo is not None:
-                    first, last = min(lo, first), max(hi, last)
-                if i + 1 < len(runs) and int(runs[i + 1]["us"].iloc[0]) >= last + gap:
-                    if lo is not None:                                # over within the batch: never stored
-                        yield self._close(key, first, last)
-                        lo = hi = None
-                    yield self._rows(key, first, last, counts.items())
-                    continue
-                lo, hi = first, last
-                for user, n in counts.items():
-                    old = self.members.getValue((user,))
-                    self.members.updateValue((user,), (int(n) + (old[0] if old else 0),))
+            if lo is None:
+                early, late = counts["run"] < 0, counts["run"] >= 0
+            else:                                                     # runs lie a gap apart: they extend the open piece, not each other
+                early, late = counts["hi"] <= lo - gap, counts["lo"] >= hi + gap
+            joined = counts[~early & ~late]
+            if len(joined):
+                lo, hi = min(lo, int(joined["lo"].min())), max(hi, int(joined["hi"].max()))
+            joined = joined.groupby("user_id")["n"].sum()
+            over = early                                              # out of order: pieces of their own
+            if late.any():
+                if lo is not None:                                    # the open piece is over
+                    yield self._close(key, lo, hi, joined)
+                over = early | (late & (counts["run"] != counts["run"].iloc[-1]))   # over within the batch: never stored
+                last = counts[counts["run"] == counts["run"].iloc[-1]]
+                lo, hi, held, merged = int(last["lo"].iloc[0]), int(last["hi"].iloc[0]), 0, 0
+                joined = last.set_index("user_id")["n"]
+            if over.any():
+                yield counts[over].assign(shard=key[0])[_COLUMNS]
+            held += len(joined)
+            if held > 2 * merged + SLACK:
+                joined = self._members(joined)
+                self.members.clear()
+                held = merged = len(joined)
+            for at in range(0, len(joined), PACK):
+                pack = joined.iloc[at:at + PACK]
+                self.members.appendValue((pack.index.tolist(), pack.tolist()))
             if before is not None and before != hi:
                 self.handle.deleteTimer(self._expiry(before))
             if before != hi:
                 self.handle.registerTimer(self._expiry(hi))
-            self.bounds.update((lo, hi))
+            self.bounds.update((lo, hi, held, merged))
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
             if self.bounds.exists():
-                lo, hi = self.bounds.get()
+                lo, hi = self.bounds.get()[:2]
                 if self._expiry(hi) <= expiredTimerInfo.getExpiryTimeInMs():
                     yield self._close(key, lo, hi)
                     self.bounds.clear()
@@ -88,13 +102,15 @@ def _processor(gap_seconds: int) -> StatefulProcessor:
         def _expiry(self, hi: int) -> int:
             return -(-(hi + gap) // 1000)
 
-        def _close(self, key: Any, lo: int, hi: int) -> pd.DataFrame:
-            out = self._rows(key, lo, hi, [(k[0], v[0]) for k, v in self.members.iterator()])
+        def _close(self, key: Any, lo: int, hi: int, more: pd.Series | None = None) -> pd.DataFrame:
+            users = self._members(more)
             self.members.clear()
-            return out
+            return pd.DataFrame({"shard": key[0], "user_id": users.index, "lo": lo, "hi": hi, "n": users.to_numpy()})[_COLUMNS]
 
-        def _rows(self, key: Any, lo: int, hi: int, counts: Any) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], user, lo, hi, int(n)) for user, n in counts], columns=_COLUMNS)
+        def _members(self, more: pd.Series | None = None) -> pd.Series:
+            """Events by user: those held, where a user may stand several times, and ``more``."""
+            packs = [pd.Series(ns, index=users, dtype="int64") for users, ns in self.members.get()]
+            return pd.concat(packs + ([] if more is None else [more])).groupby(level=0).sum()
 
     return OpenPiece()
 
@@ -120,13 +136,15 @@ def start_pieces(pieces: DataFrame, path: str, checkpoint: str, available_now: b
 
 
 def open_pieces(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The pieces still open, out of the state store of the last committed batch."""
+    """The pieces still open, out of the state store of the last committed batch; a user may come in several rows."""
     def state(name: str) -> DataFrame:
         return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
     bounds = state("bounds").select(F.col("key.shard").alias("shard"), "value.lo", "value.hi")
-    members = state("members").select(F.col("key.shard").alias("shard"), "user_map_key.user_id", "user_map_value.n")
-    return members.join(bounds, "shard").select(*_COLUMNS)
+    packs = state("members").select(F.col("key.shard").alias("shard"), "list_element.user_ids", "list_element.ns")
+    # a row per shard; the users are opened after the join, which then moves packs
+    return packs.join(F.broadcast(bounds), "shard").select("shard", "lo", "hi", F.inline(F.arrays_zip("user_ids", "ns"))).select(
+        "shard", F.col("user_ids").alias("user_id"), "lo", "hi", F.col("ns").alias("n"))
 
 
 def sessions_of_pieces(pieces: DataFrame, events: DataFrame, gap_seconds: int = ACTIVE_GAP_SECONDS) -> DataFrame:

@@ -6,12 +6,15 @@ import datetime as dt
 import glob
 import os
 import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shopstream.operators import active_users, revenue
 from shopstream.operators.events import purchases
+from shopstream.plans import streams
 from shopstream.sources import json_events as wire
 from shopstream.streaming import carts, corrections, dedup, idle_state, processor
 from shopstream.streaming.replay import read_arrivals, replay, state_conf, write_arrivals
@@ -77,6 +80,86 @@ def test_closed_pieces_leave_the_state(spark, scratch):
     assert spark.read.schema(idle_state.PIECES).parquet(out).count() >= 38
 
 
+class Held:
+    """State of one key in plain Python; ``calls`` counts what goes to the state."""
+
+    def __init__(self):
+        self.value, self.packs, self.timers, self.calls = None, [], set(), 0
+
+    def getValueState(self, name, schema):
+        def update(value):
+            self.value, self.calls = value, self.calls + 1
+
+        return types.SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=update, clear=lambda: update(None))
+
+    def getListState(self, name, schema):
+        def append(pack):
+            self.packs, self.calls = self.packs + [pack], self.calls + 1
+
+        def get():
+            self.calls += 1
+            return iter(self.packs)
+
+        return types.SimpleNamespace(get=get, appendValue=append, clear=lambda: setattr(self, "packs", []))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("seed,steps", [(1, [0, 1, 2]), (2, [0, 5, 60, 299, 300, 301]), (3, [0, 1, 1, 1, 1, 1, 1, 1, 900])])
+def test_a_batch_makes_few_state_calls(monkeypatch, seed, steps):
+    """30 batches of 400 rows, rows out of order over batches: pieces as in a plain sweep, calls by batch and not by user."""
+    monkeypatch.setattr(idle_state, "SLACK", 100)
+    rng = random.Random(seed)
+    second, seen = 0, []
+    for _ in range(12_000):
+        second += rng.choice(steps)
+        seen.append((second, f"u{rng.randrange(600)}"))
+    order = sorted(range(len(seen)), key=lambda i: i + rng.choice([0, 0, 0, 500]))
+    us = [round((T0 + dt.timedelta(seconds=s) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for s, _ in seen]
+    state, out = Held(), []
+    processor_ = idle_state._processor(300)
+    processor_.init(state)
+    for at in range(0, len(order), 400):
+        part = pd.DataFrame({"us": [us[i] for i in order[at:at + 400]], "user_id": [seen[i][1] for i in order[at:at + 400]]})
+        state.calls = 0
+        out += list(processor_.handleInputRows((7,), iter([part[:150], part[150:]]), None))
+        assert state.calls <= 4 and len(state.timers) == 1
+        users = [u for pack, _ in state.packs for u in pack]
+        assert len(users) <= 2 * len(set(users)) + 100
+    ended = types.SimpleNamespace(getExpiryTimeInMs=lambda: max(state.timers))
+    out += list(processor_.handleExpiredTimer((7,), None, ended))
+    assert state.value is None and not state.packs and len(out) <= 61     # at most two frames a batch, however many pieces
+    pieces = pd.concat(out)
+    assert pieces.columns.tolist() == ["shard", "user_id", "lo", "hi", "n"] and set(pieces["shard"]) == {7}
+    sessions = []
+    for lo, hi, user, n in sorted(pieces[["lo", "hi", "user_id", "n"]].itertuples(index=False)):
+        if not sessions or lo - sessions[-1][1] >= 300_000_000:
+            sessions.append([lo, hi, set(), 0])
+        sessions[-1][1] = max(sessions[-1][1], hi)
+        sessions[-1][2].add(user)
+        sessions[-1][3] += n
+    at = {u: T0 + dt.timedelta(seconds=s) for u, (s, _) in zip(us, seen)}
+    got = [(at[lo], at[hi] + dt.timedelta(seconds=300), len(users), n) for lo, hi, users, n in sessions]
+    assert sorted(got, key=repr) == sessions_by_hand(seen)
+
+
+def test_sessions_of_ids_that_do_not_follow_time(spark, scratch):
+    """Three copies of a day's events with ids shifted: each copy's first event is a day before the last one's end."""
+    rng = random.Random(8)
+    times = [T0 + dt.timedelta(seconds=rng.randrange(86_400)) for _ in range(300)]
+    rows = [(copy * 1000 + i, t, copy * 50 + i % 50, "view", 1.0, '{"k": 1}') for copy in range(3) for i, t in enumerate(sorted(times))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        os.path.join(scratch, "events.parquet"))
+    want = sessions_by_hand([((t - T0).total_seconds(), str(user)) for _, t, user, *_ in rows])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert rows_of(streams.stream_active_sessions(spark, scratch)) == want
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 # --------------------------------------------------------------------------- late windows
 def test_late_rows_correct_published_windows(spark, scratch):
     def batch(*rows):
