@@ -1,18 +1,20 @@
 """Join helpers with an explicit broadcast size check.
 
 A side is broadcast only when Catalyst's size estimate for it (after column
-pruning) is under a limit; otherwise the join is left to the planner
-(sort-merge join, with AQE's runtime broadcast conversion and skew-join
-splitting as the safety net for hot keys).
+pruning) and, for a stored table, the measured size of its rows are under a
+limit; otherwise the join is left to the planner (sort-merge join, with AQE's
+runtime broadcast conversion and skew-join splitting as the safety net for hot
+keys).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType
 
 # Catalyst sizes a parquet scan by its (compressed) file bytes, scaled by
-# spark.sql.sources.fileCompressionFactor; the limit leaves room for the
-# in-memory expansion of a compressed dimension.
+# spark.sql.sources.fileCompressionFactor.  Few distinct values take a byte or
+# less a row there, so its estimate can only rule a broadcast out.
 DEFAULT_BROADCAST_LIMIT = 32 * 1024 * 1024
 BROADCAST_LIMIT_CONF = "shopstream.broadcast.maxBytes"
 
@@ -27,6 +29,26 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(size) if isinstance(size, int) else int(str(size.toString()))
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is columns and filters over one input, no join or aggregate."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+    except Exception:  # as above
+        return False
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.children().isEmpty()
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of a stored table take in a broadcast (8 a field,
+    24 a row, and the texts), by one pass over its columns."""
+    texts = [F.octet_length(F.col(f.name) if isinstance(f.dataType, BinaryType) else F.col(f.name).cast("string"))
+             for f in df.schema if not isinstance(f.dataType, (NumericType, DatetimeType, BooleanType))]
+    rows, *sizes = df.agg(F.count(F.lit(1)), *[F.sum(t) for t in texts]).first()
+    return rows * 8 * (len(df.columns) + 3) + sum(s or 0 for s in sizes)
+
+
 def broadcast_limit(df: DataFrame) -> int:
     try:
         value = df.sparkSession.conf.get(BROADCAST_LIMIT_CONF, None)
@@ -36,8 +58,9 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    limit = limit if limit is not None else broadcast_limit(df)
     size = estimated_bytes(df)
-    return size is not None and size <= (limit if limit is not None else broadcast_limit(df))
+    return size is not None and size <= limit and (not is_stored(df) or stored_bytes(df) <= limit)
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list,
@@ -45,10 +68,14 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list,
     """Join a (possibly large) fact side to a dimension side.
 
     The dimension is broadcast only behind the size check; beyond it the
-    planner's shuffle join runs, and AQE splits skewed fact partitions.
+    planner's shuffle join runs, and AQE splits skewed fact partitions.  A
+    stored dimension gets a hint for it, as the planner's own threshold goes by
+    the size of the files.
     """
     if fits_broadcast(dim, limit):
         dim = F.broadcast(dim)
+    elif is_stored(dim):
+        dim = dim.hint("merge")
     return fact.join(dim, on, how)
 
 

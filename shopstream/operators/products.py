@@ -40,7 +40,7 @@ def product_counts_by_id(purchases: DataFrame, names: DataFrame, id_col: str = "
     per_id = (purchases.groupBy(F.col(id_col).alias("_pid"))
               .agg(F.count(F.lit(1)).alias("_n")))
     keyed = per_id.withColumn("_pid_key", F.col("_pid").try_cast(dims.schema["_key"].dataType))
-    named = join_dimension(keyed, dims, keyed["_pid_key"] == dims["_key"], how="left")
+    named = join_dimension(keyed, dims, keyed["_pid_key"] == dims["_key"], how="left", limit=0)  # measured already
     return named.groupBy(name_of).agg(F.sum("_n").alias("purchase_count"))
 
 

@@ -115,7 +115,8 @@ def dashboard(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
     Four scans of the events: KPIs with session bounds, users of the open
     session, product counts, and both newest-first lists.  With ``names``
     (``part``), ``events`` need no product names: products are counted per id
-    and named once per product, and only the listed rows are named.
+    and named once per product, and only the listed rows are named; where
+    ``names`` is too large to broadcast, their keys are a fifth scan.
     """
     row = _kpi_row(events)
     paid = purchases(events)
